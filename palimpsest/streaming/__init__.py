@@ -1,0 +1 @@
+"""Incremental use of batch operators."""
