@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.pathkey import is_blank, path_key
 from ..plans.sqlparts import sql_key, sql_nonblank
 from . import collapse as dup
-from . import mixing, tokens, truth
+from . import garbled, mixing, tokens, truth
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1. Garbled text from wrong character encoding ------------------------------------------------------------------
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, m = table(spark, sf_dir, "addons"), table(spark, sf_dir, "addon_manifests")
+    a = a.select(F.lit("addons").alias("field"), F.col("addon_row").alias("row_key"), F.col("addon_id").alias("source"), "name")
+    return a.unionByName(m.select(F.lit("addon_manifests").alias("field"), F.col("manifest_row").alias("row_key"), F.col("addon_id").alias("source"), "name"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(_names(spark, sf_dir)).select(F.col("field").alias("tab"), "row_key")
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The found rows with the name as it was written, null where it can no longer be known."""
+    return garbled.find_garbled(_names(spark, sf_dir)).select(F.col("field").alias("tab"), "row_key", "name", "restored", "chain")
+
+
 # --- 3. Duplicates hidden by formatting -----------------------------------------------------------------------------
 
 TABS = ("files", "dependencies", "catalog_lines")
@@ -106,6 +124,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_restored": p1_restored,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found, "p4_survivors": p4_survivors,
     "p7_ids": p7_ids, "p7_round_trip": p7_round_trip,
