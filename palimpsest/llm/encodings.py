@@ -135,14 +135,49 @@ def _undo_legacy(text: str, written: str, read: str) -> str | None:
     return back if back != text else None
 
 
-def _by_part(text: str, undo) -> str | None:
-    """Undo the damage of the whole text or, if that cannot be, of each of its words by itself."""
+def _by_part(text: str, undo) -> list[str]:
+    """Undo the damage of the whole text and of every run of neighbouring words that has damage to undo."""
+    out = []
     back = undo(text)
     if back is not None:
-        return back
+        out.append(back)
     parts = text.split(" ")
-    fixed = [(undo(p) or p) if not p.isascii() else p for p in parts]
-    return " ".join(fixed) if fixed != parts else None
+    at = [i for i, p in enumerate(parts) if not p.isascii()]
+    if len(at) > 8:  # of a very long text, the words one by one and all together
+        runs = [(i, i) for i in range(len(at))] + [(0, len(at) - 1)]
+    else:
+        runs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+    fixed = {i: undo(parts[i]) for i in at}
+    for i, j in runs:
+        if all(fixed[k] is not None for k in at[i : j + 1]):
+            done = list(parts)
+            for k in at[i : j + 1]:
+                done[k] = fixed[k]
+            if (whole := " ".join(done)) not in out:
+                out.append(whole)
+    return out
+
+
+#: Characters besides letters and digits that names hold.
+MARKS = set("–—…’‘“”„•™«»·×&†‡€£§©®°±¡¿！？：、。「」『』・ー〜～★☆♥♪№º")
+
+
+@lru_cache(maxsize=None)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0] if unicodedata.category(c)[0] == "L" else ""
+
+
+def _wordlike(text: str, given: str) -> bool:
+    """Whether the words that were changed look written: letters, digits and usual marks, and one alphabet to a word."""
+    was = set(given.split())
+    for w in text.split():
+        if w in was or w.isascii():
+            continue
+        if any(not (c < "\x80" or c in MARKS or unicodedata.category(c)[0] in "LMN") for c in w):
+            return False
+        if len({s for c in w if (s := _script(c)) in ("LATIN", "CYRILLIC", "GREEK")}) > 1:
+            return False
+    return True
 
 
 def _plausible(text: str) -> bool:
@@ -171,8 +206,8 @@ def repairs(text: str) -> list[tuple[int, str]]:
                 if twice is not None:
                     note(f"utf-8>{b}>utf-8>{a}", twice[0])
             note(f"utf-8>{a}", once[0])
-    for r in WIDE_READERS:
-        note(f"utf-8>{r}", _by_part(text, lambda t, r=r: _undo_legacy(t, "utf-8", r)))
-    for w, r in LEGACY:
-        note(f"{w}>{r}", _by_part(text, lambda t, w=w, r=r: _undo_legacy(t, w, r)))
+    for w, r in (*(("utf-8", r) for r in WIDE_READERS), *LEGACY):
+        for back in _by_part(text, lambda t, w=w, r=r: _undo_legacy(t, w, r)):
+            if _wordlike(back, text):
+                note(f"{w}>{r}", back)
     return [(c, t) for t, c in seen.items()]

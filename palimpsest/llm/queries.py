@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pathkey import is_blank, path_key
 from ..plans.sqlparts import sql_key, sql_nonblank
 from . import collapse as dup
-from . import garbled, mixing, tokens, truth
+from . import garbled, mixing, sentences, tokens, truth
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,12 +123,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+# --- 9. Sentence boundaries across languages and scripts ------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored,
     "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found, "p4_survivors": p4_survivors,
     "p7_ids": p7_ids, "p7_round_trip": p7_round_trip,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 
