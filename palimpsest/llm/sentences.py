@@ -46,6 +46,10 @@ DOTTED = regex.compile(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}")
 GREEK = regex.compile(r"\p{Greek}")
 WORD = regex.compile(r"[^\s\"'“”„«»()\[\]]+")
 LIST_NO = regex.compile(r"\(?\d{1,3}[.)]\s")
+#: Words that open a sentence though they begin small: names of files, and an article before a title.
+FILE_NAME = regex.compile(r"[\p{Ll}\d_-]+(?:\.[\p{Ll}\d_-]+)*\.\p{Ll}{2,5}\b(?!\.)")
+ARTICLE_TITLE = regex.compile(r"(?:le|la|el|die|der|the) (?:Dr|Pr|Prof|Sr|Sra|Mme|Hr|Fr)\b")
+NEXT_WORD = regex.compile(r"\p{Lu}\p{L}*(?=[\s,;:!?…’']|\.{2,}|\.(?:\s|$)|$)")
 
 # --- Weights ----------------------------------------------------------------------------------------------------------
 
@@ -53,7 +57,7 @@ NEVER = -9.0
 CLOSE_STRONG, CLOSE_POINT, CLOSE_MAYBE, CLOSE_PAUSE = 3.0, 2.0, -0.5, 0.0
 OPEN_CAPITAL, OPEN_UNCASED, OPEN_DIGIT, OPEN_LIST, OPEN_SMALL, OPEN_DASH = 2.0, 1.0, 0.5, 2.5, -5.5, -5.0
 AFTER_QUOTE_UNCASED = -5.0
-UNBALANCED, NO_WORD, LONG, LONG_AT = -5.0, -9.0, -1 / 150, 350
+UNBALANCED, NO_WORD, LONG, LONG_AT = -8.0, -9.0, -1 / 150, 350
 #: A span covers at most so many candidates; quotations longer than so many characters do not bind.
 REACH, QUOTE_MOST = 40, 600
 
@@ -66,7 +70,7 @@ def _pairs(s: str) -> list[tuple[int, int]]:
         i, c = m.start(), m.group()
         before, after = s[i - 1 : i], s[i + 1 : i + 2]
         if c == '"' or c == "'":
-            opening = (not before or before.isspace() or before in "([{—–-«„“¿¡") and bool(after) and not after.isspace()
+            opening = (not before or before.isspace() or before in "([{—–-«„“¿¡" or c == '"' and after.isalnum() and all(x != c for x, _ in stack)) and bool(after) and not after.isspace()
             if c == "'" and before.isalnum() and after.isalnum():
                 continue
             if opening:
@@ -111,7 +115,7 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
         quoted = False
         while e < n:  # a sentence owns its closing marks, quotes and brackets
             c = s[e]
-            if c in CLOSERS or e in closing or c in ".!?…。！？" and e in range(m.end(), e + 1) and s[e - 1] in QUOTES:
+            if c in CLOSERS or e in closing or c in ".!?…。！？" and s[e - 1] in QUOTES:
                 quoted = quoted or c in QUOTES
                 e += 1
             elif c in "   \n" and e + 1 < n and s[e + 1] in "»›" and (e + 1) in closing:
@@ -125,6 +129,16 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
             nxt += 1
         if nxt >= n:
             continue
+        if nxt > e and not quoted and s[nxt].isupper():  # by far the most usual case, without detours
+            if mark in "!?":
+                out.append((e, nxt, CLOSE_STRONG + OPEN_CAPITAL + (_depth(pairs, e) if pairs else 0.0)))
+                continue
+            at = m.start()
+            b = max(s.rfind(" ", 0, at), s.rfind("\n", 0, at)) + 1
+            token = s[b:at]
+            if mark == "." and at - b > 2 and token.isalpha() and token.islower() and token not in NEVER_LAST and token not in MAYBE_LAST and not DANDA.match(token):
+                out.append((e, nxt, CLOSE_POINT + OPEN_CAPITAL + (_depth(pairs, e) if pairs else 0.0)))
+                continue
         out.append((e, nxt, _closing(s, m.start(), mark, nxt, nxt > e, quoted) + _depth(pairs, e)))
     return [x for x in out if x[2] > NEVER]
 
@@ -139,7 +153,7 @@ def _opening(s: str, at: int) -> tuple[str, str, int]:
     if s[at] in "—–-" and at + 1 < n and s[at + 1].isspace():
         return "dash", s[at], at
     i = at
-    while i < n and (s[i] in OPENERS or s[i] in "\"'“«¿¡*•·") :
+    while i < n and (s[i] in OPENERS or s[i] in "\"'“«¿¡*•·" or i > at and s[i] in " \u00a0\u202f"):
         i += 1
     if i >= n:
         return "other", "", at
@@ -152,7 +166,9 @@ def _opening(s: str, at: int) -> tuple[str, str, int]:
         if c.isupper() or c.istitle():
             return "capital", word, i
         if c.islower():
-            return ("capital" if any(x.isupper() for x in word[1:3]) else "small"), word, i
+            if any(x.isupper() for x in word[1:3]):
+                return "capital", word, i
+            return ("file" if FILE_NAME.match(s, i) or ARTICLE_TITLE.match(s, i) else "small"), word, i
         return "uncased", word, i
     return "other", word, i
 
@@ -171,7 +187,7 @@ def _closing(s: str, at: int, mark: str, nxt: int, gap: bool, quoted: bool) -> f
             pass
         elif strong and uncased_before and kind in ("uncased", "digit"):
             pass
-        elif kind == "capital" and len(token) > 1 and token.isalpha() and token[1:].islower() and word[1:2].islower() | (len(word) == 1) and "." not in word[:-1]:
+        elif kind == "capital" and len(token) > 1 and token.isalpha() and token[1:].islower() and NEXT_WORD.match(s, nxt):
             return (CLOSE_STRONG if strong else CLOSE_POINT) + OPEN_CAPITAL - 1.0 if token.casefold() not in NEVER_LAST else NEVER
         elif mark[0] in "…。" and uncased_before:
             pass
@@ -179,7 +195,7 @@ def _closing(s: str, at: int, mark: str, nxt: int, gap: bool, quoted: bool) -> f
             return NEVER
     if s[nxt] in ",;:)]}»”、，；：" and kind == "other":
         return NEVER
-    opening = {"capital": OPEN_CAPITAL, "uncased": OPEN_UNCASED, "digit": OPEN_DIGIT, "list": OPEN_LIST, "dash": OPEN_DASH, "other": 0.0}.get(kind)
+    opening = {"capital": OPEN_CAPITAL, "uncased": OPEN_UNCASED, "digit": OPEN_DIGIT, "list": OPEN_LIST, "dash": OPEN_DASH, "file": OPEN_UNCASED, "other": 0.0}.get(kind)
     if kind == "small":
         opening = OPEN_UNCASED if mark[-1] in "։።।。！？" or (uncased_before and not quoted) else OPEN_SMALL
     if quoted and kind in ("uncased", "digit") and (uncased_before or kind == "uncased"):
@@ -206,7 +222,7 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
         if "-" in token:
             return NEVER if all(len(p) <= 2 for p in regex.split(r"[.-]+", token)) else CLOSE_POINT
         if DOTTED.fullmatch(token):
-            return CLOSE_MAYBE if kind == "capital" else NEVER
+            return CLOSE_MAYBE if kind in ("capital", "file") else NEVER
         return CLOSE_POINT
     if len(token) == 1 and token.isalpha():
         if SYLLABIC.match(token):
@@ -268,19 +284,56 @@ def _traces(reader: str) -> regex.Pattern:
     return regex.compile(f"{cls(0xC2, 0xDF)}{cont}|{cls(0xE0, 0xEF)}{cont}{{2}}|{cls(0xF0, 0xF4)}{cont}{{3}}")
 
 
+#: One-byte encodings of other alphabets that are often shown in Western letters, with each alphabet's commonest letters.
+ALPHABETS = (("cp1251", "оеаинтсрвлк"), ("koi8_r", "оеаинтсрвлк"), ("cp1253", "αοιετσνηυρκ"), ("iso8859_7", "αοιετσνηυρκ"))
+WESTERN_WORD = regex.compile(r"[À-ÿ¸¨³¢´ºª]{3,}")
+
+
+@lru_cache(maxsize=None)
+def _western(written: str) -> dict[int, str]:
+    own = bytes_of("cp1252")
+    out = {}
+    for c, b in own.items():
+        try:
+            out[ord(c)] = bytes([b]).decode(written)
+        except UnicodeDecodeError:
+            pass
+    return out
+
+
+def _other_alphabet(text: str) -> str | None:
+    """A text in Western letters that stand for another alphabet, letter for letter."""
+    words = WESTERN_WORD.findall(text)
+    if sum(map(len, words)) * 3 < len(text):
+        return None
+    best: tuple[float, str] | None = None
+    for written, common in ALPHABETS:
+        shown = " ".join(words).translate(_western(written)).casefold()
+        share = sum(shown.count(c) for c in common) / max(1, len(shown) - len(words) + 1)
+        if share > 0.45 and (best is None or share > best[0]):
+            best = (share, written)
+    return text.translate(_western(best[1])) if best else None
+
+
 def readable(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     """The text before a wrong decoding, with the given places of each character; as it is, with None, if there was none."""
-    best: tuple[float, str] | None = None
-    wide = sum(c > "\x7f" for c in text)
-    if not wide:
+    if text.isascii():
         return text, None
+    best: tuple[float, str] | None = None
+    chars = {c for c in set(text) if c > "\x7f"}
+    wide = 0
     for r in UTF8_READERS:
-        hits = [m.end() - m.start() for m in _traces(r).finditer(text)]
-        # Chance sequences are few among the text's other characters; a wrong decoding leaves hardly any others.
-        if hits and (share := sum(hits) / wide) >= 0.7 and (best is None or share > best[0]):
-            best = (share, r)
+        if 2 * len(chars & bytes_of(r).keys()) < len(chars):
+            continue
+        hits = sum(m.end() - m.start() for m in _traces(r).finditer(text))
+        if hits:
+            wide = wide or sum(map("\x7f".__lt__, text))
+            # Chance sequences are few among the text's other characters; a wrong decoding leaves hardly any others.
+            if hits / wide >= 0.7 and (best is None or hits / wide > best[0]):
+                best = (hits / wide, r)
     if best is None:
-        return text, None
+        other = _other_alphabet(text)
+        return (text, None) if other is None else (other, [(i, i + 1) for i in range(len(text))])
     got = undo_utf8(text, best[1])
     if got is None:
         return text, None
