@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, refqueries
 
-MODULES = [problems]
+MODULES = [problems, refqueries]
 
 
 def queries() -> dict:
