@@ -8,6 +8,7 @@ were read in a wrong encoding are cut where the text they came from would be.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ SYLLABIC = regex.compile(r"[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]")
 DANDA = regex.compile(r"[\p{Devanagari}\p{Ethiopic}\p{Armenian}]")
 DOTTED = regex.compile(r"(?:\p{L}{1,3}\.)+\p{L}{1,3}")
 GREEK = regex.compile(r"\p{Greek}")
-WORD = regex.compile(r"[^\s\"'“”„«»()\[\]]+")
+WORD = regex.compile(r"[^\s\"'“”„«»()\[\]]{1,64}")
 LIST_NO = regex.compile(r"\(?\d{1,3}[.)]\s")
 #: Words that open a sentence though they begin small: names of files, and an article before a title.
 FILE_NAME = regex.compile(r"[\p{Ll}\d_-]+(?:\.[\p{Ll}\d_-]+)*\.\p{Ll}{2,5}\b(?!\.)")
@@ -54,12 +55,16 @@ NEXT_WORD = regex.compile(r"\p{Lu}\p{L}*(?=[\s,;:!?…’']|\.{2,}|\.(?:\s|$)|$)
 # --- Weights ----------------------------------------------------------------------------------------------------------
 
 NEVER = -9.0
+#: Places with so low a score are no candidates.
+HOPELESS = -4.5
 CLOSE_STRONG, CLOSE_POINT, CLOSE_MAYBE, CLOSE_PAUSE = 3.0, 2.0, -0.5, 0.0
 OPEN_CAPITAL, OPEN_UNCASED, OPEN_DIGIT, OPEN_LIST, OPEN_SMALL, OPEN_DASH = 2.0, 1.0, 0.5, 2.5, -5.5, -5.0
 AFTER_QUOTE_UNCASED = -5.0
 UNBALANCED, NO_WORD, LONG, LONG_AT = -8.0, -9.0, -1 / 150, 350
-#: A span covers at most so many candidates; quotations longer than so many characters do not bind.
+#: Beginnings tried for a span besides that of the span before; quotations longer than so many characters do not bind.
 REACH, QUOTE_MOST = 40, 600
+#: Open marks kept in mind, and characters of a word looked at: both bound the work per character on any text.
+NESTED, WORD_MOST = 40, 64
 
 
 def _pairs(s: str) -> list[tuple[int, int]]:
@@ -83,13 +88,14 @@ def _pairs(s: str) -> list[tuple[int, int]]:
             continue
         else:
             _close(stack, out, c, i)
-    return [(a, b) for a, b in out if b - a <= QUOTE_MOST]
+    return sorted((a, b) for a, b in out if b - a <= QUOTE_MOST)
 
 
 _MARKED = regex.compile("[" + regex.escape("".join(OPENERS)) + "”»›」』》〉）)\\]}】’\"']")
 
 
 def _close(stack: list[tuple[str, int]], out: list[tuple[int, int]], c: str, i: int) -> None:
+    del stack[:-NESTED]
     for k in range(len(stack) - 1, -1, -1):
         o, at = stack[k]
         if c == o or c in OPENERS.get(o, ""):
@@ -102,13 +108,19 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
     """(end of the span, start of the next, score of a cut there) for every place where a sentence may end."""
     pairs = _pairs(s) if _MARKED.search(s) else []
     closing = {b for _, b in pairs}
+    opens, closes = [a for a, _ in pairs], sorted(closing)
+
+    def depth(at: int) -> float:
+        """Charge for the quotations and brackets that a cut at ``at`` would leave open."""
+        return UNBALANCED * (bisect_left(opens, at) - bisect_left(closes, at)) if pairs else 0.0
+
     n, out, done = len(s), [], 0
     for m in TERM.finditer(s):
         e, mark = m.end(), m.group()
         if m.start() < done:
             continue
         if mark.isspace():
-            out.append((m.start(), e, CLOSE_POINT + OPEN_UNCASED + _depth(pairs, m.start())))
+            out.append((m.start(), e, CLOSE_POINT + OPEN_UNCASED + depth(m.start())))
             continue
         if mark in ";;" and not (m.start() and GREEK.match(s[m.start() - 1])):
             continue
@@ -131,20 +143,17 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
             continue
         if nxt > e and not quoted and s[nxt].isupper():  # by far the most usual case, without detours
             if mark in "!?":
-                out.append((e, nxt, CLOSE_STRONG + OPEN_CAPITAL + (_depth(pairs, e) if pairs else 0.0)))
+                out.append((e, nxt, CLOSE_STRONG + OPEN_CAPITAL + depth(e)))
                 continue
             at = m.start()
-            b = max(s.rfind(" ", 0, at), s.rfind("\n", 0, at)) + 1
+            low = max(0, at - WORD_MOST)
+            b = max(s.rfind(" ", low, at), s.rfind("\n", low, at), low - 1) + 1
             token = s[b:at]
             if mark == "." and at - b > 2 and token.isalpha() and token.islower() and token not in NEVER_LAST and token not in MAYBE_LAST and not DANDA.match(token):
-                out.append((e, nxt, CLOSE_POINT + OPEN_CAPITAL + (_depth(pairs, e) if pairs else 0.0)))
+                out.append((e, nxt, CLOSE_POINT + OPEN_CAPITAL + depth(e)))
                 continue
-        out.append((e, nxt, _closing(s, m.start(), mark, nxt, nxt > e, quoted) + _depth(pairs, e)))
-    return [x for x in out if x[2] > NEVER]
-
-
-def _depth(pairs: list[tuple[int, int]], at: int) -> float:
-    return UNBALANCED * sum(a < at <= b for a, b in pairs)
+        out.append((e, nxt, _closing(s, m.start(), mark, nxt, nxt > e, quoted) + depth(e)))
+    return [x for x in out if x[2] > HOPELESS]
 
 
 def _opening(s: str, at: int) -> tuple[str, str, int]:
@@ -176,7 +185,7 @@ def _opening(s: str, at: int) -> tuple[str, str, int]:
 def _closing(s: str, at: int, mark: str, nxt: int, gap: bool, quoted: bool) -> float:
     kind, word, _ = _opening(s, nxt)
     b = at
-    while b > 0 and not s[b - 1].isspace():
+    while b > 0 and at - b < WORD_MOST and not s[b - 1].isspace():
         b -= 1
     token = s[b:at].lstrip("\"'“„«‹‘(（[{「『《¿¡")
     last = token[-1:] if token else ""
@@ -229,7 +238,7 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
             return CLOSE_POINT
         if token.isupper():
             return NEVER
-        before = s[:b].rstrip().rsplit(None, 1)[-1:] or [""]
+        before = s[max(0, b - WORD_MOST) : b].rstrip().rsplit(None, 1)[-1:] or [""]
         if before[0][-1:].isdigit() or regex.fullmatch(r"\p{L}\.", before[0]):
             return CLOSE_MAYBE if kind in ("capital", "list") else NEVER
         return NEVER
@@ -240,7 +249,6 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
     return CLOSE_POINT
 
 
-@lru_cache(maxsize=20_000)
 def _cut(s: str) -> tuple[tuple[int, int], ...]:
     """Spans (start, end) of one stretch, which begins and ends with a character that is not white space."""
     cands = _candidates(s)
@@ -253,7 +261,9 @@ def _cut(s: str) -> tuple[tuple[int, int], ...]:
     back = [0] * (len(ends) + 1)
     for j in range(1, len(ends) + 1):
         e, gain = ends[j - 1], gains[j - 1]
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
+        low = max(0, j - REACH)
+        near = range(j - 1, low - 1, -1)
+        for i in near if back[j - 1] >= low else (*near, back[j - 1]):  # the span that is open may go on without end
             a = starts[i]
             score = best[i] + gain
             length = e - a
@@ -272,6 +282,9 @@ def _cut(s: str) -> tuple[tuple[int, int], ...]:
     return tuple(reversed(out))
 
 
+_remembered = lru_cache(maxsize=20_000)(_cut)
+
+
 # --- Texts read in a wrong encoding -----------------------------------------------------------------------------------
 
 
@@ -355,7 +368,7 @@ def units(text: str) -> list[tuple[int, int]]:
         left = len(s) - len(s.lstrip())
         s = s.strip()
         if s:
-            out += [(a + left + x, a + left + y) for x, y in _cut(s)]
+            out += [(a + left + x, a + left + y) for x, y in (_remembered(s) if len(s) < 2000 else _cut(s))]
     if spans is None:
         return out
     return [(spans[a][0], spans[b - 1][1]) for a, b in out]
