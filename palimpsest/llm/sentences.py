@@ -242,8 +242,13 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
         if before[0][-1:].isdigit() or regex.fullmatch(r"\p{L}\.", before[0]):
             return CLOSE_MAYBE if kind in ("capital", "list") else NEVER
         return NEVER
-    if token.isdigit() and word.casefold().strip(".,") in MONTHS:
-        return NEVER
+    if token.isdigit():
+        if word.casefold().strip(".,") in MONTHS:
+            return NEVER
+        before = (s[max(0, b - WORD_MOST) : b].split() or [""])[-1]
+        # A short number after a finished sentence is a list number; after "Jan." or "No." it is not.
+        if len(token) <= 2 and before[-1:] in (".", "!", "?", "…") and before[:-1].casefold().lstrip("(") not in NEVER_LAST:
+            return NEVER
     if len(token) == 2 and token.isupper() and regex.fullmatch(r"\p{Lu}{1,3}\..*", word):
         return NEVER
     return CLOSE_POINT
