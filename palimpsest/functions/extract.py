@@ -22,8 +22,12 @@ from .keyvalues import leaves
 # --- Path normalisers -------------------------------------------------------------------------------------------------
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def slashes(c: Column) -> Column:
-    return F.translate(F.trim(c), "\\", "/")
+    return F.translate(strip(c), "\\", "/")
 
 
 def _led(c: Column, prefix: str, *others: str) -> Column:
@@ -89,7 +93,7 @@ def animation_links(text: Column) -> Column:
 
 def list_lines(text: Column, prefix: str = "") -> Column:
     """Lines that are neither empty nor comments (``//``, ``#``), stripped."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), F.trim)
+    lines = F.transform(F.split(text, r"\r\n|\n|\r"), strip)
     kept = F.filter(lines, lambda c: (c != "") & ~c.startswith("//") & ~c.startswith("#"))
     return F.transform(kept, lambda c: _led(F.translate(c, "\\", "/"), prefix)) if prefix else kept
 

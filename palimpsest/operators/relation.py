@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -37,8 +38,6 @@ class Relation:
 
     def select_where(self, test: Callable[[dict], bool]) -> Relation:
         """Rows for which a Python function of the row holds. Slow: prefer ``select``. Works on Arrow batches."""
-        import pandas as pd
-
         @F.pandas_udf(BooleanType())
         def holds(rows: pd.DataFrame) -> pd.Series:
             return pd.Series([bool(test(r)) for r in rows.to_dict("records")])
