@@ -247,7 +247,8 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
             return NEVER
         before = (s[max(0, b - WORD_MOST) : b].split() or [""])[-1]
         # A short number after a finished sentence is a list number; after "Jan." or "No." it is not.
-        if len(token) <= 2 and before[-1:] in (".", "!", "?", "…") and before[:-1].casefold().lstrip("(") not in NEVER_LAST:
+        stem = before[:-1].casefold().lstrip("(")
+        if len(token) <= 2 and before[-1:] in (".", "!", "?", "…") and len(stem) > 1 and stem not in NEVER_LAST:
             return NEVER
     if len(token) == 2 and token.isupper() and regex.fullmatch(r"\p{Lu}{1,3}\..*", word):
         return NEVER
