@@ -62,7 +62,7 @@ def script_path(c: Column) -> Column:
     return F.when(s.contains("/"), s).otherwise(F.concat(F.lit("scripts/vscripts/"), s))
 
 
-# --- Pattern formats, inside the JVM ----------------------------------------------------------------------------------
+# --- Pattern formats, inside the JVM. Keys, calls and endings that the formats use ----------------------------------------------------------------------------------
 
 
 def _all(text: Column, pattern: str, shape: Callable[[Column], Column] = lambda c: c, group: int = 1) -> Column:

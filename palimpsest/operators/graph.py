@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..scratch import discard, materialize
 
 
+#: Rounds of a closure kept as tables of their own before they are written together.
+LAYERS = 8
+
+
 def edge_set(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
 
@@ -27,18 +31,24 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id) of every node that some seed (id) reaches over one link or more; a seed only if it is reached again."""
     links = materialize(edge_set(edges), "edges")
-    frontier = seeds.select(F.col("id").alias("src")).distinct()
-    seen = materialize(frontier.join(links, "src").select(F.col("dst").alias("id")).distinct(), "seen")
-    frontier = seen
-    while not frontier.isEmpty():
-        nxt = frontier.select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()
-        fresh = materialize(nxt.join(seen, "id", "left_anti"), "frontier")
-        grown = materialize(seen.union(fresh), "seen")
-        if frontier is not seen:
-            discard(frontier)
-        discard(seen)
-        seen, frontier = grown, fresh
-    return seen
+    first = seeds.select(F.col("id").alias("src")).distinct().join(links, "src").select(F.col("dst").alias("id")).distinct()
+    layers = [materialize(first, "layer")]
+    while not layers[-1].isEmpty():
+        if len(layers) > LAYERS:  # the last one stays by itself: it is the frontier
+            whole = materialize(_union(layers[:-1]), "layers")
+            for x in layers[:-1]:
+                discard(x)
+            layers = [whole, layers[-1]]
+        nxt = layers[-1].select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()
+        layers.append(materialize(nxt.join(_union(layers), "id", "left_anti"), "layer"))
+    return _union(layers)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def descendants_of(edges: DataFrame, start: str) -> DataFrame:

@@ -86,7 +86,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_per_key": p6_per_key, "p6_join": p6_join,
 }
 
-_LINKS = f"""links AS (SELECT DISTINCT from_path AS parent, to_path AS child FROM dependencies
+LINKS_SQL = f"""links AS (SELECT DISTINCT from_path AS parent, to_path AS child FROM dependencies
   WHERE dep_kind = 'include' AND {sql_nonblank('to_path')} AND from_path IS NOT NULL),
 nodes AS (SELECT parent AS node FROM links UNION SELECT child FROM links),
 walk AS (SELECT node, [node] AS line FROM nodes
@@ -113,10 +113,10 @@ found AS (SELECT tab, ref_id, strftime(t, '%Y-%m') AS period,
 _KEYED = f"FROM dependencies WHERE {sql_nonblank('to_path')}"
 
 ORACLE = {
-    "p2_found": f"WITH RECURSIVE {_LINKS} SELECT node AS node_path, root AS root_path, depth::INT AS depth FROM shown",
-    "p2_paths": f"WITH RECURSIVE {_LINKS} SELECT node AS node_path, array_to_string(path, ' > ') AS full_path FROM paths",
-    "p2_descendants": f"WITH RECURSIVE {_LINKS}, flat AS (SELECT unnest(path) AS node_path, node AS descendant_path FROM paths) SELECT * FROM flat WHERE node_path <> descendant_path",
-    "p2_loops": f"WITH RECURSIVE {_LINKS} SELECT root AS root_path, count(*)::INT AS length FROM shown WHERE depth = -1 GROUP BY root",
+    "p2_found": f"WITH RECURSIVE {LINKS_SQL} SELECT node AS node_path, root AS root_path, depth::INT AS depth FROM shown",
+    "p2_paths": f"WITH RECURSIVE {LINKS_SQL} SELECT node AS node_path, array_to_string(path, ' > ') AS full_path FROM paths",
+    "p2_descendants": f"WITH RECURSIVE {LINKS_SQL}, flat AS (SELECT unnest(path) AS node_path, node AS descendant_path FROM paths) SELECT * FROM flat WHERE node_path <> descendant_path",
+    "p2_loops": f"WITH RECURSIVE {LINKS_SQL} SELECT root AS root_path, count(*)::INT AS length FROM shown WHERE depth = -1 GROUP BY root",
     "p5_found": f"WITH {_REFS} SELECT * FROM found",
     "p5_counts": f"WITH {_REFS} SELECT tab, period, state, count(*) AS n FROM found GROUP BY ALL",
     "p6_found": f"SELECT to_path {_KEYED} GROUP BY to_path HAVING count(*) * 100 >= 2 * (SELECT count(*) {_KEYED})",

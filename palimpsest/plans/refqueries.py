@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions.pathkey import is_blank
 from ..operators import analyzers as A
 from ..operators import graph as G
 from ..operators.overlay import resolve
 from ..operators.relation import Relation
 from .presets import PRESETS
+from .problems import LINKS_SQL
 
 TPC = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 OWN = ["files", "dependencies", "addons", "entry_points", "external_files"]
@@ -215,6 +217,11 @@ def impact_counts(spark, sf_dir):
     return G.impact_counts(chain_edges(spark, sf_dir))
 
 
+def _includes(c: Catalog) -> DataFrame:
+    d = c["dependencies"].filter((F.col("dep_kind") == "include") & ~is_blank(F.col("to_path")))
+    return d.select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"))
+
+
 # --- Overlay and analyzers ------------------------------------------------------------------------------------------------
 
 
@@ -315,7 +322,7 @@ def preset(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     derive = {
         "dep_conflicts": lambda: A.dependency_conflicts(_nodes(spark, sf_dir), c.edges), "cascade_overrides": lambda: A.cascade_overrides(c["files"], "file_id"), "global_scripts": lambda: A.global_scripts(c["files"]),
         "hash_conflicts": lambda: A.hash_conflicts(c["files"], "file_id"), "implicit_deps": lambda: A.implicit_dependencies(_nodes(spark, sf_dir), c.edges), "isolated": lambda: A.isolated_packages(c["files"]),
-        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "dependency_cycles": lambda: G.elementary_cycles(c.edges, max_length=12),
+        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "dependency_cycles": lambda: G.elementary_cycles(_includes(c)),
     }
     if src in derive:
         c = c.with_relation(src, derive[src]())
@@ -481,4 +488,5 @@ def _where(p: dict) -> str:
     return f"{c} IS NOT DISTINCT FROM {lit}" if op == "eq" else f"{c} IS DISTINCT FROM {lit}" if op == "neq" else f"{c} {OPS[op]} {lit}"
 
 
+ORACLE["preset_dependency_cycles"] = f"WITH RECURSIVE {LINKS_SQL} SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM (SELECT path FROM paths WHERE depth = -1 AND node = root ORDER BY len(path), path LIMIT 50)"
 ORACLE |= {f"preset_{n}": s for n in PRESETS if n != "top_impact" and (s := _preset_sql(n))}
