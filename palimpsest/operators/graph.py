@@ -6,6 +6,9 @@ with the edges, so the work of a round is that of its frontier, and no node or e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..scratch import discard, materialize
 
 #: Rounds of a closure kept as tables of their own before they are written together.
 LAYERS = 8
+#: Links that one task strips to the core in memory; beyond, every round is a pair of joins.
+STRIPPED_BY_ONE = 500_000
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -125,11 +130,27 @@ def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: i
     return every.join(counts, "id", "left").select("id", F.coalesce("impact_count", F.lit(0)).alias("impact_count"))
 
 
+def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rounds of ``cyclic_core`` over all links of one task."""
+    links = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    n = None
+    while n != len(links):
+        n = len(links)
+        ins, outs = {b for _, b in links}, {a for a, _ in links}
+        links = [(a, b) for a, b in links if a in ins and b in outs]
+    for i in range(0, n, 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*links[i : i + 20_000])], ["src", "dst"])
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """The links that remain when nodes without a way in or out are stripped, again and again: all cycles lie in them."""
     links = materialize(edge_set(edges), "core")
     n = links.count()
     while n:
+        if n <= STRIPPED_BY_ONE:
+            kept = materialize(links.coalesce(1).mapInArrow(_strip, "src string, dst string"), "core")
+            discard(links)
+            return kept
         kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         kept = materialize(kept.select("src", "dst"), "core")
         m = kept.count()
@@ -141,11 +162,12 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return links
 
 
-def elementary_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+def elementary_cycles(edges: DataFrame, max_length: int | None = None, at_least: int | None = None) -> DataFrame:
     """(cycle ARRAY<STRING>, length): every elementary cycle once, from its least node on.
 
     Paths grow from each node of the core through greater nodes only, so a cycle is met exactly once. Their number can
-    grow exponentially with the core; ``max_length`` bounds it.
+    grow exponentially with the core; ``max_length`` bounds it. ``at_least`` ends the search with the first length by
+    which so many are found: all cycles up to that length are there, so the first ``at_least`` by length are exact.
     """
     core = cyclic_core(edges)
     schema = "cycle array<string>, length int"
@@ -153,13 +175,18 @@ def elementary_cycles(edges: DataFrame, max_length: int | None = None) -> DataFr
     paths = core.filter("src <= dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     loops = paths.filter("first = last").select(F.array("first").alias("cycle"), F.lit(1).alias("length"))
     found.append(loops)
+    n = 0 if at_least is None else loops.count()
     paths = materialize(paths.filter("first < last"), "paths")
     length = 2
-    while not paths.isEmpty() and (max_length is None or length <= max_length):
+    while not paths.isEmpty() and (max_length is None or length <= max_length) and (at_least is None or n < at_least):
         closed = paths.join(core, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst")))
-        found.append(closed.select(F.col("path").alias("cycle"), F.size("path").alias("length")))
+        closed = materialize(closed.select(F.col("path").alias("cycle"), F.size("path").alias("length")), "closed")
+        found.append(closed)
+        n += 0 if at_least is None else closed.count()
         grown = paths.join(core, F.col("last") == F.col("src")).filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))
-        paths = materialize(grown.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")), "paths")
+        grown = materialize(grown.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")), "paths")
+        discard(paths)
+        paths = grown
         length += 1
     out = found[0]
     for f in found[1:]:

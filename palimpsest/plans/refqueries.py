@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..functions.pathkey import is_blank
 from ..operators import analyzers as A
 from ..operators import graph as G
 from ..operators.overlay import resolve
@@ -217,11 +216,6 @@ def impact_counts(spark, sf_dir):
     return G.impact_counts(chain_edges(spark, sf_dir))
 
 
-def _includes(c: Catalog) -> DataFrame:
-    d = c["dependencies"].filter((F.col("dep_kind") == "include") & ~is_blank(F.col("to_path")))
-    return d.select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"))
-
-
 # --- Overlay and analyzers ------------------------------------------------------------------------------------------------
 
 
@@ -322,7 +316,7 @@ def preset(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     derive = {
         "dep_conflicts": lambda: A.dependency_conflicts(_nodes(spark, sf_dir), c.edges), "cascade_overrides": lambda: A.cascade_overrides(c["files"], "file_id"), "global_scripts": lambda: A.global_scripts(c["files"]),
         "hash_conflicts": lambda: A.hash_conflicts(c["files"], "file_id"), "implicit_deps": lambda: A.implicit_dependencies(_nodes(spark, sf_dir), c.edges), "isolated": lambda: A.isolated_packages(c["files"]),
-        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "dependency_cycles": lambda: G.elementary_cycles(_includes(c)),
+        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "dependency_cycles": lambda: G.elementary_cycles(c.edges, at_least=spec["limit"]),
     }
     if src in derive:
         c = c.with_relation(src, derive[src]())

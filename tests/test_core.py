@@ -17,6 +17,7 @@ from palimpsest.operators import analyzers as A
 from palimpsest.operators import graph as G
 from palimpsest.operators.overlay import prioritise, resolve, what_if
 from palimpsest.operators.relation import Relation
+from palimpsest.plans import refqueries
 from palimpsest.sinks import cache, reports
 from palimpsest.sources import archives, settings as cfg
 
@@ -249,3 +250,26 @@ def test_relation_algebra(spark):
     assert a.group_by(["v"], n=F.count(F.lit(1))).order_by("n", True).limit(1).to_rows() == [("x", 2)]
     with pytest.raises(KeyError):
         a.project("nope")
+
+
+def test_shortest_cycles_are_exact(spark):
+    pairs = [(f"n{a}", f"n{b}") for a in range(4) for b in range(4) if a != b] + [("n0", "n0"), ("n3", "t"), ("t", "u")]
+    every = sorted((r.length, r.cycle) for r in G.elementary_cycles(edges(spark, pairs)).collect())
+    assert [n for n, _ in every] == [1] + [2] * 6 + [3] * 8 + [4] * 6
+    got = sorted((r.length, r.cycle) for r in G.elementary_cycles(edges(spark, pairs), at_least=4).collect())
+    assert got == every[:7]
+
+
+def test_core_is_the_same_at_every_size(spark, monkeypatch):
+    e = edges(spark, GRAPH)
+    core = {tuple(r) for r in G.cyclic_core(e).collect()}
+    monkeypatch.setattr(G, "STRIPPED_BY_ONE", 0)
+    assert core == {tuple(r) for r in G.cyclic_core(e).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("x", "x")}
+
+
+def test_cycle_preset_reads_all_links(spark, monkeypatch):
+    rows = [("a", "b", "include"), ("b", "a", "include"), ("m", "t", "material"), ("t", "m", "texture"), ("b", "m", "model"), ("s", "s", "sound"), ("t", "a", None), ("a", "", "include"), (None, "m", "model")]
+    c = Catalog(spark, {"dependencies": spark.createDataFrame(rows, "from_path string, to_path string, dep_kind string")})
+    monkeypatch.setattr(refqueries, "catalog", lambda spark, sf_dir: c)
+    got = [(r.cycle, r.length) for r in refqueries.QUERIES["preset_dependency_cycles"](spark, "").collect()]
+    assert sorted(got) == [("a>b", 2), ("a>b>m>t", 4), ("m>t", 2), ("s", 1)]
