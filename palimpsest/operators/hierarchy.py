@@ -134,7 +134,7 @@ def hierarchy(edges: DataFrame, with_path: bool = True, local_bound: int = 500_0
     point order, and path begins with the whole loop from that node on, followed by the way down.
     Rows with a null end are ignored and repeated rows count once. A child with several parents keeps the smallest
     one here; ``extra_links`` has the others. An empty table gives an empty result. Other columns are not read.
-    In a component of more than ``local_bound`` rows, path is null for nodes on or below a loop; all else is exact.
+    ``local_bound`` changes only how a component of more rows is solved, not the result.
     """
     links = edges.select("parent", "child").filter("parent is not null and child is not null")
     links = materialize(links.groupBy("child").agg(F.min("parent").alias("parent")).select("parent", "child"), "links")
@@ -155,12 +155,12 @@ def hierarchy(edges: DataFrame, with_path: bool = True, local_bound: int = 500_0
 def _doubling(links: DataFrame, with_path: bool) -> DataFrame:
     """The same by pointer doubling: every round, each node's known ancestor line doubles in length."""
     nodes = links.select(F.col("parent").alias("node")).distinct().join(links.withColumnRenamed("child", "node").select("node"), "node", "left_anti")
-    roots = nodes.select("node", F.col("node").alias("up"), F.lit(0).alias("steps"), F.col("node").alias("low"), F.lit(True).alias("done"), F.array("node").alias("path"))
-    inner = links.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).alias("steps"), F.least("parent", "child").alias("low"), F.lit(False).alias("done"), F.array("child").alias("path"))
+    roots = nodes.select("node", F.col("node").alias("up"), F.lit(0).alias("steps"), F.col("node").alias("low"), F.lit(True).alias("done"))
+    inner = links.select(F.col("child").alias("node"), F.col("parent").alias("up"), F.lit(1).alias("steps"), F.least("parent", "child").alias("low"), F.lit(False).alias("done"))
     now = materialize(inner.unionByName(roots), "line")
     n, reach = now.count(), 1
     while reach < n and not now.filter("not done").isEmpty():
-        up = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"), F.col("done").alias("done2"), F.col("path").alias("path2"))
+        up = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
         done = now.filter("done")
         step = now.filter("not done").join(up, "up").select(
             "node",
@@ -168,24 +168,44 @@ def _doubling(links: DataFrame, with_path: bool) -> DataFrame:
             (F.col("steps") + F.col("steps2")).alias("steps"),
             F.least("low", "low2").alias("low"),
             F.col("done2").alias("done"),
-            # A line longer than its nodes runs round a loop; it is dropped rather than let double.
-            (F.when(F.size("path") + F.size("path2") <= n, F.concat("path2", "path")) if with_path else F.col("path")).alias("path"),
         )
         nxt = materialize(done.unionByName(step), "line")
         discard(now)
         now, reach = nxt, reach * 2
-    cols = ["node", "root", "depth"] + ["path"] * with_path
-    trees = now.filter("done").select("node", F.col("up").alias("root"), F.col("steps").alias("depth"), "path").select(*cols)
+    trees = now.filter("done").select("node", F.col("up").alias("root"), F.col("steps").alias("depth"))
     looped = now.filter("not done")
     on = looped.select(F.col("up").alias("node")).distinct()
     lows = looped.join(on, "node", "left_semi").select(F.col("node").alias("up"), F.col("low").alias("root"), F.lit(True).alias("hit"))
     rest = (
         looped.select("node", "up").join(lows.select("up", "root"), "up")
         .join(on.withColumn("hit", F.lit(True)), "node", "left")
-        .select("node", "root", F.when(F.col("hit"), ON_LOOP).otherwise(BELOW_LOOP).alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-        .select(*cols)
+        .select("node", "root", F.when(F.col("hit"), ON_LOOP).otherwise(BELOW_LOOP).alias("depth"))
     )
-    return trees.unionByName(rest)
+    flat = trees.unionByName(rest)
+    return _paths(links, materialize(flat, "flat")) if with_path else flat
+
+
+def _paths(links: DataFrame, flat: DataFrame) -> DataFrame:
+    """``flat`` (node, root, depth) with paths, by doubling lines that are cut where they would run round a loop.
+
+    A loop is cut above its least node, and a way down from a loop below the loop, which is then put before it.
+    """
+    on = flat.filter(F.col("depth") == ON_LOOP).select(F.col("node").alias("parent"), F.lit(True).alias("hit"))
+    placed = flat.join(links.withColumnRenamed("child", "node"), "node", "left").join(on, "parent", "left")
+    first = (F.col("depth") == ON_LOOP) & (F.col("node") == F.col("root"))
+    below = (F.col("depth") == BELOW_LOOP) & F.col("hit").isNotNull()
+    now = materialize(placed.select("node", F.when(~(first | below), F.col("parent")).alias("up"), F.array("node").alias("path")), "way")
+    while not now.filter("up is not null").isEmpty():
+        up = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
+        nxt = now.join(up, "up", "left").select("node", F.col("up2").alias("up"), F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
+        nxt = materialize(nxt, "way")
+        discard(now)
+        now = nxt
+    ways = flat.join(now, "node")
+    # The longest line of a loop is the whole of it.
+    whole = ways.filter(F.col("depth") == ON_LOOP).groupBy("root").agg(F.max_by("path", F.size("path")).alias("loop"))
+    path = F.when(F.col("depth") >= 0, F.col("path")).when(F.col("depth") == ON_LOOP, F.col("loop")).otherwise(F.concat("loop", "path"))
+    return ways.join(whole, "root", "left").select("node", "root", "depth", path.alias("path"))
 
 
 def descendants(paths: DataFrame) -> DataFrame:

@@ -145,3 +145,15 @@ def test_registry_is_whole():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert {"p2_found", "p5_found", "p6_found"} <= set(e.queries())
+
+
+def test_hierarchy_is_the_same_above_the_bound(spark):
+    rnd = random.Random(7)
+    ring = [(f"k{(i * 7) % 11:02d}", f"k{((i + 1) * 7) % 11:02d}") for i in range(11)]  # order on the loop is not that of the names
+    below = [(f"k{rnd.randrange(11):02d}" if i < 5 else f"b{rnd.randrange(i):02d}", f"b{i:02d}") for i in range(30)]
+    e = links(spark, PAIRS + ring + below)
+    far, near = hierarchy(e, local_bound=1), hierarchy(e)
+    got, want = ({r.node: (r.root, r.depth, r.path) for r in h.collect()} for h in (far, near))
+    assert got == want and {n: got[n] for n in WANT} == WANT
+    assert sorted(map(tuple, descendants(far).collect())) == sorted(map(tuple, descendants(near).collect()))
+    assert {(r.root, r.length) for r in loops(far).collect()} == {("x", 2), ("s", 1), ("k00", 11)}
