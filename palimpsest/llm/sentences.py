@@ -9,6 +9,7 @@ were read in a wrong encoding are cut where the text they came from would be.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,47 +62,65 @@ CLOSE_STRONG, CLOSE_POINT, CLOSE_MAYBE, CLOSE_PAUSE = 3.0, 2.0, -0.5, 0.0
 OPEN_CAPITAL, OPEN_UNCASED, OPEN_DIGIT, OPEN_LIST, OPEN_SMALL, OPEN_DASH = 2.0, 1.0, 0.5, 2.5, -5.5, -5.0
 AFTER_QUOTE_UNCASED = -5.0
 UNBALANCED, NO_WORD, LONG, LONG_AT = -8.0, -9.0, -1 / 150, 350
-#: Beginnings tried for a span besides that of the span before; quotations longer than so many characters do not bind.
-REACH, QUOTE_MOST = 40, 600
-#: Open marks kept in mind, and characters of a word looked at: both bound the work per character on any text.
-NESTED, WORD_MOST = 40, 64
+#: An abbreviation, initial or number has at most so many characters before its point; what is longer is no such word.
+WORD_MOST = 64
+#: Spans shorter than this are charged if they hold no letter.
+WORD_AT = 12
+
+
+class _Open:
+    """Marks that are open, innermost last, with the places of each kind: every step costs the same at any depth."""
+
+    def __init__(self):
+        self.marks: list[tuple[str, int]] = []
+        self.levels: dict[str, list[int]] = {}
+
+    def push(self, c: str, at: int) -> None:
+        self.levels.setdefault(c, []).append(len(self.marks))
+        self.marks.append((c, at))
+
+    def has(self, c: str) -> bool:
+        return bool(self.levels.get(c))
+
+    def has_other(self, c: str) -> bool:
+        return len(self.marks) > len(self.levels.get(c, ()))
+
+    def close(self, c: str) -> int | None:
+        """Place of the innermost mark that ``c`` closes; it and all marks within it are taken off."""
+        level = max((own[-1] for o in CLOSED_BY[c] if (own := self.levels.get(o))), default=None)
+        if level is None:
+            return None
+        at = self.marks[level][1]
+        while len(self.marks) > level:
+            self.levels[self.marks.pop()[0]].pop()
+        return at
 
 
 def _pairs(s: str) -> list[tuple[int, int]]:
-    """(open, close) places of matched quotations and brackets; marks without a partner bind nothing."""
-    stack: list[tuple[str, int]] = []
+    """(open, close) places of matched quotations and brackets of any length; marks without a partner bind nothing."""
+    open_ = _Open()
     out = []
     for m in _MARKED.finditer(s):
         i, c = m.start(), m.group()
         before, after = s[i - 1 : i], s[i + 1 : i + 2]
         if c == '"' or c == "'":
-            opening = (not before or before.isspace() or before in "([{—–-«„“¿¡" or c == '"' and after.isalnum() and all(x != c for x, _ in stack)) and bool(after) and not after.isspace()
+            opening = (not before or before.isspace() or before in "([{—–-«„“¿¡" or c == '"' and after.isalnum() and not open_.has(c)) and bool(after) and not after.isspace()
             if c == "'" and before.isalnum() and after.isalnum():
                 continue
-            if opening:
-                stack.append((c, i))
-            else:
-                _close(stack, out, c, i)
-        elif c in OPENERS and not (c == "“" and stack and any(x == "„" for x, _ in stack)) and not (c == "‘" and stack and any(x == "‚" for x, _ in stack)):
-            stack.append((c, i))
         elif c == "’" and before.isalnum() and after.isalnum():
             continue
         else:
-            _close(stack, out, c, i)
-    return sorted((a, b) for a, b in out if b - a <= QUOTE_MOST)
+            opening = c in OPENERS and not (c == "“" and open_.has("„")) and not (c == "‘" and open_.has("‚"))
+        if opening:
+            open_.push(c, i)
+        elif (at := open_.close(c)) is not None:
+            out.append((at, i))
+    return sorted(out)
 
 
 _MARKED = regex.compile("[" + regex.escape("".join(OPENERS)) + "”»›」』》〉）)\\]}】’\"']")
-
-
-def _close(stack: list[tuple[str, int]], out: list[tuple[int, int]], c: str, i: int) -> None:
-    del stack[:-NESTED]
-    for k in range(len(stack) - 1, -1, -1):
-        o, at = stack[k]
-        if c == o or c in OPENERS.get(o, ""):
-            out.append((at, i))
-            del stack[k:]
-            return
+#: Each mark with those it closes.
+CLOSED_BY = {c: tuple(o for o in [*OPENERS, '"', "'"] if c == o or c in OPENERS.get(o, "")) for c in {*OPENERS, *"".join(OPENERS.values()), '"', "'"}}
 
 
 def _candidates(s: str) -> list[tuple[int, int, float]]:
@@ -146,7 +165,7 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
                 out.append((e, nxt, CLOSE_STRONG + OPEN_CAPITAL + depth(e)))
                 continue
             at = m.start()
-            low = max(0, at - WORD_MOST)
+            low = max(0, at - WORD_MOST - 1)
             b = max(s.rfind(" ", low, at), s.rfind("\n", low, at), low - 1) + 1
             token = s[b:at]
             if mark == "." and at - b > 2 and token.isalpha() and token.islower() and token not in NEVER_LAST and token not in MAYBE_LAST and not DANDA.match(token):
@@ -185,7 +204,7 @@ def _opening(s: str, at: int) -> tuple[str, str, int]:
 def _closing(s: str, at: int, mark: str, nxt: int, gap: bool, quoted: bool) -> float:
     kind, word, _ = _opening(s, nxt)
     b = at
-    while b > 0 and at - b < WORD_MOST and not s[b - 1].isspace():
+    while b > 0 and at - b <= WORD_MOST and not s[b - 1].isspace():
         b -= 1
     token = s[b:at].lstrip("\"'“„«‹‘(（[{「『《¿¡")
     last = token[-1:] if token else ""
@@ -216,6 +235,16 @@ def _closing(s: str, at: int, mark: str, nxt: int, gap: bool, quoted: bool) -> f
     return _point(s, b, token, last, kind, word) + opening
 
 
+def _word_before(s: str, b: int) -> str:
+    """The word that ends before ``b``; of a longer one, its last characters."""
+    while b > 0 and s[b - 1].isspace():
+        b -= 1
+    a = b
+    while a > 0 and b - a <= WORD_MOST and not s[a - 1].isspace():
+        a -= 1
+    return s[a:b]
+
+
 def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float:
     """How far a single point after ``token`` closes a sentence."""
     low = token.casefold()
@@ -227,6 +256,8 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
         return CLOSE_MAYBE
     if DANDA.match(last):
         return NEVER
+    if len(token) > WORD_MOST:
+        return CLOSE_POINT
     if "." in token and not any(c.isdigit() for c in token):
         if "-" in token:
             return NEVER if all(len(p) <= 2 for p in regex.split(r"[.-]+", token)) else CLOSE_POINT
@@ -238,14 +269,14 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
             return CLOSE_POINT
         if token.isupper():
             return NEVER
-        before = s[max(0, b - WORD_MOST) : b].rstrip().rsplit(None, 1)[-1:] or [""]
-        if before[0][-1:].isdigit() or regex.fullmatch(r"\p{L}\.", before[0]):
+        before = _word_before(s, b)
+        if before[-1:].isdigit() or regex.fullmatch(r"\p{L}\.", before):
             return CLOSE_MAYBE if kind in ("capital", "list") else NEVER
         return NEVER
     if token.isdigit():
         if word.casefold().strip(".,") in MONTHS:
             return NEVER
-        before = (s[max(0, b - WORD_MOST) : b].split() or [""])[-1]
+        before = _word_before(s, b)
         # A short number after a finished sentence is a list number; after "Jan." or "No." it is not.
         stem = before[:-1].casefold().lstrip("(")
         if len(token) <= 2 and before[-1:] in (".", "!", "?", "…") and len(stem) > 1 and stem not in NEVER_LAST:
@@ -256,29 +287,45 @@ def _point(s: str, b: int, token: str, last: str, kind: str, word: str) -> float
 
 
 def _cut(s: str) -> tuple[tuple[int, int], ...]:
-    """Spans (start, end) of one stretch, which begins and ends with a character that is not white space."""
+    """Spans (start, end) of one stretch, which begins and ends with a character that is not white space.
+
+    Every beginning is weighed against every end. The charge for length is flat up to LONG_AT and linear beyond, so the
+    best of all far beginnings is a running maximum and the best of the others a maximum over a sliding window; only
+    beginnings so near that the span may hold no letter are tried one by one.
+    """
     cands = _candidates(s)
     if not cands:
         return ((0, len(s)),)
     starts = [0, *[c[1] for c in cands]]
     ends = [*[c[0] for c in cands], len(s)]
     gains = [*[c[2] for c in cands], 0.0]
-    best = [0.0] + [float("-inf")] * len(ends)
-    back = [0] * (len(ends) + 1)
-    for j in range(1, len(ends) + 1):
-        e, gain = ends[j - 1], gains[j - 1]
-        low = max(0, j - REACH)
-        near = range(j - 1, low - 1, -1)
-        for i in near if back[j - 1] >= low else (*near, back[j - 1]):  # the span that is open may go on without end
-            a = starts[i]
-            score = best[i] + gain
-            length = e - a
-            if length < 12 and not any(c.isalpha() for c in s[a:e]):
-                score += NO_WORD
-            if length > LONG_AT:
-                score += (length - LONG_AT) * LONG
-            if score > best[j]:
-                best[j], back[j] = score, i
+    best, back = [0.0], [0]
+    window: deque[int] = deque()  # beginnings neither near nor far, of falling score
+    far, far_at = float("-inf"), 0  # best score of a far beginning, as if its span were of no length
+    flat = long = 0  # beginnings from here on are near, or not far
+    for j, e in enumerate(ends, 1):
+        while flat < j and e - starts[flat] >= WORD_AT:
+            while window and best[window[-1]] <= best[flat]:
+                window.pop()
+            window.append(flat)
+            flat += 1
+        while long < flat and e - starts[long] > LONG_AT:
+            if best[long] - starts[long] * LONG >= far:
+                far, far_at = best[long] - starts[long] * LONG, long
+            if window and window[0] == long:
+                window.popleft()
+            long += 1
+        top, at = float("-inf"), 0
+        for i in range(j - 1, flat - 1, -1):
+            score = best[i] if any(c.isalpha() for c in s[starts[i] : e]) else best[i] + NO_WORD
+            if score > top:
+                top, at = score, i
+        if window and best[window[0]] > top:
+            top, at = best[window[0]], window[0]
+        if far + (e - LONG_AT) * LONG > top:
+            top, at = far + (e - LONG_AT) * LONG, far_at
+        best.append(top + gains[j - 1])
+        back.append(at)
     out = []
     j = len(ends)
     while j:
@@ -395,7 +442,7 @@ def sentence_units(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_at, end_at) of every sentence unit of every text that is not null or blank.
 
     Offsets count code points from 0, end exclusive, and never include white space at either end. Texts of any length
-    are taken whole; the work grows in proportion to the text. Repeated rows come out each; null keys stay null. An empty
+    are taken whole, and quotations bind at any length; the work grows in proportion to the text. Repeated rows come out each; null keys stay null. An empty
     table gives an empty result. Other columns are not read.
     """
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(r"(?U)\S"))

@@ -235,3 +235,37 @@ def test_sentence_rows(spark):
     rows = [tuple(r) for r in got.collect()]
     assert rows.count((1, 0, 4)) == 2 and (None, 0, 1) in rows and (4, 0, 300_000) in rows and sum(r[0] == 5 for r in rows) == 20_000 and len(rows) == 20_006
     assert sentences.sentence_units(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_quotations_bind_at_any_length():
+    """The same sentence with a quotation of some hundred characters or many thousand is one unit, and so is a nested one."""
+    for n in (3, 12, 30, 400):
+        said = "Stop here. Wait there. Go on. " * n
+        text = f"He wrote, \"{said.strip()}\" and left. Then he came."
+        assert [text[a:b] for a, b in sentences.units(text)] == [text[: -len(" Then he came.")], "Then he came."]
+        nested = f"She said: «He wrote “{said.strip()}” ({'(' * n}so.{')' * n}) again.» It was late."
+        assert len(sentences.units(nested)) == 2
+    deep = "(" * 50_000 + "a. B" + ")" * 40_000 + " End. More."
+    assert sentences.units(deep)[-1] == (len(deep) - 5, len(deep))
+
+
+def brute_cut(s):
+    """Every beginning tried against every end."""
+    S = sentences
+    cands = S._candidates(s)
+    starts, ends, gains = [0, *[c[1] for c in cands]], [*[c[0] for c in cands], len(s)], [*[c[2] for c in cands], 0.0]
+    best = [0.0]
+    for j, e in enumerate(ends):
+        best.append(max(best[i] + gains[j] + S.NO_WORD * (e - starts[i] < S.WORD_AT and not any(c.isalpha() for c in s[starts[i] : e])) + S.LONG * max(0, e - starts[i] - S.LONG_AT) for i in range(j + 1)))
+    return best[-1], starts, ends, gains
+
+
+def test_cuts_are_the_best_of_all():
+    rnd = random.Random(9)
+    for _ in range(300):
+        s = "".join(rnd.choice(["Ab cd", "x", ". ", "! ", '." ', "1", ' "', " (", ") ", "? 1. ", "etc. ", "Long words stand here without an end " * 4, ", ", "e.g. ", "No. "]) for _ in range(rnd.randrange(1, 90))).strip() or "x"
+        top, starts, ends, gains = brute_cut(s)
+        score = 0.0
+        for a, e in sentences._cut(s):
+            score += gains[ends.index(e)] + sentences.NO_WORD * (e - a < sentences.WORD_AT and not any(c.isalpha() for c in s[a:e])) + sentences.LONG * max(0, e - a - sentences.LONG_AT)
+        assert abs(score - top) < 1e-6
