@@ -10,6 +10,7 @@ loads, whatever the number of rows or keys.
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,7 @@ class Packing:
     heavy: dict[str, list[int]] = field(default_factory=dict)
     groups: list[int] = field(default_factory=list)
     loads: list[int] = field(default_factory=list)
+    group_of: dict[str, int] = field(default_factory=dict)  # of the heavy keys
 
 
 def _group(key: Column, n: int) -> Column:
@@ -38,11 +40,15 @@ def pack(df: DataFrame, key: str, tasks: int | None = None, split_above: float =
 
     One pass over the key column. A null key is a key like any other.
     """
-    spark = df.sparkSession
+    return pack_loads(df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n")), tasks, split_above)
+
+
+def pack_loads(per_key: DataFrame, tasks: int | None = None, split_above: float = 0.5) -> Packing:
+    """``pack`` from loads that are known already: ``per_key`` is k STRING, n, each key once."""
+    spark = per_key.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_groups = GROUPS_PER_TASK * tasks
-    # First per key (map-side combined), then per group: the heaviest keys of a group are kept by name.
-    per_key = df.groupBy(F.col(key).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    # Loads per group; the heaviest key of each group is kept by name.
     rows = (
         per_key.groupBy(_group(F.col("k"), n_groups).alias("g"))
         .agg(F.sum("n").alias("n"), F.max(F.struct("n", F.col("k").isNotNull().alias("real"), "k")).alias("top"))
@@ -52,15 +58,15 @@ def pack(df: DataFrame, key: str, tasks: int | None = None, split_above: float =
     share = max(1.0, split_above * total / tasks)
     # A group holds about 1/16 of a bin, so a second heavy key in one group is rare; a further pass finds it.
     heavy = {r.top.k: r.top.n for r in rows if r.top.n > share}
+    group_of = {r.top.k: r.g for r in rows if r.top.n > share}
     crowded = [r.g for r in rows if r.n - r.top.n > share]
     if crowded:
-        more = per_key.filter(_group(F.col("k"), n_groups).isin(crowded) & (F.col("n") > F.lit(share))).collect()
+        more = per_key.select("k", "n", _group(F.col("k"), n_groups).alias("g")).filter(F.col("g").isin(crowded) & (F.col("n") > F.lit(share))).collect()
         heavy |= {r.k: r.n for r in more}
+        group_of |= {r.k: r.g for r in more}
     light = {r.g: r.n for r in rows}
-    if heavy:
-        placed = spark.createDataFrame([(k,) for k in heavy], "k string").select("k", _group(F.col("k"), n_groups).alias("g")).collect()
-        for r in placed:
-            light[r.g] -= heavy[r.k]
+    for k, n in heavy.items():
+        light[group_of[k]] -= n
     pieces: list[tuple[float, int, str | None | int]] = []
     for k, n in heavy.items():
         shards = min(tasks, max(2, round(n / share)))
@@ -69,7 +75,7 @@ def pack(df: DataFrame, key: str, tasks: int | None = None, split_above: float =
     pieces.sort(key=lambda p: -p[0])
     bins = [(0.0, b) for b in range(tasks)]
     heapq.heapify(bins)
-    out = Packing(tasks, total, {k: [] for k in heavy}, [g % tasks for g in range(n_groups)], [0] * tasks)
+    out = Packing(tasks, total, {k: [] for k in heavy}, [g % tasks for g in range(n_groups)], [0] * tasks, group_of)
     for n, is_heavy, what in pieces:
         load, b = heapq.heappop(bins)
         if is_heavy:
@@ -81,11 +87,17 @@ def pack(df: DataFrame, key: str, tasks: int | None = None, split_above: float =
     return out
 
 
-def _shard_lists(p: Packing) -> Column:
-    """Literal list of (key, bins) of the heavy keys; their number is bounded by tasks / split_above."""
-    if not p.heavy:
-        return F.lit(None)
-    return F.create_map(*[x for k, v in p.heavy.items() if k is not None for x in (F.lit(k), F.array(*map(F.lit, v)))] or [F.lit(""), F.array(F.lit(0))])
+def _shard_list(p: Packing, key: Column) -> Column:
+    """Bins of a heavy key: a literal array of maps, one for each group of keys, so that a lookup meets few entries.
+
+    The heavy keys are bounded in number by tasks / split_above.
+    """
+    maps: list[dict[str, list[int]]] = [{} for _ in p.groups]
+    for k, bins in p.heavy.items():
+        if k is not None:
+            maps[p.group_of[k]][k] = bins
+    table = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), "array<map<string,array<int>>>")
+    return table[_group(key, len(p.groups))][key]
 
 
 def _bins_of_groups(p: Packing) -> Column:
@@ -96,7 +108,7 @@ def _bins_of_groups(p: Packing) -> Column:
 def heavy_bins(p: Packing, key: Column) -> Column:
     """Bins of a heavy key's shards, null for a light key."""
     real = [k for k in p.heavy if k is not None]
-    hit = F.when(key.isin(real), _shard_lists(p)[key]) if real else F.lit(None).cast("array<int>")
+    hit = F.when(key.isin(real), _shard_list(p, key)) if real else F.lit(None).cast("array<int>")
     if None in p.heavy:
         hit = F.when(key.isNull(), F.array(*map(F.lit, p.heavy[None]))).otherwise(hit)
     return hit
