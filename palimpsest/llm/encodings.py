@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
+import regex
+
 #: Encodings in which garbled UTF-8 shows up, each with the single bytes its characters stand for.
 UTF8_READERS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866", "koi8_r", "cp1253", "cp1254", "cp852", "cp1257")
 #: Encodings of more than one byte that readers may have assumed for UTF-8.
@@ -27,8 +30,10 @@ CHAINS = (
     *[f"utf-8>{a}>utf-8>{b}" for a in UTF8_READERS for b in UTF8_READERS],
     *[f"utf-8>{r}" for r in WIDE_READERS],
     *[f"{w}>{r}" for w, r in LEGACY],
+    "?>utf-8",  # bytes of any encoding, of which those that are no UTF-8 were replaced and are lost
 )
 NUMBER = {c: i for i, c in enumerate(CHAINS)}
+REPLACED = NUMBER["?>utf-8"]
 
 
 @lru_cache(maxsize=None)
@@ -71,6 +76,14 @@ def _options(encoding: str, case: str) -> dict[str, tuple[int, ...]]:
     return {c: tuple(v) for c, v in out.items()}
 
 
+@lru_cache(maxsize=None)
+def _shown(reader: str, case: str) -> regex.Pattern:
+    """Where a UTF-8 sequence may begin as ``reader`` shows it: a lead and, right after it, a continuation."""
+    own = _options(reader, case)
+    cls = lambda lo, hi: "[" + regex.escape("".join(c for c, b in own.items() if any(lo <= x <= hi for x in b))) + "]"
+    return regex.compile(cls(0xC2, 0xF4) + cls(0x80, 0xBF))
+
+
 def _length(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
 
@@ -80,84 +93,111 @@ def undo_utf8(text: str, reader: str, case: str = "as is") -> tuple[str, list[tu
 
     None if there is no such run. Characters that are part of no sequence stay as they are.
     """
+    if not _shown(reader, case).search(text):
+        return None
     opts = _options(reader, case)
     out, spans, i, n, hit = [], [], 0, len(text), False
     while i < n:
-        done = False
+        best = None  # (character, length); a control is what nobody writes, so any other reading goes before it
         for lead in opts.get(text[i], ()):
             k = _length(lead)
             if not k or i + k > n:
                 continue
-            seq, ok = [lead], True
+            seq = [lead]
             for j in range(1, k):
                 cont = next((b for b in opts.get(text[i + j], ()) if 0x80 <= b <= 0xBF), None)
                 if cont is None:
-                    ok = False
                     break
                 seq.append(cont)
-            if ok:
-                try:
-                    c = bytes(seq).decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                out.append(c)
-                spans.append((i, i + k))
-                i += k
-                done = hit = True
+            if len(seq) < k:
+                continue
+            try:
+                c = bytes(seq).decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if best is None or best[0] < "\xa0":
+                best = (c, k)
+            if c >= "\xa0":
                 break
-        if not done:
-            out.append(text[i])
-            spans.append((i, i + 1))
-            i += 1
+        if best is None:
+            best = (text[i], 1)
+        else:
+            hit = True
+        out.append(best[0])
+        spans.append((i, i + best[1]))
+        i += best[1]
     return ("".join(out), spans) if hit else None
 
 
-def _undo_legacy(text: str, written: str, read: str) -> str | None:
+@lru_cache(maxsize=None)
+def _to_written(written: str, read: str) -> dict[int, str]:
+    """What each character of one one-byte encoding was in another."""
+    own, theirs = bytes_of(read), _chars_of(written)
+    return {ord(c): theirs[b] for c, b in own.items() if b in theirs}
+
+
+@lru_cache(maxsize=None)
+def _to_bytes(read: str) -> dict[int, int]:
+    return {ord(c): b for c, b in bytes_of(read).items()}
+
+
+@lru_cache(maxsize=100_000)
+def _undo_word(word: str, written: str, read: str) -> str | None:
+    """A word before it was written in one encoding and read in another; None if it cannot be. It may stay the same."""
     if written in WIDE or read in WIDE:
         try:
-            raw = text.encode(read) if read in WIDE else b"".join(bytes([ord(c)]) if c < "\x80" else bytes([bytes_of(read)[c]]) for c in text)
-            back = raw.decode(written)
+            if read in WIDE:
+                back = word.encode(read).decode(written)
+            else:
+                table = _to_bytes(read)
+                back = bytes(ord(c) if c < "\x80" else table[ord(c)] for c in word).decode(written)
         except (UnicodeError, KeyError):
             return None
-        return back if back != text else None
-    own, theirs = bytes_of(read), _chars_of(written)
-    out = []
-    for c in text:
-        if c < "\x80":
-            out.append(c)
-            continue
-        b = own.get(c)
-        t = theirs.get(b) if b is not None else None
-        if t is None:
+    else:
+        table = _to_written(written, read)
+        if any(c > "\x7f" and ord(c) not in table for c in word):
             return None
-        out.append(t)
-    back = "".join(out)
-    return back if back != text else None
+        back = word.translate(table)
+    return back if _wordlike(back, word) else None
+
 
+def _damaged_runs(parts: list[str], fixed: list[str | None], gain: Callable[[str, str], float] | None) -> list[tuple[int, int]]:
+    """(first, last) of runs of words that may be damaged: no word within that cannot be undone, both ends undone.
 
-def _by_part(text: str, undo) -> list[str]:
-    """Undo the damage of the whole text and of every run of neighbouring words that has damage to undo."""
+    Words that stay the same show no damage and may lie within a run. With ``gain``, which tells how much better a word fits
+    when it is undone, a two-state dynamic programme over the words (outside, within) gives the best run and, if all
+    words can be undone, that of all of them; without it every run is listed.
+    """
+    at = [i for i, (p, f) in enumerate(zip(parts, fixed)) if f != p]
+    if gain is None:
+        return [(at[i], at[j]) for i in range(len(at)) for j in range(i, len(at)) if all(fixed[k] is not None for k in at[i : j + 1])]
     out = []
-    back = undo(text)
-    if back is not None:
-        out.append(back)
-    parts = text.split(" ")
-    at = [i for i, p in enumerate(parts) if not p.isascii()]
-    if len(at) > 8:  # of a very long text, the words one by one and all together
-        runs = [(i, i) for i in range(len(at))] + [(0, len(at) - 1)]
-    else:
-        runs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
-    fixed = {i: undo(parts[i]) for i in at}
-    for i, j in runs:
-        if all(fixed[k] is not None for k in at[i : j + 1]):
-            done = list(parts)
-            for k in at[i : j + 1]:
-                done[k] = fixed[k]
-            if (whole := " ".join(done)) not in out:
-                out.append(whole)
+    if at and all(fixed[k] is not None for k in at):
+        out.append((at[0], at[-1]))
+    top, run, begin, best = float("-inf"), float("-inf"), 0, None
+    for k in at:
+        if fixed[k] is None:
+            run = float("-inf")
+            continue
+        g = gain(parts[k], fixed[k])
+        if run > 0:
+            run += g
+        else:
+            run, begin = g, k
+        if run > top:
+            top, best = run, (begin, k)
+    if best and best not in out:
+        out.append(best)
     return out
 
 
+def _by_part(text: str, written: str, read: str, gain: Callable[[str, str], float] | None) -> list[str]:
+    """Undo the damage of runs of neighbouring words."""
+    parts = text.split(" ")
+    fixed = [p if p.isascii() else _undo_word(p, written, read) for p in parts]
+    return [" ".join([*parts[:i], *fixed[i : j + 1], *parts[j + 1 :]]) for i, j in _damaged_runs(parts, fixed, gain)]
+
+
 #: Characters besides letters and digits that names hold.
 MARKS = set("–—…’‘“”„•™«»·×&†‡€£§©®°±¡¿！？：、。「」『』・ー〜～★☆♥♪№º")
 
@@ -185,8 +225,11 @@ def _plausible(text: str) -> bool:
     return not any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") and c not in "\t\n\r" for c in text)
 
 
-def repairs(text: str) -> list[tuple[int, str]]:
-    """(chain number, text before the damage) for every chain that can be undone; the first way to a result counts."""
+def repairs(text: str, gain: Callable[[str, str], float] | None = None) -> list[tuple[int, str]]:
+    """(chain number, text before the damage) for every chain that can be undone; the first way to a result counts.
+
+    ``gain`` (given word, undone word) chooses the damaged run of a partly damaged text; see ``_damaged_runs``.
+    """
     if text.isascii():
         return []
     seen: dict[str, int] = {}
@@ -207,7 +250,6 @@ def repairs(text: str) -> list[tuple[int, str]]:
                     note(f"utf-8>{b}>utf-8>{a}", twice[0])
             note(f"utf-8>{a}", once[0])
     for w, r in (*(("utf-8", r) for r in WIDE_READERS), *LEGACY):
-        for back in _by_part(text, lambda t, w=w, r=r: _undo_legacy(t, w, r)):
-            if _wordlike(back, text):
-                note(f"{w}>{r}", back)
+        for back in _by_part(text, w, r, gain):
+            note(f"{w}>{r}", back)
     return [(c, t) for t, c in seen.items()]

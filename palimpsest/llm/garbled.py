@@ -1,10 +1,12 @@
 """Garbled text from wrong character encoding: expectation-maximisation over latent encoding chains.
 
 Every name was written and read through some unknown chain of encodings, mostly none. For each name the chains that can
-be undone are listed with what they would give. The E-step weighs them by the chain's frequency in the name's field, by how
-well the text before the damage fits the language of all names (frequencies of character pairs), and by whether that
-text also stands in other records of the same source; the M-step re-estimates the frequencies from the weights. Parameters
-are of bounded size (chains and hashed character pairs), so that only they travel between the rounds.
+be undone are listed with what they would give. The E-step weighs them by the chain's frequency in the name's source and
+field, by how well the text before the damage fits the language of all names (frequencies of character pairs), and by whether
+that text also stands in other records of the same source. The frequencies of a source's field are a Dirichlet mixture:
+the expected chains of its other names, shrunk to the frequencies of the field. The M-step re-estimates the field's
+frequencies and the character pairs from the weights. Only parameters of bounded size travel between the rounds: chains by
+field, hashed character pairs, and chains of the few sources that are too large for one row.
 """
 
 from __future__ import annotations
@@ -12,14 +14,18 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from .encodings import CHAINS, LOST, repairs
+from ..operators.skew import pack_loads, skew_join
+from ..scratch import discard, materialize
+from .collapse import canonical
+from .encodings import CHAINS, LOST, REPLACED, repairs
 
 #: Hashed character pairs, and what is added to each count.
 PAIRS, SMOOTH = 1 << 17, 0.02
@@ -27,16 +33,31 @@ PAIRS, SMOOTH = 1 << 17, 0.02
 PER_PAIR = 6.5
 #: Share of names taken to be undamaged before anything is known.
 CLEAN = 0.85
-ROUNDS = 4
+#: Log probability that a writer puts U+FFFD in a name; readers put it for bytes that they cannot read.
+WRITTEN_LOST = -25.0
+#: What writers seldom put, which the folded character pairs do not show, with its log probability: a capital right after
+#: a small letter, and a no-break space.
+ODD, WRITTEN_ODD = regex.compile(r"(?<=\p{Ll})\p{Lu}|\u00a0"), -4.0
+#: Names' worth of the field's frequencies in those of a source's field.
+SHRINK = 4.0
+#: The rounds end when no chain's frequency moves by more than this, at the latest after so many.
+TOLERANCE, ROUNDS = 1e-3, 20
+#: Names of a source that are weighed together in one row; a source with more is cut into rows of about this size.
+SOURCE_NAMES = 10_000
 
 
 def fold_name(s: str) -> str:
     return " ".join(unicodedata.normalize("NFC", s).casefold().split())
 
 
+@lru_cache(maxsize=200_000)
+def _pair_id(two: str) -> int:
+    return zlib.crc32(two.encode("utf-8", "surrogatepass")) % PAIRS
+
+
 def pair_ids(text: str) -> list[int]:
     t = " " + fold_name(text) + " "
-    return [zlib.crc32(t[i : i + 2].encode("utf-8", "surrogatepass")) % PAIRS for i in range(len(t) - 1) if not (t[i] < "\x80" and t[i + 1] < "\x80")]
+    return [_pair_id(t[i : i + 2]) for i in range(len(t) - 1) if not (t[i] < "\x80" and t[i + 1] < "\x80")]
 
 
 def support(there: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -45,76 +66,141 @@ def support(there: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.where(there > 0, np.maximum(0.0, 4 + 3 * np.minimum(1.0, ratio)), 0.0)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        names, chains, texts, pairs = [], [], [], []
-        for name in b.column(0).to_pylist():
-            for chain, text in [(0, name), *repairs(name)]:
-                names.append(name)
-                chains.append(chain)
-                texts.append(text)
-                pairs.append(pair_ids(text))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(chains, pa.int32()), pa.array(texts, pa.string()), pa.array(pairs, pa.list_(pa.int32()))], ["name", "chain", "text", "pairs"])
+def _log_pairs(pairs: np.ndarray) -> np.ndarray:
+    return np.log((pairs + SMOOTH) / (pairs.sum() + SMOOTH * PAIRS)) + PER_PAIR
 
 
-class Model:
-    """Parameters of one round: chain frequencies per field and frequencies of character pairs."""
+def _candidates(log_pairs: np.ndarray):
+    """Lists the candidates of each name: the name as it is, what every chain gives, and U+FFFD as a chain of its own.
 
-    def __init__(self, prior: dict[str, np.ndarray], pairs: np.ndarray):
-        self.prior, self.pairs = prior, pairs
-        self.log_pairs = np.log((pairs + SMOOTH) / (pairs.sum() + SMOOTH * PAIRS))
+    Where words of a name are damaged and others not, the run of damaged words is chosen by the character pairs of all
+    names as they are given.
+    """
 
-    def weigh(self, fields: list[str], g: Groups) -> np.ndarray:
-        """Posterior of every candidate of a batch; those of one name add up to 1."""
-        fit = np.concatenate([[0.0], np.cumsum(self.log_pairs[g.pairs] + PER_PAIR)])
-        lp = fit[g.pair_ends] - fit[g.pair_starts]
-        own = np.repeat(g.hit[g.starts], g.sizes)  # the first candidate of a name is the name as it is
-        lp += np.where(g.chain > 0, support(g.hit, own), 0.0)
-        for f in set(fields):
-            rows = np.repeat(np.array([x == f for x in fields]), g.sizes)
-            lp[rows] += np.log(self.prior[f])[g.chain[rows]]
-        lp = np.exp(lp - np.repeat(np.maximum.reduceat(lp, g.starts), g.sizes))
-        return lp / np.repeat(np.add.reduceat(lp, g.starts), g.sizes)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=100_000)
+        def fit(word: str) -> float:
+            return float(log_pairs[pair_ids(word)].sum()) + WRITTEN_ODD * len(ODD.findall(word))
 
+        def gain(given: str, undone: str) -> float:
+            return fit(undone) - fit(given)
 
-class Groups:
-    """The candidate lists of a batch as flat arrays."""
+        for b in batches:
+            names, chains, texts, sizes = b.column(0), [], [], [0]
+            for name in names.to_pylist():
+                for chain, text in [(0, name), *repairs(name, gain), *[(REPLACED, name)] * (LOST in name)]:
+                    chains.append(chain)
+                    texts.append(text)
+                sizes.append(len(chains))
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(chains, pa.int32()), pa.array(texts, pa.string())], ["chain", "text"]))
+            yield pa.RecordBatch.from_arrays([names, lists], ["name", "cands"])
 
-    def __init__(self, column: pa.ListArray):
-        ends = column.offsets.to_numpy()
-        c = column.flatten()
-        self.starts, self.sizes = ends[:-1] - ends[0], np.diff(ends)
-        self.chain, self.hit = c.field("chain").to_numpy(), c.field("hit").to_numpy()
-        pairs = c.field("pairs")
-        at = pairs.offsets.to_numpy()
-        self.pairs = pairs.flatten().to_numpy()
-        self.pair_starts, self.pair_ends = at[:-1] - at[0], at[1:] - at[0]
-        self.texts = c.field("text")
+    return run
 
 
-def _start(fields: list[str], pairs: np.ndarray) -> Model:
-    p = np.full(len(CHAINS), (1 - CLEAN) / (len(CHAINS) - 1))
-    p[0] = CLEAN
-    return Model({f: p for f in fields}, pairs)
+class Groups:
+    """A batch of rows (source, uses), a use being (field, name, n, cands), as flat arrays."""
+
+    def __init__(self, b: pa.RecordBatch, fields: list[str]):
+        self.source = b.column(0).to_pylist()
+        uses = b.column(1)
+        of_group = np.diff(uses.offsets.to_numpy())
+        u = uses.flatten()
+        self.uses = u
+        self.group = np.repeat(np.arange(len(of_group)), of_group)
+        number = {f: i for i, f in enumerate(fields)}
+        self.field = np.array([number[f] for f in u.field("field").to_pylist()], np.int64)
+        self.n = u.field("n").to_numpy()
+        cands = u.field("cands")
+        ends = cands.offsets.to_numpy()
+        self.starts, self.sizes = ends[:-1] - ends[0], np.diff(ends)
+        c = cands.flatten()
+        self.use = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.chain, hit = c.field("chain").to_numpy(), c.field("hit").to_numpy()
+        self.texts = c.field("text")
+        own = hit[self.starts][self.use]  # the first candidate of a name is the name as it is
+        texts = self.texts.to_pylist()
+        ids = [pair_ids(t) for t in texts]
+        self.pair_sizes = np.array([len(x) for x in ids], np.int64)
+        self.pairs = np.array([i for x in ids for i in x], np.int64)
+        lost, odd = np.array([LOST in t for t in texts]), np.array([len(ODD.findall(t)) for t in texts])
+        self.given = np.where(self.chain > 0, support(hit, own), 0.0) + np.where(lost & (self.chain != REPLACED), WRITTEN_LOST, 0.0) + WRITTEN_ODD * odd
 
 
-def _e_step(model: Model):
+class Model:
+    """Parameters of one round: chain frequencies by field, log frequencies of character pairs, and the expected chain
+    counts of the sources that are cut, by source and field."""
+
+    def __init__(self, fields: list[str], prior: np.ndarray, log_pairs: np.ndarray, cut: dict[tuple[str, int], np.ndarray]):
+        self.fields, self.prior, self.log_pairs, self.cut = fields, prior, log_pairs, cut
+
+    def weigh(self, g: Groups) -> np.ndarray:
+        """Posterior of every candidate; those of one use add up to 1.
+
+        Within a source's field the weights and the chain counts they give are refined in turn until they agree. A use
+        does not count for itself.
+        """
+        if not len(g.chain):
+            return np.zeros(0)
+        fit = np.concatenate([[0.0], np.cumsum(self.log_pairs[g.pairs])])
+        at = np.concatenate([[0], np.cumsum(g.pair_sizes)])
+        lp = fit[at[1:]] - fit[at[:-1]] + g.given
+        field, n = g.field[g.use], g.n[g.use]
+        base = self.prior[field, g.chain]
+        place = g.group[g.use] * len(self.fields) + field
+        key, of_key = np.unique(place * len(CHAINS) + g.chain, return_inverse=True)
+        mine, of_mine = np.unique(g.use * len(CHAINS) + g.chain, return_inverse=True)  # a chain may give a use two candidates
+        total = np.bincount(g.group * len(self.fields) + g.field, g.n, len(g.source) * len(self.fields))[place]
+        shares = [self.cut.get((s, f)) for s in g.source for f in range(len(self.fields))]
+        fixed = np.array([x is not None for x in shares])[place]
+        if fixed.any():
+            rows = np.flatnonzero(fixed)
+            total = total.astype(float)
+            total[rows] = [shares[p].sum() for p in place[rows]]
+            whole = np.array([shares[p][c] for p, c in zip(place[rows], g.chain[rows])])
+        w = _normal(lp + np.log(base), g)
+        for _ in range(12):
+            counts = np.bincount(of_key, w * n, len(key))[of_key]
+            if fixed.any():
+                counts[rows] = whole
+            own = np.bincount(of_mine, w, len(mine))[of_mine] * n
+            prior = (np.maximum(counts - own, 0.0) + SHRINK * base) / (np.maximum(total - n, 0.0) + SHRINK)
+            new = _normal(lp + np.log(prior), g)
+            moved = np.abs(new - w).max()
+            w = new
+            if moved < 1e-3:
+                break
+        return w
+
+
+def _normal(lp: np.ndarray, g: Groups) -> np.ndarray:
+    lp = np.exp(lp - np.maximum.reduceat(lp, g.starts)[g.use])
+    return lp / np.add.reduceat(lp, g.starts)[g.use]
+
+
+def _e_step(model: Model, cut: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains: dict[str, np.ndarray] = {}
+        chains = np.zeros((len(model.fields), len(CHAINS)))
         pairs = np.zeros(PAIRS)
+        large: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            fields, n, g = b.column(0).to_pylist(), b.column(1).to_numpy(), Groups(b.column(2))
-            w = model.weigh(fields, g) * np.repeat(n, g.sizes)
-            pairs += np.bincount(g.pairs, np.repeat(w, g.pair_ends - g.pair_starts), PAIRS)
-            for f in set(fields):
-                rows = np.repeat(np.array([x == f for x in fields]), g.sizes)
-                chains[f] = chains.get(f, 0) + np.bincount(g.chain[rows], w[rows], len(CHAINS))
-        rows = [("", i, float(pairs[i])) for i in np.flatnonzero(pairs)] + [(f, i, float(v[i])) for f, v in chains.items() for i in np.flatnonzero(v)]
+            g = Groups(b, model.fields)
+            w = model.weigh(g) * g.n[g.use]
+            pairs += np.bincount(g.pairs, np.repeat(w, g.pair_sizes), PAIRS)
+            np.add.at(chains, (g.field[g.use], g.chain), w)
+            for i, s in enumerate(g.source):
+                if s in cut:
+                    rows = g.group[g.use] == i
+                    for f in np.unique(g.field[g.use[rows]]):
+                        own = rows & (g.field[g.use] == f)
+                        large[s, int(f)] = large.get((s, int(f)), 0) + np.bincount(g.chain[own], w[own], len(CHAINS))
+        rows = [(None, -1, i, pairs[i]) for i in np.flatnonzero(pairs)] + [(None, f, c, chains[f, c]) for f, c in zip(*np.nonzero(chains))]
+        rows += [(s, f, c, v[c]) for (s, f), v in large.items() for c in np.flatnonzero(v)]
         if rows:
-            f, i, v = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.array(i, np.int32)), pa.array(v)], ["field", "i", "v"])
+            s, f, i, v = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(np.array(f, np.int32)), pa.array(np.array(i, np.int32)), pa.array(np.array(v, float))], ["source", "field", "i", "v"])
 
     return run
 
@@ -128,79 +214,105 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.array(at, np.int32)), pa.array(total[at])], ["i", "v"])
 
 
+def _counted(names: DataFrame) -> np.ndarray:
+    """Pair counts of (name, n): at most PAIRS numbers come to the driver."""
+    out = np.zeros(PAIRS)
+    got = names.select("name", F.col("n").cast("double")).mapInArrow(_pair_counts, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out[got.i] = got.v
+    return out
+
+
 def _judge(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            fields, g = b.column(0).to_pylist(), Groups(b.column(3))
-            w = model.weigh(fields, g)
-            clean = np.add.reduceat(np.where(g.chain == 0, w, 0.0), g.starts)
-            best = [a + int(np.argmax(np.where(g.chain[a : a + k], w[a : a + k], -1.0))) for a, k in zip(g.starts, g.sizes)]
-            out = [b.column(0), b.column(1), b.column(2), pa.array([CHAINS[c] for c in g.chain[best]]), g.texts.take(pa.array(best)), pa.array(1 - clean, pa.float64())]
+            g = Groups(b, model.fields)
+            w = model.weigh(g)
+            clean = np.bincount(g.use, np.where(g.chain == 0, w, 0.0), len(g.starts))
+            hit = np.flatnonzero(clean <= 0.5)
+            alone = np.where(g.chain > 0, w, -1.0)
+            best = [int(g.starts[u]) + int(np.argmax(alone[g.starts[u] : g.starts[u] + g.sizes[u]])) for u in hit]
+            take = pa.array(np.array(best, np.int64))
+            source = pa.array([g.source[i] for i in g.group[hit]], pa.string())
+            uses = g.uses.take(pa.array(hit))
+            out = [uses.field("field"), source, uses.field("name"), pa.array([CHAINS[c] for c in g.chain[best]] if len(best) else [], pa.string()), g.texts.take(take), pa.array(1 - clean[hit], pa.float64())]
             yield pa.RecordBatch.from_arrays(out, ["field", "source", "name", "chain", "text", "damaged"])
 
     return run
 
 
-def find_garbled(records: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _low(c: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(c), r"(?U)\s+", " "))
+
+
+def find_garbled(records: DataFrame, rounds: int = ROUNDS, source_names: int = SOURCE_NAMES) -> DataFrame:
     """(field, row_key, name, damaged, chain, restored) of every record whose name, or part of it, was wrongly decoded.
 
-    ``records``: field, row_key, source, name. ``damaged`` is the posterior probability of damage, 0.5 or more; a name with
-    U+FFFD is damaged for certain, with chain null unless the rest shows it. restored is null where the name can no
-    longer be known. Null and blank names are no cases; plain ASCII names never are. Repeated rows come out each. An
+    ``records``: field, row_key, source, name. ``damaged`` is the posterior probability of damage, 0.5 or more; chain is
+    the likeliest one, ``?>utf-8`` for names with U+FFFD of which no more is known. restored is null where the name can
+    no longer be known. Null and blank names are no cases; plain ASCII names never are. Repeated rows come out each. An
     empty table gives an empty result. A null source shares no evidence.
     """
+    spark = records.sparkSession
     named = records.select("field", "row_key", "source", "name").filter(F.col("name").rlike(r"(?U)\S") & (F.octet_length("name") > F.char_length("name")))
     uses = materialize(named.groupBy("field", "source", "name").agg(F.count(F.lit(1)).alias("n")), "uses")
-    schema = "name string, chain int, text string, pairs array<int>"
-    # A fixed number of partitions: few bytes here mean much work, and small partitions must not be merged.
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cands = materialize(uses.select("name").repartition(n, "name").distinct().mapInArrow(_candidates, schema), "candidates")
-    # Which names could be undone at all, and where the result stands elsewhere in the source. Both sides are distinct,
-    # and the key is the pair of source and name: a source with a third of all records is no hot key.
-    open_names = cands.groupBy("name").agg(F.max("chain").alias("top")).filter("top > 0").select("name")
-    open_uses = uses.join(open_names, "name")
-    there = records.select("source", F.lower(F.regexp_replace(F.trim("name"), r"(?U)\s+", " ")).alias("low")).filter("source is not null and low is not null")
-    there = there.groupBy("source", "low").agg(F.count(F.lit(1)).alias("hit"))
-    tried = open_uses.join(cands, "name").withColumn("low", F.lower(F.regexp_replace(F.trim("text"), r"(?U)\s+", " ")))
-    tried = tried.join(there, ["source", "low"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    tried = tried.repartition(n, "field", "source", "name").groupBy("field", "source", "name").agg(F.max("n").cast("double").alias("n"), F.sort_array(F.collect_list(F.struct("chain", "text", "hit", "pairs"))).alias("cands"))
-    tried = materialize(tried, "tried")
-
-    # Names without an alternative speak for the language from the start and in every round.
-    plain = uses.join(open_names, "name", "left_anti").filter(~F.col("name").contains(LOST)).select("name", F.col("n").cast("double").alias("n"))
-    base = np.zeros(PAIRS)
-    for r in plain.mapInArrow(_pair_counts, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # at most PAIRS rows
-        base[r.i] = r.v
-    n_plain = {r.field: r.n for r in uses.join(open_names, "name", "left_anti").groupBy("field").agg(F.sum("n").alias("n")).collect()}
-    fields = sorted({r.field for r in uses.select("field").distinct().collect()})
+    fields = sorted(r.field for r in uses.select("field").distinct().collect())
     if not fields:
         return records.select("field", "row_key", "name", F.lit(1.0).alias("damaged"), F.lit("").alias("chain"), F.col("name").alias("restored")).limit(0)
-    all_names = np.array(base)
-    for r in tried.select("name", "n").mapInArrow(_pair_counts, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-        all_names[r.i] += r.v
-    model = _start(fields, all_names)
+    given = _log_pairs(_counted(uses.select("name", "n")))
+    # A fixed number of partitions: few bytes here mean much work, and small partitions must not be merged.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cands = uses.select("name").repartition(parts, "name").distinct().mapInArrow(_candidates(given), "name string, cands array<struct<chain:int,text:string>>")
+    cands = materialize(cands, "candidates")
+    open_ = cands.filter(F.size("cands") > 1)
+
+    # Where what a chain gives also stands elsewhere in the source. Both sides are distinct, and the key is the pair of
+    # source and text: a source with a third of all records is no hot key.
+    there = records.select("source", _low(F.col("name")).alias("low")).filter("source is not null and low is not null").groupBy("source", "low").agg(F.count(F.lit(1)).alias("hit"))
+    tried = uses.join(open_, "name").select("field", "source", "name", "n", F.posexplode("cands").alias("k", "c"))
+    tried = tried.select("field", "source", "name", "n", "k", "c.chain", "c.text", _low(F.col("c.text")).alias("low")).join(there, ["source", "low"], "left")
+    cand = F.struct("k", "chain", "text", F.coalesce("hit", F.lit(0)).alias("hit"))
+    tried = tried.groupBy("field", "source", "name").agg(F.max("n").cast("double").alias("n"), F.sort_array(F.collect_list(cand)).alias("cands"))
+    # Names without an alternative speak for the language, for their field and for their source, in sum.
+    plain = materialize(uses.join(open_.select("name"), "name", "left_anti"), "plain")
+    as_is = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("chain"), F.lit("").alias("text"), F.lit(0).cast("long").alias("hit")))
+    sums = plain.groupBy("field", "source").agg(F.sum("n").cast("double").alias("n")).select("field", "source", F.lit("").alias("name"), "n", as_is.alias("cands"))
+    tried = tried.unionByName(sums)
+    # One row for each source, a source with very many names being cut. A null source has a row for each name.
+    sizes = uses.filter("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("m"))
+    bound = max(source_names, sizes.agg(F.sum("m")).first()[0] // 1000 if source_names == SOURCE_NAMES else 0)
+    large = {r.source: -(-r.m // bound) for r in sizes.filter(F.col("m") > bound).collect()}  # at most a thousand
+    salt = F.pmod(F.xxhash64("name"), F.lit(max(large.values(), default=1)))
+    salt = F.when(F.col("source").isNull(), F.xxhash64("field", "name")).when(F.col("source").isin(list(large)), salt).otherwise(0)
+    tried = tried.groupBy("source", salt.alias("salt")).agg(F.collect_list(F.struct("field", "name", "n", "cands")).alias("uses"))
+    tried = materialize(tried.select("source", "uses").repartition(parts), "tried")
+
+    base = _counted(plain.select("name", "n"))
+    prior = np.full((len(fields), len(CHAINS)), (1 - CLEAN) / (len(CHAINS) - 1))
+    prior[:, 0] = CLEAN
+    model = Model(fields, prior, given, {})
     for _ in range(rounds):
-        step = tried.select("field", "n", "cands").mapInArrow(_e_step(model), "field string, i int, v double")
-        got = step.groupBy("field", "i").agg(F.sum("v").alias("v")).collect()  # at most PAIRS + chains x fields rows
-        pairs, prior = base.copy(), {f: np.full(len(CHAINS), 0.02) for f in fields}
-        for f in fields:
-            prior[f][0] += n_plain.get(f, 0)
-        for r in got:
-            if r.field:
-                prior[r.field][r.i] += r.v
-            else:
-                pairs[r.i] += r.v
-        model = Model({f: p / p.sum() for f, p in prior.items()}, pairs)
-    out = tried.select("field", "source", "name", "cands").mapInArrow(_judge(model), "field string, source string, name string, chain string, text string, damaged double")
-    judged = out.filter("damaged >= 0.5")
-    # A source's (field, name) is judged once; its records are found again by equality, null sources included.
-    same = (F.col("r.field") == F.col("j.field")) & F.col("r.source").eqNullSafe(F.col("j.source")) & (F.col("r.name") == F.col("j.name"))
-    rows = named.alias("r").join(judged.alias("j"), same, "left")
-    lost = F.col("r.name").contains(LOST)
-    clear = F.col("j.damaged").isNotNull() & ~F.col("j.text").contains(LOST)
-    return rows.filter(lost | F.col("j.damaged").isNotNull()).select(
-        F.col("r.field").alias("field"), F.col("r.row_key").alias("row_key"), F.col("r.name").alias("name"),
-        F.when(lost, 1.0).otherwise(F.col("j.damaged")).alias("damaged"), F.col("j.chain").alias("chain"), F.when(clear, F.col("j.text")).alias("restored"),
-    )
+        step = tried.mapInArrow(_e_step(model, set(large)), "source string, field int, i int, v double")
+        got = step.groupBy("source", "field", "i").agg(F.sum("v").alias("v")).toPandas()  # PAIRS + chains x (fields + cut sources) at most
+        pairs, prior, cut = base.copy(), np.full((len(fields), len(CHAINS)), 0.02), {}
+        language, by_field = got[got.field < 0], got[(got.field >= 0) & got.source.isna()]
+        pairs[language.i] += language.v
+        prior[by_field.field, by_field.i] += by_field.v
+        for r in got[got.source.notna()].itertuples():
+            cut.setdefault((r.source, r.field), np.zeros(len(CHAINS)))[r.i] += r.v
+        prior /= prior.sum(axis=1, keepdims=True)
+        moved = np.abs(prior - model.prior).max()
+        model = Model(fields, prior, _log_pairs(pairs), cut)
+        if moved <= TOLERANCE:
+            break
+    judged = materialize(tried.mapInArrow(_judge(model), "field string, source string, name string, chain string, text string, damaged double").filter("damaged >= 0.5 and name <> ''"), "judged")
+    for t in (cands, plain, tried):
+        discard(t)
+    # A source's (field, name) is judged once; its records are found again by equality, however many they are.
+    key = canonical(F.col("field"), F.col("source"), F.col("name"))
+    clear = ~F.col("text").contains(LOST)
+    found = judged.select(key.alias("key"), "damaged", "chain", F.when(clear, F.col("text")).alias("restored"))
+    packing = pack_loads(uses.select(key.alias("k"), "n"))
+    rows = skew_join(named.select(key.alias("key"), "field", "row_key", "name"), found, "key", packing=packing)
+    return rows.select("field", "row_key", "name", "damaged", "chain", "restored")

@@ -269,3 +269,35 @@ def test_cuts_are_the_best_of_all():
         for a, e in sentences._cut(s):
             score += gains[ends.index(e)] + sentences.NO_WORD * (e - a < sentences.WORD_AT and not any(c.isalpha() for c in s[a:e])) + sentences.LONG * max(0, e - a - sentences.LONG_AT)
         assert abs(score - top) < 1e-6
+
+
+# --- 1, runs of words and cut sources ---
+
+
+@pytest.mark.parametrize("n", [3, 8, 9, 40])
+def test_a_damaged_run_is_found_among_any_number_of_words(n):
+    """The dynamic programme finds the run that is best of all listed ones, however many words the name has."""
+    good = ["Über", "große", "Türme", "für", "später"] * 8
+    parts = good[:n]
+    parts[1:3] = [w.encode("cp1250").decode("cp852") for w in ("große", "Türme")]
+    fixed = [N._undo_word(p, "cp1250", "cp852") for p in parts]
+    right = set(good)
+    gain = lambda given, undone: (undone in right) - (given in right)
+    runs = N._damaged_runs(parts, fixed, gain)
+    assert (1, 2) in runs and set(runs) <= set(N._damaged_runs(parts, fixed, None)) and len(runs) <= 2
+    assert " ".join(good[:n]) in [t for _, t in N.repairs(" ".join(parts), gain)]
+
+
+def test_cut_sources_are_judged_alike(spark):
+    """A source whose names lie in many rows is judged as one whose names lie in one, and names restored are right."""
+    rnd = random.Random(11)
+    rows, bad = [], {}
+    for i in range(600):
+        n = f"{CLEAN[i % len(CLEAN)]} {i}"
+        if i % 4 == 0 and (d := damage(n, "utf-8", rnd.choice(["cp1252", "cp437"]))) != n:
+            bad[i], n = n, d
+        rows.append(("t", i, "one" if i % 3 else f"s{i % 40}", n))
+    df = spark.createDataFrame(rows, "field string, row_key long, source string, name string")
+    near, cut = ({r.row_key: r.restored for r in garbled.find_garbled(df, source_names=m).collect()} for m in (garbled.SOURCE_NAMES, 20))
+    assert near == cut and set(near) <= set(bad) and len(near) >= 0.9 * len(bad)
+    assert sum(near[i] == bad[i] for i in near) >= 0.97 * len(near)
