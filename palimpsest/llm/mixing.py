@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 #: Fractions of a copy are multiples of 2**-BITS.
 BITS = 24
 #: Rows a bucket holds on average.
@@ -40,13 +42,15 @@ def plan_rates(sizes: DataFrame, targets: DataFrame, total: int | None = None) -
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(rows, shares) of a mix of ``documents``: key, source, size.
 
-    rows: key, source, size, copy_no, one row per use, copy_no from 1. shares: source, target_share, actual_share,
-    have, used, max_repeats, most_repeats, for every source of either table; target_share is null for a source without
-    a target, which is not used. Null sources, null sizes and sizes below 1 are not used. Keys must be unique and not
+    rows: key, source, size, copy_no, one row per use, copy_no from 1. shares: source, target_share, aimed_share,
+    actual_share, have, used, max_repeats, most_repeats, for every source of either table. target_share is relative to all
+    targets, and null for a source without one, which is not used; aimed_share is relative to the sources there are, and
+    null for those that cannot be used. aimed_share is what the mix expects to reach: actual_share differs from it by
+    what single documents make up, and by caps where a ``total`` is asked for. Null sources, null sizes and sizes below 1 are not used. Keys must be unique and not
     null. Empty inputs give empty rows. Equal seeds give equal mixes.
     """
     docs = documents.select("key", "source", F.col("size").cast("long").alias("size"))
-    rates = plan_rates(docs, targets, total).persist()
+    rates = materialize(plan_rates(docs, targets, total), "rates")
     largest = rates.agg(F.max("n_docs")).first()[0] or 1
     buckets = max(1, -(-largest // BUCKET_ROWS))
     placed = (
@@ -73,11 +77,13 @@ def _shares(used: DataFrame, rates: DataFrame, docs: DataFrame, targets: DataFra
     got = used.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.max("copies").alias("most_repeats"))
     have = docs.filter("source is not null").groupBy("source").agg(F.sum(F.coalesce("size", F.lit(0))).alias("have"))
     want = targets.filter("source is not null").groupBy("source").agg(F.sum("target_weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    all_ = have.join(want, "source", "full").join(got, "source", "left")
+    aims = rates.select("source", F.col("weight").alias("aim"))
+    all_ = have.join(want, "source", "full").join(got, "source", "left").join(aims, "source", "left")
     over = Window.partitionBy(F.lit(0))  # one row per source
     return all_.select(
         "source",
         (F.col("weight") / F.sum("weight").over(over)).alias("target_share"),
+        (F.col("aim") / F.sum("aim").over(over)).alias("aimed_share"),
         (F.coalesce("used", F.lit(0)) / F.sum("used").over(over)).alias("actual_share"),
         F.coalesce("have", F.lit(0)).alias("have"),
         F.coalesce("used", F.lit(0)).alias("used"),

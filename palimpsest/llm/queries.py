@@ -163,4 +163,5 @@ ORACLE = {
       groups AS (SELECT path, min(file_id) AS group_id FROM recs WHERE path IS NOT NULL GROUP BY path HAVING count(*) >= 2 AND bool_or(is_enabled)),
       wins AS (SELECT path, first(file_id {_ORDER}) AS win_id, first(file_id {_ORDER}) FILTER (named) AS name_id FROM recs WHERE is_enabled GROUP BY path)
       SELECT group_id, win_id, coalesce(name_id, 0) AS name_id FROM groups JOIN wins USING (path)""",
+    "p7_round_trip": "SELECT doc_id FROM documents WHERE false",
 }

@@ -17,6 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import pack_loads, skew_join
 from ..scratch import materialize
 
 #: Where the public vocabularies lie; a parameter of every function that needs one.
@@ -39,6 +40,8 @@ class Vocabulary:
     #: Slots of (left id << 34 | right id << 17 | merged id) + 1, 0 if free; merged id is the rank.
     table: tuple[int, ...]
     seeds: tuple[int, int]
+    #: Bit ``first << 8 | second``, in words of 32 bits: whether the two bytes stand side by side in any piece.
+    beside: tuple[int, ...]
 
 
 #: Odd multipliers of 28 bits: with pairs of 34 bits no product overflows a BIGINT.
@@ -72,7 +75,10 @@ def load(path: str = VOCABULARY) -> Vocabulary:
     by_id = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         by_id[rank] = piece
-    return Vocabulary(tuple(by_id), tuple(ranks[bytes([i])] for i in range(256)), tuple(table), seeds)
+    beside = [0] * 2048
+    for a, b in {(p[i], p[i + 1]) for p in ranks for i in range(len(p) - 1)}:
+        beside[a << 3 | b >> 5] |= 1 << (b & 31)
+    return Vocabulary(tuple(by_id), tuple(ranks[bytes([i])] for i in range(256)), tuple(table), seeds, tuple(beside))
 
 
 def _cuckoo(pairs: dict[int, int], seeds: tuple[int, int], size: int) -> list[int] | None:
@@ -118,42 +124,85 @@ def _ranker(v: Vocabulary, table: Column):
 
 
 def encode_word(word: Column, v: Vocabulary) -> Column:
-    """Ids of one word by folding ranked merges over its bytes: the leftmost pair of least rank joins at each step."""
+    """Ids of one word by folding ranked merges over its bytes: the leftmost pair of least rank joins at each step.
+
+    All pairs of least rank join in one step where that gives the same as one after the other: where no pair that
+    arises on the way ranks lower. A long word is first cut between bytes that stand side by side in no piece, which no
+    merge can cross. Both keep the work on words of any length near to linear and change no id.
+    """
     return let(_longs(v.table), lambda table: _encode_word(word, v, table))  # the literal stands in the plan once
 
 
+#: Words of more bytes are cut where no merge crosses, and their equal pairs join together. Speed only.
+LONG_WORD = 48
+
+
 def _encode_word(word: Column, v: Vocabulary, table: Column) -> Column:
     rank = _ranker(v, table)
     byte_ids = _longs(v.byte_ids)
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.transform(chars, lambda c: byte_ids[F.ascii(c)].cast("int"))
+    bytes_ = F.transform(chars, lambda c: F.ascii(c))
     none = F.array().cast("array<int>")
 
-    def begin(ids: Column) -> Column:
+    def ranks_of(ids: Column) -> Column:
         n = F.size(ids)
-        ranks = F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), rank)
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+        return F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), rank)
+
+    def state(ids: Column, ranks: Column) -> Column:
+        """Ids, ranks of their pairs, and the least rank, null if nothing joins any more."""
+        return let(F.struct(ids.alias("ids"), ranks.alias("ranks")), lambda x: F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.array_min(x["ranks"]).alias("m")))
 
-    def join(acc: Column, m: Column) -> Column:
+    def join_one(acc: Column) -> Column:
+        m = acc["m"]
         return let(
             F.struct(F.array_position(acc["ranks"], m).cast("int").alias("i"), F.size(acc["ids"]).alias("n")),
-            lambda x: F.struct(
-                F.concat(F.slice(acc["ids"], 1, x["i"] - 1), F.array(m), F.slice(acc["ids"], x["i"] + 2, x["n"])).alias("ids"),
+            lambda x: state(
+                F.concat(F.slice(acc["ids"], 1, x["i"] - 1), F.array(m), F.slice(acc["ids"], x["i"] + 2, x["n"])),
                 F.concat(
                     F.when(x["i"] > 1, F.concat(F.slice(acc["ranks"], 1, F.greatest(x["i"] - 2, F.lit(0))), F.array(rank(acc["ids"][x["i"] - 2], m)))).otherwise(none),
                     F.when(x["i"] + 1 < x["n"], F.array(rank(m, acc["ids"][x["i"] + 1]))).otherwise(none),
                     F.slice(acc["ranks"], x["i"] + 2, x["n"]),
-                ).alias("ranks"),
+                ),
             ),
         )
 
+    def join_all(acc: Column) -> Column:
+        """Every pair of least rank at once, overlapping ones from the left; null where that might differ."""
+        m, ids = acc["m"], acc["ids"]
+        shown = F.array_join(F.transform(acc["ranks"], lambda r: F.when(r == m, "1").otherwise("0")), "")
+        marks = F.split(F.regexp_replace(shown, "11", "1x"), "")
+
+        def joined(marks: Column) -> Column:
+            here = lambda i: F.get(marks, i) == "1"
+            new = F.filter(F.transform(ids, lambda x, i: F.when(here(i), m).when(here(i - 1), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+            passing = F.transform(marks, lambda k, i: F.when(k == "1", rank(m, F.get(ids, i + 2))))
+            lower = F.exists(passing, lambda r: F.coalesce(r < m, F.lit(False)))
+            return let(let(new, lambda n: state(n, ranks_of(n))), lambda x: F.when(~lower & F.coalesce(x["m"] > m, F.lit(True)), x))
+
+        return let(marks, joined)
+
     def step(acc: Column, _: Column) -> Column:
-        return let(F.array_min(acc["ranks"]), lambda m: F.when(m.isNull(), acc).otherwise(join(acc, m)))
+        many = (F.size(acc["ids"]) > LONG_WORD) & (F.size(F.filter(acc["ranks"], lambda r: r == acc["m"])) > 1)
+        return F.when(acc["m"].isNull(), acc).when(many, let(join_all(acc), lambda x: F.when(x.isNull(), join_one(acc)).otherwise(x))).otherwise(join_one(acc))
 
     def fold(ids: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(2), F.size(ids)), begin(ids), step)["ids"]
+        """At most one step for each byte, in rounds of as many steps as there are rounds: a fold copies what it carries
+        at every step, so once nothing joins any more whole rounds are passed over."""
+        rounds = lambda k: F.aggregate(F.sequence(F.lit(1), k), state(ids, ranks_of(ids)), lambda acc, _: F.when(acc["m"].isNull(), acc).otherwise(F.aggregate(F.sequence(F.lit(1), k), acc, step)))["ids"]
+        return F.when(F.size(ids) > 1, let(F.ceil(F.sqrt(F.size(ids))).cast("int"), rounds)).otherwise(ids)
+
+    def parts(b: Column, ids: Column) -> Column:
+        beside = _longs(v.beside)
+        apart = lambda x, y: F.call_function("shiftright", beside[x * 8 + F.call_function("shiftright", y, F.lit(5))], y % 32).bitwiseAND(F.lit(1)) == 0
+        cuts = F.filter(F.sequence(F.lit(2), F.size(b)), lambda i: apart(b[i - 2], b[i - 1]))
+        starts = F.concat(F.array(F.lit(1)), cuts)
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.slice(ids, s, F.coalesce(F.get(at, k + 1), F.size(ids) + 1) - s)))
 
-    return let(start, lambda ids: F.when(F.size(ids) > 1, fold(ids)).otherwise(ids))
+    def whole(b: Column) -> Column:
+        ids = F.transform(b, lambda x: byte_ids[x].cast("int"))
+        return let(ids, lambda i: F.when(F.size(i) > LONG_WORD, F.flatten(F.transform(parts(b, i), fold))).otherwise(fold(i)))
+
+    return let(bytes_, whole)
 
 
 def words_of(text: Column) -> Column:
@@ -210,11 +259,10 @@ def encode_documents(documents: DataFrame, key: str, text: str, vocabulary: str
 
     if counts_only:
         rare = first.select("key", F.explode("rest").alias("word"))
-        sizes = _distinct_words(rare, v).select("word", F.size("ids").alias("n"))
-        more = rare.groupBy("key", "word").count().join(sizes, "word").groupBy("key").agg(F.sum(F.col("n") * F.col("count")).alias("n"))
+        more = _with_ids(rare.groupBy("key", "word").count(), _distinct_words(rare, v)).select("key", "count", F.size("ids").alias("n")).groupBy("key").agg(F.sum(F.col("n") * F.col("count")).alias("n"))
         return first.join(more, "key", "left").select(F.col("key").alias(key), (F.col("known") + F.coalesce("n", F.lit(0))).cast("long").alias("n_tokens"))
     rare = first.filter("rest is not null").select("key", F.inline("rest"))
-    found = rare.join(_distinct_words(rare, v), "word").groupBy("key").agg(F.collect_list(F.struct("i", "ids")).alias("found"))
+    found = _with_ids(rare, _distinct_words(rare, v)).groupBy("key").agg(F.collect_list(F.struct("i", "ids")).alias("found"))
     open_ = first.filter("rest is not null").select("key", "parts").join(found, "key")
     known = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("i"), p.alias("ids"))), lambda x: x["ids"].isNotNull())
     filled = open_.select("key", F.flatten(F.transform(F.array_sort(F.concat(known, "found")), lambda x: x["ids"])).alias("ids"))
@@ -223,9 +271,17 @@ def encode_documents(documents: DataFrame, key: str, text: str, vocabulary: str
 
 
 def _distinct_words(rare: DataFrame, v: Vocabulary) -> DataFrame:
-    """Each rare word once, encoded once, and written down before it is joined back."""
-    words = rare.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word")
-    return materialize(words.select("word", encode_word(F.col("word"), v).alias("ids")), "words")
+    """(word, n, ids): each rare word once, with its occurrences, encoded once, and written down before it is joined back."""
+    words = rare.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(words.select("word", "n", encode_word(F.col("word"), v).alias("ids")), "words")
+
+
+def _with_ids(rare: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of ``rare`` with the ids of their word. A word that the cache lacks may still be in most documents: its rows
+    are spread, and its ids copied to each of their places."""
+    p = pack_loads(words.select(F.col("word").alias("k"), "n"))
+    ids = words.select("word", "ids")
+    return skew_join(rare, ids, "word", packing=p) if p.heavy else rare.join(ids, "word")
 
 
 def decode_ids(ids: Column, vocabulary: str = VOCABULARY) -> Column:

@@ -117,6 +117,20 @@ def test_ids_against_the_public_library(spark, texts, cache):
         assert tokens.encode_documents(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_words_against_the_public_library(spark):
+    """Words of any length and make-up: one letter, random letters, joined words, periods, a script without spaces."""
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(tokens.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(12)
+    low, parts = "abcdefghijklmnopqrstuvwxyz", ["the", "volcano", "public", "clothing", "James", "reduce", "charge", "scattering", "Capital", "cannon", "aa", "OK"]
+    made = ["a" * 160_000, "-=" * 700 + "=" * 999, "aab" * 300 + "aaaba" * 90, "".join(rnd.choice(low) for _ in range(20_000)), "".join(rnd.choice(parts) for _ in range(2000)), "".join(rnd.choice("的一是不了人我在有他") for _ in range(3000))]
+    made += ["".join(rnd.choice(parts) for _ in range(rnd.randrange(6, 40))) for _ in range(60)] + ["".join(rnd.choice("aeiou-") for _ in range(n)) for n in range(40, 60)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: list(r.ids) for r in tokens.encode_documents(df, "doc_id", "text", cache=0).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(made)}
+
+
 # --- 8 ---
 
 
@@ -137,6 +151,7 @@ def test_mix(spark):
     assert set(used.source) == {"big", "mid", "small"}
     got = {r.source: r for r in shares.collect()}
     assert got["other"].target_share is None and got["other"].used == 0 and got["gone"].have == 0 and abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
+    assert all(got[s].aimed_share is None for s in ("other", "gone", "zero")) and abs(got["big"].aimed_share - 50 / 85) < 1e-9 and abs(got["big"].target_share - 0.5) < 1e-9
     again = mixing.mix(d.repartition(7), t)[0].toPandas()
     assert set(zip(again.key, again.copy_no)) == set(zip(used.key, used.copy_no))
     over = mixing.mix(d, t, total=10**9)[0].toPandas()  # more than there is: every document at its cap
