@@ -87,7 +87,7 @@ def validate(catalog, q: Query) -> list[str]:
             if c.name not in names and str(c) not in names:
                 errors.append(f"Selected column is neither a group column nor an aggregate: {c}")
         if q.having is not None:
-            grouped = _group(catalog, table, q)
+            grouped = _group(_Shape(catalog), table, q)
             _check(catalog, grouped, q.having, errors)
         if q.order is not None and q.order[0].name not in names:
             errors.append(f"Column not found: {q.order[0]}")
@@ -98,11 +98,24 @@ def validate(catalog, q: Query) -> list[str]:
     return errors
 
 
+class _Shape:
+    """A catalogue of which only names and types are asked: closures, which run when they are built, are left out."""
+
+    def __init__(self, catalog):
+        self.catalog = catalog
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.catalog
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.catalog[name]
+
+
 def _source_table(catalog, s: Source, errors: list[str]) -> Table | None:
     if s.query is not None:
         inner = validate(catalog, s.query)
         errors += inner
-        return None if inner else compile_query(catalog, s.query, None)
+        return None if inner else compile_query(_Shape(catalog), s.query, None)
     name = s.relation or ("dependency_cycles" if s.graph == "find_cycles" else "files")
     if name not in catalog:
         errors.append(f"Relation not found: {name}")
@@ -197,6 +210,8 @@ def _scan(catalog, s: Source) -> Table:
         df, name = catalog["dependency_cycles"], "dependency_cycles"
     elif s.graph:
         name = "files"
+        if isinstance(catalog, _Shape):
+            return Table(catalog[name], [(name, c, c) for c in catalog[name].columns])
         near = G.descendants_of(catalog.edges, s.start) if s.graph == "descendants_of" else G.ancestors_of(catalog.edges, s.start)
         files = catalog["files"]
         df = files.join(near, files[PATH] == near["id"], "left_semi")
@@ -242,12 +257,21 @@ def _join(catalog, left: Table, right: Table, j: Join) -> Table:
     renamed = {old[2]: new[2] for old, new in zip(right.scope, r.scope)}
     pairs = [(a, renamed[b]) for a, b in pairs]
     both = Table(left.df, left.scope + r.scope)
+    rest = _rest(left, right, j.on)
+    l_df, r_df, flags = left.df, r.df, {}
+    for x in {x: None for c in rest for x in walk(c) if _asks_catalog(x)}:  # told on the side that has the column, before the join
+        real = both.find(x.column)
+        flags[x] = f"__on{len(flags)}"
+        if real in left.df.columns:
+            l_df = _mark(l_df, F.col(f"`{real}`"), _keys_of(catalog, x), flags[x])
+        else:
+            r_df = _mark(r_df, F.col(f"`{real}`"), _keys_of(catalog, x), flags[x])
     on = F.lit(True)
     for a, b in pairs:  # plain equality: null keys never match
         on = on & (F.col(f"`{a}`") == F.col(f"`{b}`"))
-    for c in _rest(left, right, j.on):
-        on = on & _on_column(both, r, c)
-    df = left.df.join(r.df, on, {"inner": "inner", "left": "left", "right": "right", "full": "full"}[j.how])
+    for c in rest:
+        on = on & _on_column(both, r, c, flags)
+    df = l_df.join(r_df, on, {"inner": "inner", "left": "left", "right": "right", "full": "full"}[j.how]).drop(*flags.values())
     drop: list[str] = []
     shared = [(a, b) for a, b in pairs if _plain(left, a) == _plain(r, b)]
     for a, b in shared:  # one column for a key of one name, taken from the side that has it
@@ -274,11 +298,14 @@ def _rest(left: Table, right: Table, p: Pred) -> list[Pred]:
     return [] if p.op == "eq" and isinstance(p.value, Ref) and _equi(left, right, p) else [p]
 
 
-def _on_column(both: Table, right: Table, p: Pred) -> Column:
+def _on_column(both: Table, right: Table, p: Pred, flags: dict[Pred, str]) -> Column:
     """A residual ON condition. A bare name on the left of a comparison is the left table's, on the right the right's."""
     if p.op in ("and", "or", "not"):
-        parts = [_on_column(both, right, x) for x in p.parts]
+        parts = [_on_column(both, right, x, flags) for x in p.parts]
         return _boolean(p.op, parts)
+    if p in flags:
+        hit = F.coalesce(F.col(flags[p]), F.lit(False))
+        return ~hit if p.op.startswith("not") else hit
     real = both.find(p.column)
     kinds = {f.name: f.dataType for f in [*both.df.schema.fields, *right.df.schema.fields]}
     if isinstance(p.value, Ref):
@@ -312,7 +339,29 @@ def _value_test(c: Column, p: Pred, kind: DataType) -> Column:
         return hit if p.op == "in" else ~hit
     if p.op in STRINGS:
         return P.text_test(c, p.op, p.value)
-    return c.isNull() if p.op == "is_null" else c.isNotNull()
+    if p.op in ("is_null", "is_not_null"):
+        return c.isNull() if p.op == "is_null" else c.isNotNull()
+    raise QueryParseError(f"Unknown predicate: {p.op}")
+
+
+def _asks_catalog(p: Pred) -> bool:
+    """Whether the predicate depends on other rows than its own: memberships and tests of the graph."""
+    return p.op.endswith("exists_in") or p.op in GRAPH
+
+
+def _keys_of(catalog, p: Pred) -> DataFrame:
+    """(__k) of the values for which such a predicate, or the one that it negates, holds."""
+    if p.op.endswith("exists_in"):
+        relation, column = p.value
+        return catalog[relation].select(F.col(f"`{column}`").alias("__k")).distinct()
+    edges = catalog.edges
+    nodes = G.nodes_of(edges)
+    if p.op == "ancestor_is_map":
+        near = G.reached_by_other(edges, G.ending_with(nodes, [".bsp"], False))
+    else:
+        ends = [".nut"] if p.op == "descendant_is_script" else list(p.value)
+        near = G.reached_by_other(G.reverse(edges), G.ending_with(nodes, ends, p.op == "descendant_is_any"))
+    return near.select(F.col("id").alias("__k"))
 
 
 def _filter(catalog, t: Table, p: Pred) -> Table:
@@ -350,27 +399,19 @@ def _condition(catalog, t: Table, p: Pred) -> tuple[Table, Column]:
         if p.op in RANGES:
             return t, P.compare(c, p.op, other)
         return t, c.eqNullSafe(other) if p.op == "eq" else ~c.eqNullSafe(other)
-    if p.op.endswith("exists_in"):
-        relation, column = p.value
-        t, hit = _flag(t, c, catalog[relation].select(F.col(f"`{column}`").alias("__k")).distinct())
-        return t, ~hit if p.op.startswith("not") else hit
-    if p.op in GRAPH:
-        edges = catalog.edges
-        nodes = G.nodes_of(edges)
-        if p.op == "ancestor_is_map":
-            near = G.reached_by_other(edges, G.ending_with(nodes, [".bsp"], False))
-        else:
-            ends = [".nut"] if p.op == "descendant_is_script" else list(p.value)
-            near = G.reached_by_other(G.reverse(edges), G.ending_with(nodes, ends, p.op == "descendant_is_any"))
-        return _flag(t, c, near.select(F.col("id").alias("__k")))
+    if _asks_catalog(p):
+        if isinstance(catalog, _Shape):
+            return t, F.lit(False)
+        name = f"__f{sum(x.startswith('__f') for x in t.df.columns)}"
+        hit = F.coalesce(F.col(name), F.lit(False))
+        return Table(_mark(t.df, c, _keys_of(catalog, p), name), t.scope), ~hit if p.op.startswith("not") else hit
     return t, _value_test(c, p, t.kind(t.find(p.column)))
 
 
-def _flag(t: Table, c: Column, keys: DataFrame) -> tuple[Table, Column]:
-    n = sum(x.startswith("__f") for x in t.df.columns)
-    keys = keys.select(F.col("__k").alias(f"__k{n}"), F.lit(True).alias(f"__f{n}"))
-    df = t.df.join(keys, c.eqNullSafe(F.col(f"__k{n}")), "left").drop(f"__k{n}")
-    return Table(df, t.scope), F.coalesce(F.col(f"__f{n}"), F.lit(False))
+def _mark(df: DataFrame, c: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that is true where ``c`` is among the keys (__k, distinct), null elsewhere."""
+    keys = keys.select(F.col("__k").alias(f"{name}k"), F.lit(True).alias(name))
+    return df.join(keys, c.eqNullSafe(F.col(f"{name}k")), "left").drop(f"{name}k")
 
 
 def _group(catalog, t: Table, q: Query) -> Table:
