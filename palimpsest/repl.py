@@ -10,7 +10,7 @@ from .cli import print_result
 from .operators.analyzers import assemble
 from .plans.dsl import QueryParseError, QueryValidationError
 from .plans.presets import PRESETS, resolve_spec
-from .sinks.reports import FORMATS, json_report, to_dict
+from .sinks.reports import FORMATS, json_parts, rows_of, write_parts
 from .sources.settings import load_report
 
 
@@ -89,8 +89,7 @@ class Shell:
         self.say("\n".join(f"{i} {x}" for i, x in enumerate(self.past, 1)))
 
     def cmd_save(self, args):
-        with open(args[0], "w", encoding="utf-8") as f:
-            f.write(json_report(to_dict(self.catalog, list(self.catalog.relations))))
+        write_parts(args[0], json_parts((n, rows_of(self.catalog[n])) for n in self.catalog.relations))
         self.say(f"saved {args[0]}")
 
     def cmd_load(self, args):

@@ -1,7 +1,7 @@
 """Reports of a catalogue as JSON, CSV, text, HTML or a Graphviz drawing; tables as text.
 
-Reports are for people and go through the driver: relations are cut at ``most`` rows. Whole relations are written by
-``write_relations``, in parallel, as Parquet, CSV or JSON.
+Reports are whole. They go through the driver, one partition of a relation at a time, into one file; ``write_relations``
+writes in parallel, as Parquet, CSV or JSON, what is too large to read in one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import html
 import io
 import json
 import os
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ from ..operators.graph import degrees, edge_set
 
 MAIN = ["files", "hash_conflicts", "dep_conflicts", "isolated", "impact"]
 SHOWN = 200
+#: Names of relations with their rows.
+Relations = Iterable[tuple[str, Iterable[dict]]]
 
 
 def write_relations(catalog, folder: str, names: list[str] | None = None, fmt: str = "parquet") -> None:
@@ -32,28 +36,49 @@ def write_relations(catalog, folder: str, names: list[str] | None = None, fmt: s
         (w.option("header", True) if fmt == "csv" else w).format(fmt).save(f"{folder}/{n}")
 
 
-def _rows(df: DataFrame, most: int) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def rows_of(df: DataFrame) -> Iterator[dict]:
+    """All rows, a partition at a time."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
-def to_dict(catalog, names: list[str] | None = None, most: int = 100_000) -> dict[str, list[dict]]:
-    return {n: _rows(catalog[n], most) for n in names or catalog.names()}
+def to_dict(catalog, names: list[str] | None = None) -> dict[str, list[dict]]:
+    """Whole relations in memory; ``write_report`` needs no such memory."""
+    return {n: list(rows_of(catalog[n])) for n in names or catalog.names()}
+
+
+def _json(v) -> str:
+    return json.dumps(v, ensure_ascii=False, default=str)
+
+
+def json_parts(data: Relations) -> Iterator[str]:
+    yield "{"
+    for i, (name, rows) in enumerate(data):
+        yield f"{',' if i else ''}\n  {_json(name)}: ["
+        for j, r in enumerate(rows):
+            yield f"{',' if j else ''}\n    {_json(r)}"
+        yield "\n  ]"
+    yield "\n}\n"
+
+
+def csv_parts(data: Relations) -> Iterator[str]:
+    for name, rows in data:
+        yield f"# {name}\n"
+        for i, r in enumerate(rows):
+            out = io.StringIO()
+            w = csv.DictWriter(out, list(r), lineterminator="\n")
+            if not i:
+                w.writeheader()
+            w.writerow(r)
+            yield out.getvalue()
+        yield "\n"
 
 
 def json_report(data: dict[str, list[dict]]) -> str:
-    return json.dumps(data, indent=2, ensure_ascii=False, default=str)
+    return "".join(json_parts(data.items()))
 
 
 def csv_report(data: dict[str, list[dict]]) -> str:
-    out = io.StringIO()
-    for name, rows in data.items():
-        out.write(f"# {name}\n")
-        if rows:
-            w = csv.DictWriter(out, list(rows[0]), lineterminator="\n")
-            w.writeheader()
-            w.writerows(rows)
-        out.write("\n")
-    return out.getvalue()
+    return "".join(csv_parts(data.items()))
 
 
 def table(rows: list[dict]) -> str:
@@ -77,37 +102,66 @@ def vertical(rows: list[dict]) -> str:
 FORMATS = {"table": table, "vertical": vertical, "json": lambda rows: json.dumps(rows, indent=2, ensure_ascii=False, default=str), "csv": lambda rows: csv_report({"result": rows}).split("\n", 1)[1].rstrip("\n") if rows else "Empty set."}
 
 
+#: Rows of a text report that share one set of column widths.
+PAGE = 1000
+
+
+def text_parts(data: Relations) -> Iterator[str]:
+    for name, rows in data:
+        rows, n = iter(rows), 0
+        yield f"{name}\n"
+        while page := list(islice(rows, PAGE)):
+            n += len(page)
+            yield table(page) + "\n"
+        yield f"({n})\n\n"
+
+
+def html_parts(data: Relations) -> Iterator[str]:
+    e = lambda v: html.escape("" if v is None else str(v))
+    yield "<!doctype html><meta charset=utf-8><title>Report</title>\n"
+    for name, rows in data:
+        yield f"<h2>{e(name)}</h2><table>\n"
+        n = 0
+        for r in rows:
+            if not n:
+                yield "<tr>" + "".join(f"<th>{e(k)}</th>" for k in r) + "</tr>\n"
+            n += 1
+            yield "<tr>" + "".join(f"<td>{e(v)}</td>" for v in r.values()) + "</tr>\n"
+        yield f"</table><p>({n})</p>\n"
+
+
 def text_report(data: dict[str, list[dict]]) -> str:
-    return "\n\n".join(f"{name} ({len(rows)})\n{table(rows)}" for name, rows in data.items()) + "\n"
+    return "".join(text_parts(data.items()))
 
 
 def html_report(data: dict[str, list[dict]]) -> str:
-    e = lambda v: html.escape("" if v is None else str(v))
-    parts = ["<!doctype html><meta charset=utf-8><title>Report</title>"]
-    for name, rows in data.items():
-        head = "".join(f"<th>{e(k)}</th>" for k in (rows[0] if rows else {}))
-        body = "".join("<tr>" + "".join(f"<td>{e(v)}</td>" for v in r.values()) + "</tr>" for r in rows)
-        parts.append(f"<h2>{e(name)} ({len(rows)})</h2><table><tr>{head}</tr>{body}</table>")
-    return "\n".join(parts) + "\n"
+    return "".join(html_parts(data.items()))
 
 
-WRITERS = {"json": json_report, "csv": csv_report, "text": text_report, "html": html_report}
+WRITERS = {"json": json_parts, "csv": csv_parts, "text": text_parts, "html": html_parts}
 SUFFIX = {"json": "json", "csv": "csv", "text": "txt", "html": "html"}
 
 
-def write_report(catalog, folder: str | Path, fmt: str = "json", names: list[str] | None = None, most: int = 100_000) -> Path:
-    """Write a report with a time in its name, whole or not at all."""
-    if fmt not in WRITERS:
-        raise ValueError(f"unknown report format: {fmt}")
-    data = to_dict(catalog, names or (None if fmt == "json" else MAIN), most)
-    path = Path(folder) / f"report_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}.{SUFFIX[fmt]}"
+def write_parts(path: str | Path, parts: Iterable[str]) -> Path:
+    """One file, whole or not at all."""
+    path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     part = path.with_suffix(path.suffix + ".part")
-    part.write_text(WRITERS[fmt](data), encoding="utf-8")
+    with open(part, "w", encoding="utf-8") as f:
+        f.writelines(parts)
     os.replace(part, path)
     return path
 
 
+def write_report(catalog, folder: str | Path, fmt: str = "json", names: list[str] | None = None) -> Path:
+    """Write a report of whole relations with a time in its name."""
+    if fmt not in WRITERS:
+        raise ValueError(f"unknown report format: {fmt}")
+    names = names or (catalog.names() if fmt == "json" else MAIN)
+    path = Path(folder) / f"report_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}.{SUFFIX[fmt]}"
+    return write_parts(path, WRITERS[fmt]((n, rows_of(catalog[n])) for n in names))
+
+
 COLOURS = {"bsp": "lightblue", "vmt": "lightgreen", "vtf": "palegreen", "mdl": "orange", "nut": "gold", "wav": "plum", "pcf": "salmon", "txt": "lightgrey"}
 
 

@@ -221,6 +221,23 @@ def test_reports(spark, tmp_path):
     assert reports.table([]) == "Empty set." and "NULL" in reports.table([{"a": None}]) and "a: 1" in reports.vertical([{"a": 1}])
 
 
+def test_reports_and_saved_shells_are_whole(spark, tmp_path):
+    """More rows than a page of any kind: every row is in every report, and a saved shell loads as it was."""
+    n = 100_100
+    files = spark.range(n).select(*[(F.concat(F.lit("p"), F.col("id")) if i == 0 else F.lit(None)).cast(t.split()[1]).alias(t.split()[0]) for i, t in enumerate(cfg._columns("files"))])
+    c = Catalog(spark, {"files": files})
+    back = cfg.load_report(spark, reports.write_report(c, tmp_path, "json", ["files"]))
+    assert back["files"].select("virtual_path").distinct().count() == n
+    for fmt in ("csv", "text", "html"):
+        text = reports.write_report(c, tmp_path / fmt, fmt, ["files"]).read_text()
+        assert f"p{n - 1}" in text and text.count("p100") >= 101 and text.count("\n") >= n
+    from palimpsest.repl import Shell
+
+    sh = Shell(c, io.StringIO())
+    sh.loop([f".save {tmp_path}/s.json", f".load {tmp_path}/s.json"])
+    assert sh.catalog["files"].count() == n
+
+
 def test_command_line_and_shell(spark, tmp_path, capsys):
     from palimpsest.cli import main
     from palimpsest.repl import Shell
