@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .skew import pack_loads, skew_join
 
 #: Months in one 64-bit mask of a dictionary row; the sign bit stays free.
 MASK = 63
@@ -41,8 +42,10 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame | N
     parents all is missing. Further columns of the inputs are not read.
     """
     spark = refs.sparkSession
+    # Keys may be costly to compute, and both sides are read several times: they are written down once.
     refs = refs.select("tab", "ref_id", "key", F.coalesce("t", _far()).alias("t"), F.col("t").isNotNull().alias("timed")).filter("key is not null")
     parents = parents.select("key", F.coalesce("t_from", _far()).alias("t_from"), F.coalesce("t_to", _far()).alias("t_to")).filter("key is not null")
+    refs, parents = materialize(refs, "refs"), materialize(parents, "parents")
     lo, hi = refs.filter("timed").agg(F.min(month_index(F.col("t"))), F.max(month_index(F.col("t")))).first()
     lo, hi = (lo, hi + 1) if lo is not None else (0, 0)  # hi is the month of untimed references
     refs = refs.withColumn("p", F.when(F.col("timed"), month_index(F.col("t"))).otherwise(F.lit(hi)) - lo)
@@ -55,7 +58,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame | N
     names = [f"m{j}" for j in range(masks)]
     months = F.array_compact(F.array(*[F.when(_bit(F.col(names[p // MASK]), F.lit(p % MASK)), F.lit(p)) for p in range(hi - lo + 1)]))
     # 1. The dictionary. Ids are given once and written down; ids of one write task are consecutive.
-    words = materialize(refs.groupBy("key").agg(*map(mask, range(masks))).withColumn("id", F.monotonically_increasing_id()), "dictionary")
+    words = materialize(refs.groupBy("key").agg(*map(mask, range(masks)), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "dictionary")
     word, bit = F.call_function("shiftright", F.col("id"), F.lit(6)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 64).cast("int"))
 
     # 2. Bitmaps.
@@ -80,14 +83,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame | N
     left = of_refs.join(of_parents, ["w", "p"], "left").select("w", "p", F.col("b").bitwiseAND(F.bitwise_not(F.coalesce("pb", F.lit(0).cast("long")))).alias("b")).filter("b <> 0")
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: _bit(F.col("b"), i))
     decoded = left.select("p", F.explode(F.transform(bits, lambda i: F.col("w") * 64 + i)).alias("id"))
-    suspects = decoded.groupBy("id").agg(*map(mask, range(masks))).join(words.select("key", "id"), "id").select("key", *names)
+    suspects = decoded.groupBy("id").agg(*map(mask, range(masks))).join(words.select("key", "id", "n"), "id").select("key", "n", *names)
 
     # 4. The exact check of the suspects.
     lives = parents.join(suspects.select("key"), "key", "left_semi")
     first = lives.groupBy("key").agg(F.min("t_from").alias("first_at"))
     suspects = materialize(suspects.join(first, "key", "left"), "suspects")
     held = F.array(*map(F.col, names))
-    asked = refs.join(suspects, "key").filter(_bit(held[F.floor(F.col("p") / MASK).cast("int")], (F.col("p") % MASK).cast("int")))
+    # A key may hold a third of all references: its rows are spread, and its suspect copied to each of their places.
+    packing = pack_loads(suspects.select(F.col("key").alias("k"), "n"))
+    suspects = suspects.drop("n")
+    asked = skew_join(refs, suspects, "key", packing=packing) if packing.heavy else refs.join(suspects, "key")
+    asked = asked.filter(_bit(held[F.floor(F.col("p") / MASK).cast("int")], (F.col("p") % MASK).cast("int")))
     asked = materialize(asked.select("tab", "ref_id", "key", "t", "timed", "first_at"), "asked")
     period = F.when(F.col("timed"), F.date_format("t", "yyyy-MM")).alias("period")
     known = asked.filter(F.col("first_at").isNull() | (F.col("t") < F.col("first_at")))
@@ -105,22 +112,18 @@ def _bit(mask: Column, i: Column) -> Column:
 def _dead_at(refs: DataFrame, lives: DataFrame) -> DataFrame:
     """Refs at whose time no life of their key holds: the latest end among lives begun by then is not after t.
 
-    The running maximum is taken within a key's day; what went before the day comes in as one row. A key that holds a
-    third of all rows is thus spread over its days, and the window over a key's days is bounded by their number.
+    Rows are range-partitioned by key and time, so that a key's rows, however many and however close in time, are cut
+    over many partitions. The running maximum is taken within a partition's part of a key; what went before it in other
+    partitions comes in as one row for each part, of which a key has no more than there are partitions.
     """
-    refs = refs.withColumn("day", F.to_date("t"))
-    lives = lives.withColumn("day", F.to_date("t_from"))
-    days = lives.groupBy("key", "day").agg(F.max("t_to").alias("m")).unionByName(refs.select("key", "day", F.lit(None).cast("timestamp_ntz").alias("m")).distinct())
-    days = days.groupBy("key", "day").agg(F.max("m").alias("m"))
-    before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select("key", "day", F.max("m").over(before).alias("m")).filter("m is not null")
-    rows = (
-        refs.select("key", "day", "t", "kind", "tab", "ref_id", "timed")
-        .unionByName(lives.select("key", "day", F.col("t_from").alias("t"), F.lit(1).alias("kind"), F.col("t_to").alias("m")), allowMissingColumns=True)
-        .unionByName(carried.select("key", "day", F.col("day").cast("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), "m"), allowMissingColumns=True)
-    )
-    within = Window.partitionBy("key", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("ends", F.max("m").over(within)).filter("kind = 2 and not coalesce(ends > t, false)")
+    rows = refs.select("key", "t", "kind", "tab", "ref_id", "timed").unionByName(lives.select("key", F.col("t_from").alias("t"), F.lit(1).alias("kind"), F.col("t_to").alias("m")), allowMissingColumns=True)
+    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(n, "key", "t", "kind", "tab", "ref_id").withColumn("part", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("key", "part").agg(F.max("m").alias("m")).select("key", "part", F.max("m").over(before).alias("m")).filter("m is not null")
+    carried = parts.select("key", "part", F.lit(0).alias("kind"), "m")
+    within = Window.partitionBy("key", "part").orderBy(F.col("kind") > 0, "t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.unionByName(carried, allowMissingColumns=True).withColumn("ends", F.max("m").over(within)).filter("kind = 2 and not coalesce(ends > t, false)")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

@@ -119,6 +119,18 @@ def test_orphans_against_brute_force(spark):
     assert {(row.ref_id, row.state) for row in orphan_references(far, alive).collect()} == {(i, "later") for i in range(5)} | {(i, "removed") for i in range(12, 20)}
 
 
+def test_orphans_of_a_key_that_holds_most_rows_of_one_day(spark):
+    """A hot key on a single day, with lives that begin and end within it: cut over partitions, judged as by brute force."""
+    rnd = random.Random(21)
+    at = lambda: T(2024, 5, 7, 0, 0, 0) + dt.timedelta(seconds=rnd.randrange(0, 3000))
+    parents = [("hot", s := at(), s + dt.timedelta(seconds=rnd.randrange(1, 25))) for _ in range(60)] + [("cold", T(2024, 5, 7), None)]
+    refs = [("t", i, "hot", at()) for i in range(1500)] + [("t", 5000 + i, "hot", T(2024, 5, 7, 0, 10)) for i in range(200)] + [("u", i, rnd.choice(["cold", "gone"]), at()) for i in range(100)]
+    r = spark.createDataFrame(refs, "tab string, ref_id long, key string, t timestamp_ntz").withColumn("part", F.lit("clash"))
+    p = spark.createDataFrame(parents, "key string, t_from timestamp_ntz, t_to timestamp_ntz")
+    got = [tuple(row) for row in orphan_references(r, p).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_orphans(refs, parents, set())
+
+
 def test_heavy_keys_against_plain_grouping(spark):
     rnd = random.Random(5)
     rows = [("hot", rnd.choice(["v", None, "w"]), T(2024, 1, 1 + i % 9)) for i in range(400)] + [("hot", "same", T(2024, 2, 1))] * 300 + [(rnd.choice("abcdefgh"), str(rnd.randrange(5)), None) for _ in range(200)] + [(None, "n", T(2023, 1, 1))] * 150
