@@ -1,24 +1,28 @@
 """Graph operators on an edge table (src, dst): closures by frontier loops whose rounds are written to the shared folder.
 
-Edges have set semantics; (a, b) reads "a depends on b". Null ends are dropped. Every loop joins only the newest frontier
-with the edges, so the work of a round is that of its frontier, and no node or edge is ever collected to the driver.
+Edges have set semantics; (a, b) reads "a depends on b". Null ends are dropped. ``reachable`` joins only the newest frontier
+with the edges, and compares it with the nodes known before; ``reached_by_other`` also merges it into the known nodes. No
+node or edge is ever collected to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize
-
+from .numbering import numbered
 
 #: Rounds of a closure kept as tables of their own before they are written together.
 LAYERS = 8
 #: Links that one task strips to the core in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
+#: Links that travel to every task, as two numbers of 32 bits each, to count descendants.
+LINKS_BY_ONE = 2_000_000
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -112,24 +116,138 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("centrality", F.col("degree") / F.lit(max(n - 1, 1)).cast("double"))
 
 
-def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The strong component of each of ``n`` nodes, numbered so that links between components lead to smaller numbers.
+
+    Iterative depth-first search (Tarjan) over links a -> b.
+    """
+    order = np.argsort(a, kind="stable")
+    first = np.searchsorted(a[order], np.arange(n + 1)).tolist()
+    to = b[order].tolist()
+    index, low, comp = [0] * n, [0] * n, [-1] * n
+    path: list[int] = []
+    count = found = 0
+    for root in range(n):
+        if index[root]:
+            continue
+        work = [(root, first[root])]
+        while work:
+            v, at = work.pop()
+            if at == first[v] and not index[v]:
+                count += 1
+                index[v] = low[v] = count
+                path.append(v)
+            down = False
+            while at < first[v + 1]:
+                x = to[at]
+                at += 1
+                if not index[x]:
+                    work.append((v, at))
+                    work.append((x, first[x]))
+                    down = True
+                    break
+                if comp[x] < 0 and index[x] < low[v]:
+                    low[v] = index[x]
+            if down:
+                continue
+            if low[v] == index[v]:
+                while True:
+                    x = path.pop()
+                    comp[x] = found
+                    if x == v:
+                        break
+                found += 1
+            if work and low[v] < low[work[-1][0]]:
+                low[work[-1][0]] = low[v]
+    return np.array(comp, np.int64)
+
+
+#: Words of 64 bits in one sweep: so many times 64 components are looked for at once.
+SWEEP_WORDS = 8
+
+
+def _sweep(parts: int):
+    """Counts strict descendants of every node among each ``parts``-th block of components, from all links (a, b, part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2)[0].as_py()) for x in batches if x.num_rows]
+        if not got:
+            return
+        a, b, part = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), got[0][2]
+        order = np.lexsort((b, a))  # so that all tasks number the components alike
+        a, b = a[order], b[order]
+        n = int(max(a.max(), b.max())) + 1
+        comp = strong_components(a, b, n)
+        size = np.bincount(comp)
+        m = len(size)
+        links = np.unique(np.stack([comp[a], comp[b]]), axis=1)
+        up, down = links[:, links[0] != links[1]]
+        height = [0] * m  # links on the longest way down
+        for x, y in zip(up.tolist(), down.tolist()):  # in order of x, and y < x
+            if height[y] >= height[x]:
+                height[x] = height[y] + 1
+        height = np.array(height)
+        order = np.lexsort((up, height[up]))
+        up, down = up[order], down[order]
+        ends = np.searchsorted(height[up], np.arange(1, height.max() + 2))
+        layers = [(down[i:j], *np.unique(up[i:j], return_index=True)) for i, j in zip(ends[:-1], ends[1:])]
+        counts = np.zeros(m, np.int64)
+        for block in range(part, -(-m // (64 * SWEEP_WORDS)), parts):
+            at = np.arange(block * 64 * SWEEP_WORDS, min(m, (block + 1) * 64 * SWEEP_WORDS))
+            own = at - at[0]
+            bits = np.zeros((m, SWEEP_WORDS), np.uint64)
+            bits[at, own >> 6] = np.uint64(1) << (own & 63).astype(np.uint64)
+            for below, nodes, starts in layers:
+                bits[nodes] |= np.bitwise_or.reduceat(bits[below], starts, axis=0)
+            counts += np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            for c in at[size[at] > 1]:
+                word, bit = divmod(int(c - at[0]), 64)
+                counts += ((bits[:, word] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) * (size[c] - 1)
+        counts -= int(part == 0)  # a node is not below itself
+        out = counts[comp]
+        for i in range(0, n, 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, min(n, i + 50_000)), pa.int32()), pa.array(out[i : i + 50_000])], ["i", "n"])
+
+    return run
+
+
+def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, links_by_one: int = LINKS_BY_ONE) -> DataFrame:
     """(id, impact_count): strict descendants of each node, 0 included for ``nodes`` (id) without any.
 
-    All pairs are kept, as the exact count requires; ``max_depth`` bounds the distance instead where that is too much.
+    Up to ``links_by_one`` links, every task takes all of them as numbers, condenses strong components, and sweeps upwards
+    through the layers of what remains, with the descendants among some blocks of components as bits: the work is links
+    times nodes over 64, in whole arrays, and only counts leave a task. Beyond, all pairs are kept as rows, as an exact
+    count then requires. The counts are the same. ``max_depth`` bounds the distance, for which pairs are kept too.
     """
     links = materialize(edge_set(edges), "edges")
-    pairs = materialize(links.select(F.col("src").alias("id"), F.col("dst").alias("to")), "pairs")
-    frontier, depth = pairs, 1
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        step = frontier.join(links, frontier["to"] == links["src"]).select("id", F.col("dst").alias("to")).distinct()
-        fresh = materialize(step.join(pairs, ["id", "to"], "left_anti"), "pairs_frontier")
-        grown = materialize(pairs.union(fresh), "pairs")
-        pairs, frontier, depth = grown, fresh, depth + 1
-    counts = pairs.filter("id <> to").groupBy("id").agg(F.count(F.lit(1)).alias("impact_count"))
     every = nodes_of(links) if nodes is None else nodes.select("id").distinct()
+    if max_depth is None and links.count() <= links_by_one:
+        ids = numbered(nodes_of(links))
+        coded = links.join(ids.select(F.col("id").alias("src"), F.col("i").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("i").alias("b")), "dst")
+        parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // (64 * SWEEP_WORDS * 4)))
+        copies = coded.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartitionById(parts, F.col("part"))
+        found = copies.mapInArrow(_sweep(parts), "i int, n bigint").groupBy("i").agg(F.sum("n").alias("impact_count"))
+        counts = ids.join(found, "i").select("id", "impact_count")
+    else:
+        counts = _counted_pairs(links, max_depth)
     return every.join(counts, "id", "left").select("id", F.coalesce("impact_count", F.lit(0)).alias("impact_count"))
 
 
+def _counted_pairs(links: DataFrame, max_depth: int | None) -> DataFrame:
+    layers = [materialize(links.select(F.col("src").alias("id"), F.col("dst").alias("to")), "pairs")]
+    depth = 1
+    while not layers[-1].isEmpty() and (max_depth is None or depth < max_depth):
+        if len(layers) > LAYERS:
+            whole = materialize(_union(layers[:-1]), "pairs")
+            for x in layers[:-1]:
+                discard(x)
+            layers = [whole, layers[-1]]
+        step = layers[-1].join(links, F.col("to") == F.col("src")).select("id", F.col("dst").alias("to")).distinct()
+        layers.append(materialize(step.join(_union(layers), ["id", "to"], "left_anti"), "pairs"))
+        depth += 1
+    return _union(layers).filter("id <> to").groupBy("id").agg(F.count(F.lit(1)).alias("impact_count"))
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rounds of ``cyclic_core`` over all links of one task."""
     links = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -54,6 +55,38 @@ def test_closures_against_a_plain_search(spark):
     assert {(r.id, r.impact_count) for r in G.impact_counts(e).collect()} == {(n, len(below(pairs, n))) for n in g}
 
 
+@pytest.mark.parametrize("bound", [G.LINKS_BY_ONE, 0])
+def test_impact_counts_against_a_plain_search(spark, bound):
+    rnd = random.Random(5)
+    pairs = [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(70)] + [(f"d{i}", f"d{j}") for i in range(14) for j in range(i)] + [("d0", "n1"), ("s", "s")]
+    got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs), links_by_one=bound).collect()}
+    assert got == {n: len(below(pairs, n)) for n in {x for p in pairs for x in p}}
+    assert G.impact_counts(edges(spark, pairs).limit(0), links_by_one=bound).count() == 0
+
+
+def test_sweeps_over_many_blocks(spark, monkeypatch):
+    """A long chain with side branches, over more components than one sweep holds, on several tasks."""
+    n = 5000
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(n)] + [(f"c{i}", f"x{i}") for i in range(0, n, 7)] + [("c10", "c9"), ("x14", "c14")]
+    got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs)).collect()}
+    for node in ("c0", "c9", "c10", "x14", "x7", f"c{n}", f"c{n - 8}", "c2500"):
+        assert got[node] == len(below_fast(pairs, node)), node
+    assert len(got) == len({x for p in pairs for x in p})
+
+
+def below_fast(pairs, n):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    seen, todo = set(), [n]
+    while todo:
+        for b in out.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen - {n}
+
+
 def test_reached_by_other(spark):
     e = edges(spark, [("s", "a"), ("a", "s"), ("t", "s"), ("u", "u")])
     seeds = spark.createDataFrame([("s",), ("u",), ("t",)], "id string")
