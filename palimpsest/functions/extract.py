@@ -23,7 +23,8 @@ from .keyvalues import leaves
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def slashes(c: Column) -> Column:

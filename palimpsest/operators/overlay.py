@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def overlay_key(path: Column) -> Column:
     """Lower case, with forward slashes."""
@@ -40,7 +42,9 @@ def active(resolved: DataFrame) -> DataFrame:
 def what_if(base: DataFrame, extra: DataFrame, ordinal: str, priority: int) -> DataFrame:
     """The overlay with further records put in at a priority, after all others; the base stays as it is."""
     top = base.agg(F.max(ordinal)).first()[0] or 0
-    added = extra.withColumn("priority", F.lit(priority)).withColumn(ordinal, F.lit(top) + F.monotonically_increasing_id() + 1).withColumn("is_enabled", F.lit(True))
+    # The numbers are written down: given out anew whenever the plan runs, they could differ between its branches.
+    added = numbered(extra.drop(ordinal), "__at").withColumn(ordinal, (F.lit(top) + F.col("__at") + 1).cast(base.schema[ordinal].dataType)).drop("__at")
+    added = added.withColumn("priority", F.lit(priority)).withColumn("is_enabled", F.lit(True))
     return resolve(base.unionByName(added, allowMissingColumns=True), ordinal)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, refqueries
+from . import filequeries, problems, refqueries
 
-MODULES = [problems, refqueries]
+MODULES = [problems, refqueries, filequeries]
 
 
 def queries() -> dict:

@@ -41,6 +41,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder for files that are no tables; it goes when the process ends."""
+    path = f"{scratch_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write one file, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by ``materialize`` that nothing reads any more (a superseded round of an iteration)."""
     path = getattr(df, "_scratch_path", None)
