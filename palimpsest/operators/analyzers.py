@@ -68,12 +68,12 @@ def isolated_packages(files: DataFrame, examples: int = 3) -> DataFrame:
     return out.select(counts["source_name"], "dead_file_count", F.coalesce("example_paths", F.array().cast("array<string>")).alias("example_paths"))
 
 
-def impact(files: DataFrame, edges: DataFrame, top: int = 20) -> DataFrame:
-    """(virtual_path, source_name, impact_count) of the active files with most strict descendants."""
+def impact(files: DataFrame, edges: DataFrame, top: int | None = 20) -> DataFrame:
+    """(virtual_path, source_name, impact_count) of the active files with most strict descendants; of all for None."""
     counts = G.impact_counts(edges).filter("impact_count > 0")
     act = files.filter("is_winner").select("virtual_path", "source_name")
     out = act.join(counts, act["virtual_path"] == counts["id"], "left").select("virtual_path", "source_name", F.coalesce("impact_count", F.lit(0)).cast("int").alias("impact_count"))
-    return out.orderBy(F.desc("impact_count"), "virtual_path").limit(top)
+    return out if top is None else out.orderBy(F.desc("impact_count"), "virtual_path").limit(top)
 
 
 def cascade_overrides(files: DataFrame, ordinal: str, least: int = 3) -> DataFrame:

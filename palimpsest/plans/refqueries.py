@@ -56,6 +56,7 @@ SPECS: dict[str, tuple[dict, str]] = {
     "filter_neq_null": ({"select": ["file_id"], "from": "files", "where": {"neq": ["source_name", "base"]}}, "SELECT file_id FROM files WHERE source_name IS DISTINCT FROM 'base'"),
     "filter_eq_ill_typed": ({"select": ["file_id"], "from": "files", "where": {"or": [{"eq": ["is_enabled", 1]}, {"eq": ["priority", "x"]}]}}, "SELECT file_id FROM files WHERE is_enabled"),
     "filter_range": ({"select": ["file_id", "priority"], "from": "files", "where": {"and": [{"gte": ["priority", 200]}, {"lt": ["priority", 400]}]}}, "SELECT file_id, priority FROM files WHERE priority >= 200 AND priority < 400"),
+    "filter_lte": ({"select": ["file_id", "priority"], "from": "files", "where": {"lte": ["priority", 200]}}, "SELECT file_id, priority FROM files WHERE priority <= 200"),
     "filter_not_range": ({"select": ["file_id"], "from": "files", "where": {"not": {"gt": ["priority", 300]}}}, "SELECT file_id FROM files WHERE coalesce(NOT priority > 300, true)"),
     "filter_cross_column": ({"select": ["l_orderkey", "l_linenumber"], "from": "lineitem", "where": {"gt": ["l_tax", ["l_discount"]]}}, "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > l_discount"),
     "filter_like_glob": ({"select": ["file_id"], "from": "files", "where": {"like": ["virtual_path", "mat*/[a-f]*/??*.vm[tf]"]}}, "SELECT file_id FROM files WHERE virtual_path GLOB 'mat*/[a-f]*/??*.vm[tf]'"),
@@ -68,6 +69,9 @@ SPECS: dict[str, tuple[dict, str]] = {
     "not_exists_in": ({"select": ["dep_id"], "from": "dependencies", "where": {"not_exists_in": ["to_path", "files"]}}, "SELECT dep_id FROM dependencies d WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.virtual_path IS NOT DISTINCT FROM d.to_path)"),
     "exists_in_nested_or": ({"select": ["dep_id"], "from": "dependencies", "where": {"or": [{"exists_in": ["to_path", "external_files"]}, {"eq": ["dep_kind", "include"]}]}}, "SELECT dep_id FROM dependencies WHERE dep_kind = 'include' OR coalesce(to_path IN (SELECT virtual_path FROM external_files), false)"),
     "exists_in_column": ({"select": ["p_partkey"], "from": "part", "where": {"not_exists_in": ["p_partkey", "lineitem", "l_partkey"]}}, "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)"),
+    "exists_in_column_there": ({"select": ["c_custkey"], "from": "customer", "where": {"exists_in": ["c_custkey", "orders", "o_custkey"]}}, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
+    "join_on_exists": ({"select": ["file_id", "addon_row"], "from": "files", "join": {"type": "left", "with": "addons", "on": {"and": [{"eq": ["files.source_name", ["addons", "addon_id"]]}, {"exists_in": [["files", "virtual_path"], "dependencies", "to_path"]}]}}}, "SELECT DISTINCT file_id, addon_row FROM files LEFT JOIN addons ON source_name = addon_id AND (virtual_path IN (SELECT to_path FROM dependencies WHERE to_path IS NOT NULL) OR virtual_path IS NULL)"),
+    "join_on_not_exists": ({"select": ["file_id", "addon_row"], "from": "files", "join": {"with": "addons", "on": {"and": [{"eq": ["files.source_name", ["addons", "addon_id"]]}, {"or": [{"not_exists_in": [["files", "virtual_path"], "dependencies", "to_path"]}, {"gt": [["addons", "priority"], 300]}]}]}}}, "SELECT DISTINCT file_id, addon_row FROM files f JOIN addons a ON source_name = addon_id AND (NOT coalesce(virtual_path IN (SELECT to_path FROM dependencies WHERE to_path IS NOT NULL), true) OR coalesce(a.priority > 300, false))"),
     "join_inner": ({"select": ["n_name", "r_name"], "from": "nation", "join": {"with": "region", "on": {"eq": ["n_regionkey", ["r_regionkey"]]}}}, "SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "join_left": ({"select": ["files.file_id", "addons.addon_row"], "from": "files", "join": {"type": "left", "with": "addons", "on": {"eq": ["files.source_name", ["addons", "addon_id"]]}}}, "SELECT DISTINCT file_id, addon_row FROM files LEFT JOIN addons ON source_name = addon_id"),
     "join_right": ({"select": ["addon_row", "file_id"], "from": "files", "join": {"type": "right", "with": "addons", "on": {"eq": ["files.source_name", ["addons", "addon_id"]]}}}, "SELECT DISTINCT addon_row, file_id FROM files RIGHT JOIN addons ON source_name = addon_id"),
@@ -212,10 +216,47 @@ def graph_predicate_dsl(spark, sf_dir):
     return c.execute({"select": ["source_type", "n"], "from": "files", "where": {"ancestor_is_map": "virtual_path"}, "group_by": {"by": ["source_type"], "agg": {"n": "count"}}})
 
 
+def join_on_graph(spark, sf_dir):
+    """Files with the add-ons that hold them, if a map reaches them."""
+    on = {"and": [{"eq": ["files.source_name", ["addons", "addon_id"]]}, {"ancestor_is_map": ["files", "virtual_path"]}]}
+    return catalog(spark, sf_dir).execute({"select": ["file_id", "addon_row"], "from": "files", "join": {"with": "addons", "on": on}})
+
+
+def graph_ancestors_dsl(spark, sf_dir):
+    """Files above the stock texture, through the query language, over all links."""
+    return catalog(spark, sf_dir).execute({"select": ["file_id", "virtual_path"], "from": {"ancestors_of": "materials/common/blank_surface.vtf"}})
+
+
+def graph_any_descendant_dsl(spark, sf_dir):
+    """Files that reach a sound or a particle file."""
+    where = {"descendant_is_any": {"column": "virtual_path", "params": {"extensions": [".wav", ".PCF"]}}}
+    return catalog(spark, sf_dir).execute({"select": ["file_id"], "from": "files", "where": where})
+
+
+def graph_script_descendant_dsl(spark, sf_dir):
+    return catalog(spark, sf_dir).execute({"select": ["file_id"], "from": "files", "where": {"descendant_is_script": "virtual_path"}})
+
+
+def find_cycles(spark, sf_dir):
+    """The cycles of one or two links through the source of the query language, over all links."""
+    c = catalog(spark, sf_dir)
+    c = c.with_relation("dependency_cycles", G.elementary_cycles(c.edges, max_length=2))
+    return c.execute({"select": ["*"], "from": {"find_cycles": True}}).select(F.array_join("cycle", ">").alias("cycle"), "length")
+
+
 def impact_counts(spark, sf_dir):
     return G.impact_counts(chain_edges(spark, sf_dir))
 
 
+def impact_dependencies(spark, sf_dir):
+    """Strict descendants of every path, over all links."""
+    return G.impact_counts(catalog(spark, sf_dir).edges)
+
+
+def graph_centrality(spark, sf_dir):
+    return G.degrees(catalog(spark, sf_dir).edges).select("id", "degree", F.round("centrality", 9).alias("centrality"))
+
+
 # --- Overlay and analyzers ------------------------------------------------------------------------------------------------
 
 
@@ -287,7 +328,14 @@ def check_extensions(spark, sf_dir):
 
 
 def synthetic(spark, sf_dir):
-    return A.synthetic_edges(_nodes(spark, sf_dir))
+    """Over the files and, beside each map and model, the files that belong to it."""
+    f = spark.read.parquet(f"{sf_dir}/files.parquet").select("file_id", "virtual_path", "source_name", "priority", "is_enabled", "is_dead")
+    stem = F.regexp_extract("k", r"([^/]*)\.bsp$", 1)
+    k = f.withColumn("k", F.lower(F.translate("virtual_path", "\\", "/")))
+    own = [F.concat(F.lit("maps/"), stem, F.lit("_level_sounds.txt")), F.concat(F.lit("scripts/soundscapes_"), stem, F.lit(".txt"))]
+    maps = [k.filter("k like '%.bsp'").select((F.col("file_id") + 10_000_000 * (i + 1)).alias("file_id"), p.alias("virtual_path"), "source_name", "priority", "is_enabled", "is_dead") for i, p in enumerate(own)]
+    models = k.filter("k like '%.mdl'").select((F.col("file_id") + 30_000_000).alias("file_id"), F.regexp_replace("k", r"\.mdl$", ".phy").alias("virtual_path"), "source_name", "priority", "is_enabled", "is_dead")
+    return A.synthetic_edges(resolve(f.unionByName(maps[0]).unionByName(maps[1]).unionByName(models), "file_id"))
 
 
 def top3_per_group(spark, sf_dir):
@@ -300,6 +348,7 @@ def top3_per_group(spark, sf_dir):
 
 PY = [
     rename_columns, update_cell, algebra_join_theta, algebra_join_full, ndv, set_union_all, set_union, set_minus, set_intersect, graph_descendants, graph_ancestors, graph_reach_multi,
+    join_on_graph, graph_ancestors_dsl, graph_any_descendant_dsl, graph_script_descendant_dsl, find_cycles, impact_dependencies, graph_centrality,
     graph_pred_ancestor, graph_pred_descendant, graph_has_path, graph_degree, graph_cycles, graph_source_dsl, graph_predicate_dsl, impact_counts, overlay_resolve, dead_files, hash_conflicts,
     dep_conflicts, isolated, cascade, global_scripts, implicit_deps, mod_types, map_conflicts, pure_whitelist, entry_points_found, entry_points_live, check_extensions, synthetic, top3_per_group,
 ]
@@ -308,15 +357,56 @@ PY = [
 # --- Presets over the stored tables ---------------------------------------------------------------------------------------
 
 
-def preset(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preset over the stored tables and the relations derived from them. Ties at a limit are broken by all columns."""
+def own_reference(spark, sf_dir):
+    """The game's own packages as an external reference: stock paths, with other hashes where the size is odd."""
+    f = spark.read.parquet(f"{sf_dir}/files.parquet").filter("source_name in ('base', 'pak01_dir') and virtual_path is not null")
+    f = f.groupBy("virtual_path").agg(F.max("file_size").alias("ext_file_size"), F.min("file_hash").alias("h"))
+    return f.select("virtual_path", F.lit("ref:own").alias("ext_source_name"), F.when(F.col("ext_file_size") % 3 == 0, 90).otherwise(400).alias("ext_priority"), F.when(F.col("ext_file_size") % 2 == 1, "0").otherwise(F.col("h")).alias("ext_file_hash"), "ext_file_size")
+
+
+def _own(spark, sf_dir, c):
+    return c.with_relation("external_files", own_reference(spark, sf_dir))
+
+
+def _extracted(kind, spark, sf_dir, c):
+    """Dependencies as the extractor of one format finds them."""
+    from .filequeries import extracted
+
+    e = extracted(kind, spark, sf_dir).select(F.col("src").alias("from_path"), F.col("dst").alias("to_path"), F.lit(None).cast("string").alias("expected_source"))
+    return c.with_relation("dependencies", e)
+
+
+def _hotel(spark, sf_dir, c):
+    """The graph with the preset's map put above all levels."""
+    d = c["dependencies"]
+    tops = d.filter("dep_kind = 'level' and from_path is not null").select(F.lit("maps/c1m1_hotel.bsp").alias("src"), F.col("from_path").alias("dst"))
+    return c.with_edges(c.edges.union(tops))
+
+
+def _packed(spark, sf_dir, c):
+    """Files whose sources bear the names of their archives."""
+    return c.with_relation("files", c["files"].withColumn("source_name", F.concat("source_name", F.lit(".vpk"))))
+
+
+#: Presets that find nothing in the stored tables, with what they are run over as well.
+OVER = {
+    "external_overlap": _own, "external_overridden": _own, "external_overrides": _own, "infected_model_usage": partial(_extracted, "x_population"),
+    "melee_weapon_chain": partial(_extracted, "x_melee"), "map_descendants": _hotel, "cross_map_pollution": _packed,
+}
+
+
+def preset(name: str, spark: SparkSession, sf_dir: str, over=None) -> DataFrame:
+    """A preset over the stored tables and the relations derived from them. Ties at a limit are broken by all columns; a
+    preset with a limit and no order is ordered by its first column, so that its rows are defined."""
     c = catalog(spark, sf_dir)
+    if over is not None:
+        c = over(spark, sf_dir, c)
     spec = PRESETS[name]
     src = spec["from"] if isinstance(spec["from"], str) else "files"
     derive = {
         "dep_conflicts": lambda: A.dependency_conflicts(_nodes(spark, sf_dir), c.edges), "cascade_overrides": lambda: A.cascade_overrides(c["files"], "file_id"), "global_scripts": lambda: A.global_scripts(c["files"]),
         "hash_conflicts": lambda: A.hash_conflicts(c["files"], "file_id"), "implicit_deps": lambda: A.implicit_dependencies(_nodes(spark, sf_dir), c.edges), "isolated": lambda: A.isolated_packages(c["files"]),
-        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "dependency_cycles": lambda: G.elementary_cycles(c.edges, at_least=spec["limit"]),
+        "mod_types": lambda: A.classify_sources(c["files"], c["external_files"]), "impact": lambda: A.impact(_nodes(spark, sf_dir), c.edges, None), "dependency_cycles": lambda: G.elementary_cycles(c.edges, at_least=spec["limit"]),
     }
     if src in derive:
         c = c.with_relation(src, derive[src]())
@@ -333,7 +423,8 @@ def preset(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     **{k: partial(dsl, v[0], tiebreak=TIES.get(k)) for k, v in SPECS.items()},
     **{f.__name__: f for f in PY},
-    **{f"preset_{n}": partial(preset, n) for n in PRESETS if n != "top_impact"},
+    **{f"preset_{n}": partial(preset, n) for n in PRESETS},
+    **{f"preset_{n}_derived": partial(preset, n, over=o) for n, o in OVER.items()},
 }
 
 _KEY = "lower(replace(virtual_path, chr(92), '/'))"
@@ -358,6 +449,7 @@ modt AS (SELECT source_name, CASE WHEN is_disabled THEN 'disabled' WHEN m THEN '
 _ISOL = """bad AS (SELECT DISTINCT source_name, virtual_path FROM files WHERE is_dead OR is_redundant),
 ex AS (SELECT source_name, string_agg(virtual_path, '|' ORDER BY virtual_path) AS p FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY virtual_path NULLS FIRST) AS n FROM bad) WHERE n <= 3 GROUP BY source_name),
 isol AS (SELECT f.source_name, count(*) FILTER (is_dead OR is_redundant)::INT AS dead_file_count, coalesce(any_value(ex.p), '') AS example_paths FROM files f LEFT JOIN ex ON ex.source_name IS NOT DISTINCT FROM f.source_name GROUP BY f.source_name)"""
+_LINKS = "links AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL)"
 _REACH = "WITH RECURSIVE {e}, reach AS (SELECT dst AS id FROM edges WHERE {s} UNION SELECT dst FROM edges JOIN reach ON src = id) "
 _PAIRS = f"WITH RECURSIVE {_EDGES}, pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM pairs JOIN edges ON src = b) "
 _SCRIPT_STEM = r"regexp_extract(k, '([^/]*)[.]bsp$', 1)"
@@ -390,6 +482,13 @@ ORACLE = {
     "graph_predicate_dsl": """WITH RECURSIVE edges AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
       pairs AS (SELECT src AS a, dst AS b FROM edges WHERE src LIKE '%.bsp' UNION SELECT a, dst FROM pairs JOIN edges ON src = b)
       SELECT source_type, count(*) AS n FROM files WHERE virtual_path IN (SELECT b FROM pairs WHERE a <> b) GROUP BY source_type""",
+    "join_on_graph": f"WITH RECURSIVE {_LINKS}, below AS (SELECT src AS a, dst AS b FROM links WHERE src LIKE '%.bsp' UNION SELECT a, dst FROM below JOIN links ON src = b) SELECT DISTINCT file_id, addon_row FROM files JOIN addons ON source_name = addon_id WHERE virtual_path IN (SELECT b FROM below WHERE a <> b)",
+    "graph_ancestors_dsl": f"WITH RECURSIVE {_LINKS}, up AS (SELECT src AS id FROM links WHERE dst = 'materials/common/blank_surface.vtf' UNION SELECT src FROM links JOIN up ON dst = id) SELECT file_id, virtual_path FROM files WHERE virtual_path IN (SELECT id FROM up) AND virtual_path <> 'materials/common/blank_surface.vtf'",
+    "graph_any_descendant_dsl": f"WITH RECURSIVE {_LINKS}, up AS (SELECT dst AS b, src AS a FROM links WHERE regexp_matches(dst, '(?i)[.](wav|pcf)$') UNION SELECT b, src FROM up JOIN links ON dst = a) SELECT file_id FROM files WHERE virtual_path IN (SELECT a FROM up WHERE a <> b)",
+    "graph_script_descendant_dsl": f"WITH RECURSIVE {_LINKS}, up AS (SELECT dst AS b, src AS a FROM links WHERE dst LIKE '%.nut' UNION SELECT b, src FROM up JOIN links ON dst = a) SELECT file_id FROM files WHERE virtual_path IN (SELECT a FROM up WHERE a <> b)",
+    "find_cycles": f"WITH {_LINKS} SELECT src AS cycle, 1 AS length FROM links WHERE src = dst UNION ALL SELECT a.src || '>' || a.dst, 2 FROM links a JOIN links b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst",
+    "impact_dependencies": f"WITH RECURSIVE {_LINKS}, pairs AS (SELECT src AS a, dst AS b FROM links UNION SELECT a, dst FROM pairs JOIN links ON src = b), nodes AS (SELECT src AS id FROM links UNION SELECT dst FROM links) SELECT id, count(b) AS impact_count FROM nodes LEFT JOIN pairs ON a = id AND a <> b GROUP BY id",
+    "graph_centrality": f"WITH {_LINKS}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM links UNION ALL SELECT dst FROM links) GROUP BY id) SELECT id, degree, round(degree / (count(*) OVER () - 1), 9) AS centrality FROM d",
     "impact_counts": _PAIRS + ", nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT id, count(DISTINCT b) AS impact_count FROM nodes LEFT JOIN pairs ON a = id AND a <> b GROUP BY id",
     "overlay_resolve": f"WITH {_RESOLVED} SELECT files.file_id, coalesce(files.file_id = win, false) AS is_winner, CASE WHEN win IS NOT NULL THEN files.file_id <> win ELSE coalesce(files.is_redundant, false) END AS is_redundant FROM files LEFT JOIN res USING (file_id)",
     "dead_files": """WITH RECURSIVE edges AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
@@ -413,7 +512,12 @@ ORACLE = {
       SELECT virtual_path, CASE WHEN k LIKE '%.bsp' THEN 'map' WHEN contains(k, 'soundscapes') THEN 'soundscape' WHEN ends_with(k, '_level_sounds.txt') THEN 'level_sounds' WHEN starts_with(k, 'missions/') THEN 'mission' WHEN ends_with(k, 'gameinfo.txt') THEN 'gameinfo' WHEN ends_with(k, '.nut') THEN 'script' WHEN contains(k, 'manifest') THEN 'manifest' ELSE 'other' END AS source_type FROM f""",
     "entry_points_live": "SELECT entry_id FROM entry_points WHERE virtual_path IN (SELECT from_path FROM dependencies)",
     "check_extensions": r"SELECT dep_id FROM dependencies WHERE coalesce(lower(regexp_extract(from_path, '([.][^./\\]*)$', 1)) IN ('.wav', '.pcf'), false) OR coalesce(lower(regexp_extract(to_path, '([.][^./\\]*)$', 1)) IN ('.wav', '.pcf'), false)",
-    "synthetic": f"""WITH {_RESOLVED}, s AS (SELECT virtual_path AS src, 'maps/' || {_SCRIPT_STEM} || '_level_sounds.txt' AS t FROM act WHERE k LIKE '%.bsp' UNION SELECT virtual_path, 'scripts/soundscapes_' || {_SCRIPT_STEM} || '.txt' FROM act WHERE k LIKE '%.bsp'
+    "synthetic": f"""WITH own AS (SELECT *, {_KEY} AS k FROM files), stems AS (SELECT *, {_SCRIPT_STEM} AS stem FROM own WHERE k LIKE '%.bsp'),
+      more AS (SELECT file_id, virtual_path, source_name, priority, is_enabled, is_dead FROM files UNION ALL SELECT file_id + 10000000, 'maps/' || stem || '_level_sounds.txt', source_name, priority, is_enabled, is_dead FROM stems
+        UNION ALL SELECT file_id + 20000000, 'scripts/soundscapes_' || stem || '.txt', source_name, priority, is_enabled, is_dead FROM stems
+        UNION ALL SELECT file_id + 30000000, regexp_replace(k, '[.]mdl$', '.phy'), source_name, priority, is_enabled, is_dead FROM own WHERE k LIKE '%.mdl'),
+      act AS (SELECT DISTINCT ON (k) virtual_path, k FROM (SELECT *, {_KEY} AS k FROM more WHERE virtual_path IS NOT NULL AND is_enabled AND NOT coalesce(is_dead, false)) ORDER BY k, priority DESC NULLS LAST, file_id),
+      s AS (SELECT virtual_path AS src, 'maps/' || {_SCRIPT_STEM} || '_level_sounds.txt' AS t FROM act WHERE k LIKE '%.bsp' UNION SELECT virtual_path, 'scripts/soundscapes_' || {_SCRIPT_STEM} || '.txt' FROM act WHERE k LIKE '%.bsp'
       UNION SELECT virtual_path, regexp_replace(k, '[.]mdl$', '.phy') FROM act WHERE k LIKE '%.mdl') SELECT DISTINCT src, act.virtual_path AS dst FROM s JOIN act ON act.k = t""",
     "top3_per_group": "SELECT source_name, file_id, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY file_size DESC NULLS LAST, file_id) AS n FROM files WHERE source_name IS NOT NULL) WHERE n <= 3",
 }
@@ -482,5 +586,37 @@ def _where(p: dict) -> str:
     return f"{c} IS NOT DISTINCT FROM {lit}" if op == "eq" else f"{c} IS DISTINCT FROM {lit}" if op == "neq" else f"{c} {OPS[op]} {lit}"
 
 
-ORACLE["preset_dependency_cycles"] = f"WITH RECURSIVE {LINKS_SQL} SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM (SELECT path FROM paths WHERE depth = -1 AND node = root ORDER BY len(path), path LIMIT 50)"
-ORACLE |= {f"preset_{n}": s for n in PRESETS if n != "top_impact" and (s := _preset_sql(n))}
+# All links, as the query and the preset read them. Paths within the cyclic links grow from their least node. They are cut at
+# 16 links, which is no bound of the query: on the tables compared there are more than 50 cycles of so few links.
+ORACLE["preset_dependency_cycles"] = f"""WITH RECURSIVE {_LINKS}, pairs AS (SELECT src AS a, dst AS b FROM links UNION SELECT a, dst FROM pairs JOIN links ON src = b),
+  core AS (SELECT src, dst FROM links JOIN pairs ON a = dst AND b = src),
+  paths AS (SELECT src AS first, dst AS last, [src] AS path FROM core WHERE src <= dst
+    UNION ALL SELECT first, dst, list_append(path, last) FROM paths JOIN core ON src = last WHERE last <> first AND len(path) < 16 AND dst >= first AND NOT list_contains(path, last))
+  SELECT array_to_string(path, '>') AS cycle, len(path)::INT AS length FROM paths WHERE first = last ORDER BY len(path), path LIMIT 50"""
+ORACLE["preset_top_impact"] = f"""WITH RECURSIVE {_RESOLVED}, pairs AS (SELECT src AS a, dst AS b FROM links UNION SELECT a, dst FROM pairs JOIN links ON src = b),
+  n AS (SELECT a, count(*)::INT AS n FROM pairs WHERE a <> b GROUP BY a)
+  SELECT virtual_path, source_name, coalesce(n, 0) AS impact_count FROM act LEFT JOIN n ON a = virtual_path ORDER BY impact_count DESC, virtual_path, source_name LIMIT 20"""
+_BELOW_MAP = "below AS (SELECT src AS a, dst AS b FROM edges WHERE src LIKE '%.bsp' UNION SELECT a, dst FROM below JOIN edges ON src = b)"
+_POLLUTION = """SELECT source_name, count(*) AS file_count FROM f WHERE ends_with(source_name, '.vpk') AND virtual_path IN (SELECT b FROM below WHERE a <> b) GROUP BY 1 HAVING count(*) >= 10 ORDER BY file_count DESC, source_name LIMIT 200"""
+_DOWN = """down AS (SELECT dst AS id FROM edges WHERE src = 'maps/c1m1_hotel.bsp' UNION SELECT dst FROM edges JOIN down ON src = id)
+  SELECT source_name, count(*) AS file_count FROM files WHERE virtual_path IN (SELECT id FROM down WHERE id <> 'maps/c1m1_hotel.bsp') AND coalesce(source_name NOT IN ('base', 'pak01_dir'), true) GROUP BY 1 ORDER BY file_count DESC, source_name NULLS LAST LIMIT 200"""
+_ALL_EDGES = "edges AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL"
+ORACLE |= {f"preset_{n}": s for n in PRESETS if f"preset_{n}" not in ORACLE and (s := _preset_sql(n))}
+ORACLE["preset_map_descendants"] = f"WITH RECURSIVE {_ALL_EDGES}), {_DOWN}"
+ORACLE["preset_map_descendants_derived"] = f"WITH RECURSIVE {_ALL_EDGES} UNION SELECT 'maps/c1m1_hotel.bsp', from_path FROM dependencies WHERE dep_kind = 'level' AND from_path IS NOT NULL), {_DOWN}"
+ORACLE["preset_cross_map_pollution"] = f"WITH RECURSIVE {_ALL_EDGES}), {_BELOW_MAP}, f AS (SELECT virtual_path, source_name FROM files) {_POLLUTION}"
+ORACLE["preset_cross_map_pollution_derived"] = f"WITH RECURSIVE {_ALL_EDGES}), {_BELOW_MAP}, f AS (SELECT virtual_path, source_name || '.vpk' AS source_name FROM files) {_POLLUTION}"
+_REFERENCE = """external_files AS (SELECT virtual_path, 'ref:own' AS ext_source_name, CASE WHEN ext_file_size % 3 = 0 THEN 90 ELSE 400 END AS ext_priority, CASE WHEN ext_file_size % 2 = 1 THEN '0' ELSE h END AS ext_file_hash, ext_file_size
+  FROM (SELECT virtual_path, max(file_size) AS ext_file_size, min(file_hash) AS h FROM files WHERE source_name IN ('base', 'pak01_dir') AND virtual_path IS NOT NULL GROUP BY 1))"""
+
+
+def _derived_sql() -> dict[str, str]:
+    from .filequeries import ORACLE as FOUND
+
+    heads = {**dict.fromkeys(("external_overlap", "external_overridden", "external_overrides"), _REFERENCE)}
+    for n, kind in (("infected_model_usage", "x_population"), ("melee_weapon_chain", "x_melee")):
+        heads[n] = f"found AS ({FOUND[kind]}), dependencies AS (SELECT src AS from_path, dst AS to_path FROM found)"
+    return {f"preset_{n}_derived": _preset_sql(n).replace("WITH ", f"WITH {head}, ", 1) for n, head in heads.items()}
+
+
+ORACLE |= _derived_sql()
