@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..operators.skew import pack_loads, skew_join
 from ..scratch import discard, materialize
 
@@ -43,16 +44,8 @@ def _weights(r: np.ndarray) -> np.ndarray:
 
 
 def _sources(facts: DataFrame) -> DataFrame:
-    """(src, s, n_facts): every source with a number from 0 on, without gaps."""
-    found = facts.groupBy("src").agg(F.count(F.lit(1)).alias("n_facts"))
-    at = F.monotonically_increasing_id()
-    found = materialize(found.select("src", "n_facts", F.call_function("shiftright", at, F.lit(33)).cast("int").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "numbered")
-    first, start = {}, 0
-    for r in sorted(found.groupBy("part").agg(F.count(F.lit(1)).alias("m")).collect()):  # one row per write task
-        first[r.part] = start
-        start += r.m
-    starts = F.split(F.lit(",".join(str(first.get(i, 0)) for i in range(max(first, default=0) + 1))), ",").cast("array<bigint>")
-    return found.select("src", (F.get(starts, F.col("part")) + F.col("at")).cast("int").alias("s"), "n_facts")
+    """(src, n_facts, s): every source with a number from 0 on, without gaps."""
+    return numbered(facts.groupBy("src").agg(F.count(F.lit(1)).alias("n_facts")), "s")
 
 
 def _flags(first: bool | Column, *changed: Column) -> Column:
@@ -177,7 +170,7 @@ def discover(facts: DataFrame, max_rounds: int = 12, tolerance: float = 0.005, g
     """
     facts = facts.select("grp", F.coalesce("src", F.lit("")).alias("src"), "low", "n", F.filter("claims", lambda c: c["value"].isNotNull()).alias("claims"))
     facts = materialize(facts, "facts")
-    sources = materialize(_sources(facts), "sources")
+    sources = _sources(facts)
     size = sources.agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("src") + 16).alias("b")).first()
     if size.b is not None and size.b <= DICTIONARY_BYTES:
         coded = facts.join(F.broadcast(sources.select("src", "s")), "src").drop("src")
