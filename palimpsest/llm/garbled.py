@@ -98,8 +98,28 @@ def _candidates(log_pairs: np.ndarray):
     return run
 
 
+def _with_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to rows (source, uses) what the rounds need of the candidates' texts: the sizes of their lists of character
+    pairs, these lists one after the other, and twice the number of odd places plus one where U+FFFD is left."""
+    for b in batches:
+        uses = b.column(1)
+        cands = uses.flatten().field("cands")
+        texts = cands.flatten().field("text").to_pylist()
+        ids = [pair_ids(t) for t in texts]
+        first = cands.offsets.to_numpy()
+        ends = (first - first[0])[(uses.offsets.to_numpy() - uses.offsets[0].as_py())]  # of the rows, in candidates
+        sizes = np.array([len(x) for x in ids], np.int32)
+        pair_ends = np.concatenate([[0], np.cumsum(sizes)])[ends].astype(np.int32)
+        marks = np.array([2 * len(ODD.findall(t)) + (LOST in t) for t in texts], np.int32)
+        rows = pa.array(ends.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, pa.ListArray.from_arrays(rows, pa.array(sizes)), pa.ListArray.from_arrays(pa.array(pair_ends), pa.array(np.array([i for x in ids for i in x], np.int32))), pa.ListArray.from_arrays(rows, pa.array(marks))],
+            ["source", "uses", "sizes", "pairs", "marks"],
+        )
+
+
 class Groups:
-    """A batch of rows (source, uses), a use being (field, name, n, cands), as flat arrays."""
+    """A batch of rows (source, uses, sizes, pairs, marks), a use being (field, name, n, cands), as flat arrays."""
 
     def __init__(self, b: pa.RecordBatch, fields: list[str]):
         self.source = b.column(0).to_pylist()
@@ -119,11 +139,8 @@ class Groups:
         self.chain, hit = c.field("chain").to_numpy(), c.field("hit").to_numpy()
         self.texts = c.field("text")
         own = hit[self.starts][self.use]  # the first candidate of a name is the name as it is
-        texts = self.texts.to_pylist()
-        ids = [pair_ids(t) for t in texts]
-        self.pair_sizes = np.array([len(x) for x in ids], np.int64)
-        self.pairs = np.array([i for x in ids for i in x], np.int64)
-        lost, odd = np.array([LOST in t for t in texts]), np.array([len(ODD.findall(t)) for t in texts])
+        self.pair_sizes, self.pairs, marks = (b.column(i).flatten().to_numpy() for i in (2, 3, 4))
+        lost, odd = (marks & 1) > 0, marks >> 1
         self.given = np.where(self.chain > 0, support(hit, own), 0.0) + np.where(lost & (self.chain != REPLACED), WRITTEN_LOST, 0.0) + WRITTEN_ODD * odd
 
 
@@ -286,7 +303,8 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS, source_names: int = S
     salt = F.pmod(F.xxhash64("name"), F.lit(max(large.values(), default=1)))
     salt = F.when(F.col("source").isNull(), F.xxhash64("field", "name")).when(F.col("source").isin(list(large)), salt).otherwise(0)
     tried = tried.groupBy("source", salt.alias("salt")).agg(F.collect_list(F.struct("field", "name", "n", "cands")).alias("uses"))
-    tried = materialize(tried.select("source", "uses").repartition(parts), "tried")
+    tried = tried.select("source", "uses").repartition(parts)
+    tried = materialize(tried.mapInArrow(_with_pairs, f"source string, uses {tried.schema['uses'].dataType.simpleString()}, sizes array<int>, pairs array<int>, marks array<int>"), "tried")
 
     base = _counted(plain.select("name", "n"))
     prior = np.full((len(fields), len(CHAINS)), (1 - CLEAN) / (len(CHAINS) - 1))
