@@ -183,7 +183,7 @@ def _encode_word(word: Column, v: Vocabulary, table: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         many = (F.size(acc["ids"]) > LONG_WORD) & (F.size(F.filter(acc["ranks"], lambda r: r == acc["m"])) > 1)
-        return F.when(acc["m"].isNull(), acc).when(many, let(join_all(acc), lambda x: F.when(x.isNull(), join_one(acc)).otherwise(x))).otherwise(join_one(acc))
+        return F.when(acc["m"].isNull(), acc).otherwise(F.coalesce(F.when(many, join_all(acc)), join_one(acc)))
 
     def fold(ids: Column) -> Column:
         """At most one step for each byte, in rounds of as many steps as there are rounds: a fold copies what it carries
@@ -200,7 +200,7 @@ def _encode_word(word: Column, v: Vocabulary, table: Column) -> Column:
 
     def whole(b: Column) -> Column:
         ids = F.transform(b, lambda x: byte_ids[x].cast("int"))
-        return let(ids, lambda i: F.when(F.size(i) > LONG_WORD, F.flatten(F.transform(parts(b, i), fold))).otherwise(fold(i)))
+        return let(ids, lambda i: F.flatten(F.transform(F.when(F.size(i) > LONG_WORD, parts(b, i)).otherwise(F.array(i)), fold)))
 
     return let(bytes_, whole)
 
