@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .ice import decrypt
 from .keyvalues import leaves
 
 # --- Path normalisers -------------------------------------------------------------------------------------------------
@@ -79,9 +80,17 @@ def material_values(text: Column) -> Column:
     return F.array_distinct(_all(text, r'\$(\w+)\s+"([^"]+)"', group=2))
 
 
+#: Calls that name a file, and what kind of file.
+CALLS = {"IncludeScript": "nut", "PrecacheModel": "", "PrecacheSound": "sound"}
+
+
+def call_pattern(call: str) -> str:
+    return rf'{call}\s*\(\s*"([^"]+)"\s*\)'
+
+
 def script_links(text: Column) -> Column:
-    call = lambda name: rf'{name}\s*\(\s*"([^"]+)"\s*\)'
-    return F.concat(_all(text, call("IncludeScript"), script_path), _all(text, call("PrecacheModel")), _all(text, call("PrecacheSound"), sound_path))
+    shape = {"nut": script_path, "": lambda c: c, "sound": sound_path}
+    return F.concat(*[_all(text, call_pattern(call), shape[kind]) for call, kind in CALLS.items()])
 
 
 def soundscape_links(text: Column) -> Column:
@@ -203,13 +212,10 @@ def map_archive(raw: bytes) -> dict[str, bytes]:
         return {}
 
 
-_CALLS = (("IncludeScript", "nut"), ("PrecacheModel", ""), ("PrecacheSound", "sound"))
-
-
 def script_names(text: str) -> set[str]:
     out = set()
-    for call, kind in _CALLS:
-        for v in re.findall(rf'{call}\s*\(\s*"([^"]+)"\s*\)', text):
+    for call, kind in CALLS.items():
+        for v in re.findall(call_pattern(call), text):
             if kind == "nut":
                 v = v.strip().replace("\\", "/")
                 v = v if v.endswith(".nut") else v + ".nut"
@@ -220,9 +226,71 @@ def script_names(text: str) -> set[str]:
     return out
 
 
+# Places of lumps in a map file, and of fields in the head of a model.
+ENTITIES, GAME_LUMP, TEXTURE_NAMES, TEXTURE_TABLE = 0, 35, 43, 44
+STATIC_PROPS, PROP_NAME = 0x73707270, 128
+MODEL_TEXTURES, MODEL_FOLDERS, MODEL_TEXTURE_SIZE = 204, 212, 64
+# Keys of encrypted scripts, by game.
+SCRIPT_KEYS = {"l4d2": "SDhfi878", "css": "d7NSuLq2", "csgo": "d7NSuLq2", "tf2": "E2NcUkG2", "dods": "Wl0u5B3F", "hl2": "x9Ke0BY7", "portal2": "x9Ke0BY7"}
+
+
+def _lump(raw: bytes, i: int) -> bytes:
+    at, size = struct.unpack_from("<ii", raw, 8 + 16 * i)
+    return raw[at : at + size]
+
+
+def _word(raw: bytes, at: int) -> str:
+    return raw[at : raw.index(b"\0", at)].decode("utf-8", "replace")
+
+
+def map_content_links(raw: bytes) -> set[str]:
+    """Textures, static models and the configurations that server commands run; empty for what is no map."""
+    out: set[str] = set()
+    if raw[:4] != b"VBSP":
+        return out
+    names, table = _lump(raw, TEXTURE_NAMES), _lump(raw, TEXTURE_TABLE)
+    out |= {f"materials/{t}.vmt" for (at,) in struct.iter_unpack("<i", table[: len(table) // 4 * 4]) if (t := _word(names, at))}
+    games = _lump(raw, GAME_LUMP)
+    for i in range(struct.unpack_from("<i", games)[0] if games else 0):
+        kind, _, _, at, size = struct.unpack_from("<iHHii", games, 4 + 16 * i)
+        if kind == STATIC_PROPS and size >= 4:
+            (n,) = struct.unpack_from("<i", raw, at)
+            out |= {raw[x : x + PROP_NAME].split(b"\0")[0].decode("utf-8", "replace") for x in range(at + 4, at + 4 + n * PROP_NAME, PROP_NAME)}
+    for block in re.findall(r"\{([^{}]*)\}", _lump(raw, ENTITIES).decode("utf-8", "replace")):
+        pairs = [(k.lower(), v) for k, v in re.findall(r'"([^"]*)"\s+"([^"]*)"', block)]
+        if ("classname", "point_servercommand") in [(k, v.strip().lower()) for k, v in pairs]:
+            for target in (t for k, v in pairs if k == "command" for t in re.findall(r"\bexec\s+([^\s;]+)", v)):
+                target = target.replace("\\", "/")
+                target = target if target.endswith(".cfg") else target + ".cfg"
+                out.add(target if "/" in target else "cfg/" + target)
+    return out - {""}
+
+
+def model_links(raw: bytes) -> list[str]:
+    """Materials of a model: each of its textures in each of its folders; which of them exists the model does not tell."""
+    if raw[:4] != b"IDST":
+        return []
+    textures, at = struct.unpack_from("<ii", raw, MODEL_TEXTURES)
+    folders, listed = struct.unpack_from("<ii", raw, MODEL_FOLDERS)
+    names = [_word(raw, x + struct.unpack_from("<i", raw, x)[0]) for x in range(at, at + textures * MODEL_TEXTURE_SIZE, MODEL_TEXTURE_SIZE)]
+    places = [_word(raw, x) for (x,) in struct.iter_unpack("<i", raw[listed : listed + 4 * folders])]
+    clean = lambda s: s.replace("\\", "/").strip("/")
+    return sorted({"/".join(x for x in ("materials", clean(p), clean(n)) if x) + ".vmt" for p in places or [""] for n in names if n})
+
+
+def encrypted_links(raw: bytes, key: str) -> list[str]:
+    """What an encrypted script names; compiled ones and those without a key name nothing."""
+    if not key or raw[:2] == b"\xfa\xfa":
+        return []
+    return sorted(script_names(decrypt(raw, key.encode("ascii")).decode("utf-8", "replace")))
+
+
 def map_links(raw: bytes) -> list[str]:
-    """What the scripts and configurations embedded in a map name, and the embedded files themselves."""
-    out = set()
+    """What a map names, what the scripts and configurations embedded in it name, and the embedded files themselves."""
+    try:
+        out = map_content_links(raw)
+    except (struct.error, ValueError):
+        out = set()
     for name, data in map_archive(raw).items():
         out.add(name.replace("\\", "/"))
         text = data.decode("utf-8", "replace")
@@ -249,8 +317,9 @@ def decode_text(raw: bytes | None) -> str:
 PLUGINS: dict[str, Callable[[bytes], list[str]]] = {}
 
 
-def file_kind(path: Column) -> Column:
-    """Which extractor reads a file; null for a leaf. For .txt files the first rule that fits."""
+def file_kind(path: Column, game: str = "") -> Column:
+    """Which extractor reads a file; null for a leaf. For .txt files the first rule that fits. ``game`` has the key of
+    encrypted scripts."""
     p = F.lower(path)
     txt = (
         F.when(p.contains("manifest"), "manifest").when(p.contains("game_sounds"), "game_sounds").when(p.contains("soundscapes"), "soundscapes")
@@ -259,7 +328,7 @@ def file_kind(path: Column) -> Column:
         .when(p.endswith("sound_prefetch.txt"), "sound_list").when(p.endswith("level_sounds_general.txt"), "level_sounds").when(p.isin("scripts/soundmixers.txt", "scripts/propdata.txt"), "mixers")
     )
     ext = F.regexp_extract(p, r"\.([^./]+)$", 1)
-    known = {"vmt": "vmt", "nut": "nut", "ani": "ani", "res": "res", "pcf": "pcf", "bsp": "bsp", **{e.lstrip("."): f"plugin:{e}" for e in PLUGINS}}
+    known = {"vmt": "vmt", "nut": "nut", "ani": "ani", "res": "res", "pcf": "pcf", "bsp": "bsp", "mdl": "mdl", "nuc": f"nuc:{SCRIPT_KEYS.get(game.lower(), '')}", **{e.lstrip("."): f"plugin:{e}" for e in PLUGINS}}
     out = F.when(ext == "txt", txt)
     for e, k in known.items():
         out = out.when(ext == e, k)
@@ -269,9 +338,9 @@ def file_kind(path: Column) -> Column:
 NATIVE = {"vmt": material_links, "nut": script_links, "ani": animation_links, "soundscapes": soundscape_links, "manifest": list_lines, "sound_list": lambda c: list_lines(c, "sound/"), "mixers": mixer_links}
 
 
-def extract_edges(contents: DataFrame) -> DataFrame:
+def extract_edges(contents: DataFrame, game: str = "") -> DataFrame:
     """(src, dst), distinct, from ``contents``: virtual_path, content (BINARY). Null contents and unknown kinds name nothing."""
-    rows = contents.select("virtual_path", "content", file_kind(F.col("virtual_path")).alias("kind")).filter("kind is not null and content is not null")
+    rows = contents.select("virtual_path", "content", file_kind(F.col("virtual_path"), game).alias("kind")).filter("kind is not null and content is not null")
     native = rows.filter(F.col("kind").isin(list(NATIVE)) & (F.hex(F.substring("content", 1, 2)) != "FAFA"))
     text = native.withColumn("text", _decoded(F.col("content")))
     named = F.coalesce(*[F.when(F.col("kind") == kind, links(F.col("text"))) for kind, links in NATIVE.items()])
@@ -297,6 +366,10 @@ def _links(kind: str, raw: bytes) -> list[str]:
             return particle_links(raw)
         if kind == "bsp":
             return map_links(raw)
+        if kind == "mdl":
+            return model_links(raw)
+        if kind.startswith("nuc:"):
+            return encrypted_links(raw, kind[4:])
         if kind.startswith("plugin:"):
             return sorted(set(PLUGINS[kind[7:]](raw)))
         return kv_links(decode_text(raw), kind)

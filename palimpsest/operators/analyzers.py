@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from . import graph as G
 from .overlay import active, overlay_key, resolve
 from .predicates import glob_regex
@@ -158,28 +159,51 @@ def entry_type(path: Column) -> Column:
     """Kind of an entry point by its path; the first that fits."""
     p = F.lower(path)
     return (
-        F.when(p.endswith(".bsp"), "map")
-        .when(p.contains("soundscapes"), "soundscape")
-        .when(p.endswith("_level_sounds.txt"), "level_sounds")
+        F.when(p.contains("manifest"), "manifest")
+        .when(p.endswith(".bsp"), "map")
         .when(p.startswith("missions/"), "mission")
-        .when(p.endswith("gameinfo.txt"), "gameinfo")
-        .when(p.endswith(".nut"), "script")
-        .when(p.contains("manifest"), "manifest")
-        .otherwise("other")
+        .when(p.contains("soundscapes_") & p.endswith(".txt"), "soundscape")
+        .when(p.endswith("_level_sounds.txt"), "level_sounds")
+        .when(p.endswith("population.txt"), "population")
+        .when(p.endswith(".nut") | p.startswith("scripts/vscripts/") | p.isin("cfg/config.cfg", "cfg/autoexec.cfg", "gameinfo.txt", "scripts/sound_prefetch.txt"), "script")
+        .otherwise("user_specified")
     )
 
 
-def discover_entry_points(files: DataFrame, max_maps: int = -1) -> DataFrame:
-    """(virtual_path, source_type): maps (all for -1, none for 0, else the first by path), global scripts, mission files,
-    manifests, gameinfo, and the sound files of the maps taken."""
-    p = files.select("virtual_path").filter("virtual_path is not null").distinct().withColumn("k", F.lower("virtual_path"))
-    maps = p.filter("k like 'maps/%.bsp'")
-    if max_maps >= 0:
-        maps = maps.orderBy("k", "virtual_path").limit(max_maps)
+# What the engine loads by itself, for all games and for single ones.
+AUTO_MANIFESTS = ("scripts/soundscapes_manifest.txt", "scripts/game_sounds_manifest.txt", "particles/particles_manifest.txt")
+SCRIPT_ENTRIES = ("cfg/config.cfg", "cfg/autoexec.cfg", "scripts/population.txt", "scripts/sound_prefetch.txt")
+GAME_MANIFESTS = {
+    "l4d2": ("scripts/melee/melee_manifest.txt", "scripts/bonus_maps_manifest.txt", "scripts/sprays_manifest.txt"),
+    "l4d1": ("scripts/melee/melee_manifest.txt",),
+    "tf2": ("scripts/hudanimations_manifest.txt",),
+}
+
+
+def known_entry_points(game: str) -> list[str]:
+    """Paths that a game is known to load, whether they are there or not; none without a game."""
+    return [*AUTO_MANIFESTS, *GAME_MANIFESTS.get(game.lower().strip(), ()), *SCRIPT_ENTRIES, "maps/*.bsp"] if game else []
+
+
+def discover_entry_points(files: DataFrame, max_maps: int = 0, game: str = "", listed: DataFrame | None = None) -> DataFrame:
+    """(virtual_path, source_type) of the active files that the engine loads by itself.
+
+    The manifests of all games and of ``game``; files that manifests name (``listed``: path); maps (none by default, all
+    for -1, else the first by path); configurations and script entries; all scripts below scripts/vscripts; the game's
+    description; the sound files of every map; missions. Paths are compared in lower case with forward slashes. Without
+    an is_active column all files count as active.
+    """
+    f = files.filter(F.coalesce("is_active", F.lit(False))) if "is_active" in files.columns else files
+    p = f.select("virtual_path").filter("virtual_path is not null").distinct().withColumn("k", F.lower(F.translate("virtual_path", "\\", "/")))
+    maps = p.filter("k like '%.bsp'")
+    taken = maps.orderBy("k", "virtual_path").limit(max_maps) if max_maps >= 0 else maps
     stem = F.regexp_extract("k", r"([^/]*)\.bsp$", 1)
-    sounds = maps.select(F.explode(F.array(F.concat(F.lit("maps/"), stem, F.lit("_level_sounds.txt")), F.concat(F.lit("scripts/soundscapes_"), stem, F.lit(".txt")))).alias("k")).distinct()
-    rest = p.filter("k like 'scripts/vscripts/%.nut' or k like 'missions/%.txt' or k like '%gameinfo.txt' or (k like '%manifest%' and k like '%.txt')")
-    found = maps.union(rest).union(p.join(sounds, "k", "left_semi").select("virtual_path", "k")).select("virtual_path").distinct()
+    wanted = maps.select(F.explode(F.array(F.concat(F.lit("maps/"), stem, F.lit("_level_sounds.txt")), F.concat(F.lit("scripts/soundscapes_"), stem, F.lit(".txt")))).alias("k"))
+    if listed is not None:
+        wanted = wanted.union(listed.select(F.lower(F.translate("path", "\\", "/"))).filter("path is not null"))
+    fixed = [*AUTO_MANIFESTS, *GAME_MANIFESTS.get(game.lower().strip(), ()), *SCRIPT_ENTRIES, "gameinfo.txt"]
+    rest = p.filter(F.col("k").isin(fixed) | F.expr("(k like 'scripts/vscripts/%' and k like '%.nut') or (k like 'missions/%' and k like '%.txt')"))
+    found = taken.union(rest).union(p.join(wanted.distinct(), "k", "left_semi").select("virtual_path", "k")).select("virtual_path").distinct()
     return found.withColumn("source_type", entry_type(F.col("virtual_path")))
 
 
@@ -220,7 +244,8 @@ class Engine:
             for hook in self.before:
                 hook(name)
             try:
-                for relation, df in step(catalog).items():
+                # Written down, so that a failure of the action, too, is this analyzer's and no later one's.
+                for relation, df in [(r, materialize(df, r)) for r, df in step(catalog).items()]:
                     catalog = catalog.with_relation(relation, df)
             except Exception as e:  # noqa: BLE001
                 log.error("analyzer %s failed: %s", name, e)

@@ -319,6 +319,12 @@ def entry_points_found(spark, sf_dir):
     return A.discover_entry_points(spark.read.parquet(f"{sf_dir}/files.parquet"))
 
 
+def entry_points_of_game(spark, sf_dir):
+    """With a game's own manifests, all maps, and files that scripts list."""
+    listed = spark.read.parquet(f"{sf_dir}/dependencies.parquet").filter("dep_kind = 'script'").select(F.col("to_path").alias("path"))
+    return A.discover_entry_points(spark.read.parquet(f"{sf_dir}/files.parquet"), -1, "l4d2", listed)
+
+
 def entry_points_live(spark, sf_dir):
     return A.live_entry_points(spark.read.parquet(f"{sf_dir}/entry_points.parquet"), _edges(spark, sf_dir)).select("entry_id")
 
@@ -350,7 +356,7 @@ PY = [
     rename_columns, update_cell, algebra_join_theta, algebra_join_full, ndv, set_union_all, set_union, set_minus, set_intersect, graph_descendants, graph_ancestors, graph_reach_multi,
     join_on_graph, graph_ancestors_dsl, graph_any_descendant_dsl, graph_script_descendant_dsl, find_cycles, impact_dependencies, graph_centrality,
     graph_pred_ancestor, graph_pred_descendant, graph_has_path, graph_degree, graph_cycles, graph_source_dsl, graph_predicate_dsl, impact_counts, overlay_resolve, dead_files, hash_conflicts,
-    dep_conflicts, isolated, cascade, global_scripts, implicit_deps, mod_types, map_conflicts, pure_whitelist, entry_points_found, entry_points_live, check_extensions, synthetic, top3_per_group,
+    dep_conflicts, isolated, cascade, global_scripts, implicit_deps, mod_types, map_conflicts, pure_whitelist, entry_points_found, entry_points_of_game, entry_points_live, check_extensions, synthetic, top3_per_group,
 ]
 
 
@@ -452,6 +458,16 @@ isol AS (SELECT f.source_name, count(*) FILTER (is_dead OR is_redundant)::INT AS
 _LINKS = "links AS (SELECT DISTINCT from_path AS src, to_path AS dst FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL)"
 _REACH = "WITH RECURSIVE {e}, reach AS (SELECT dst AS id FROM edges WHERE {s} UNION SELECT dst FROM edges JOIN reach ON src = id) "
 _PAIRS = f"WITH RECURSIVE {_EDGES}, pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM pairs JOIN edges ON src = b) "
+def _entries_sql(more: str, listed: str) -> str:
+    return rf"""WITH p AS (SELECT DISTINCT virtual_path, lower(replace(virtual_path, '\', '/')) AS k FROM files WHERE virtual_path IS NOT NULL AND is_active), maps AS (SELECT regexp_extract(k, '([^/]*)[.]bsp$', 1) AS stem FROM p WHERE k LIKE '%.bsp'),
+      f AS (SELECT * FROM p WHERE (k LIKE 'scripts/vscripts/%' AND k LIKE '%.nut') OR (k LIKE 'missions/%' AND k LIKE '%.txt') OR {more} OR {listed}
+        OR k IN ('scripts/soundscapes_manifest.txt', 'scripts/game_sounds_manifest.txt', 'particles/particles_manifest.txt', 'cfg/config.cfg', 'cfg/autoexec.cfg', 'scripts/population.txt', 'scripts/sound_prefetch.txt', 'gameinfo.txt')
+        OR k IN (SELECT 'maps/' || stem || '_level_sounds.txt' FROM maps UNION SELECT 'scripts/soundscapes_' || stem || '.txt' FROM maps))
+      SELECT virtual_path, CASE WHEN contains(v, 'manifest') THEN 'manifest' WHEN v LIKE '%.bsp' THEN 'map' WHEN v LIKE 'missions/%' THEN 'mission' WHEN contains(v, 'soundscapes_') AND v LIKE '%.txt' THEN 'soundscape' WHEN ends_with(v, '_level_sounds.txt') THEN 'level_sounds'
+        WHEN ends_with(v, 'population.txt') THEN 'population' WHEN v LIKE '%.nut' OR starts_with(v, 'scripts/vscripts/') OR v IN ('cfg/config.cfg', 'cfg/autoexec.cfg', 'gameinfo.txt', 'scripts/sound_prefetch.txt') THEN 'script' ELSE 'user_specified' END AS source_type
+      FROM (SELECT *, lower(virtual_path) AS v FROM f)"""
+
+
 _SCRIPT_STEM = r"regexp_extract(k, '([^/]*)[.]bsp$', 1)"
 
 ORACLE = {
@@ -506,10 +522,8 @@ ORACLE = {
       w AS (SELECT *, row_number() OVER (PARTITION BY virtual_path ORDER BY priority DESC NULLS LAST, o) AS r FROM n SEMI JOIN ok USING (virtual_path))
       SELECT a.virtual_path, b.source_name AS winner_source, a.source_name AS loser_source, b.file_hash AS winner_hash, a.file_hash AS loser_hash, 'warning' AS severity FROM w a JOIN w b ON a.virtual_path = b.virtual_path AND b.r = 1 AND a.r > 1""",
     "pure_whitelist": "SELECT file_id, coalesce(lower(virtual_path) GLOB 'materials/*.vmt' OR lower(virtual_path) GLOB 'sound/*', false) AS is_pure_allowed FROM files",
-    "entry_points_found": f"""WITH p AS (SELECT DISTINCT virtual_path, lower(virtual_path) AS k FROM files WHERE virtual_path IS NOT NULL), maps AS (SELECT * FROM p WHERE k LIKE 'maps/%.bsp'),
-      snd AS (SELECT 'maps/' || {_SCRIPT_STEM} || '_level_sounds.txt' AS k FROM maps UNION SELECT 'scripts/soundscapes_' || {_SCRIPT_STEM} || '.txt' FROM maps),
-      f AS (SELECT virtual_path, k FROM maps UNION SELECT virtual_path, k FROM p WHERE k LIKE 'scripts/vscripts/%.nut' OR k LIKE 'missions/%.txt' OR k LIKE '%gameinfo.txt' OR (k LIKE '%manifest%' AND k LIKE '%.txt') OR k IN (SELECT k FROM snd))
-      SELECT virtual_path, CASE WHEN k LIKE '%.bsp' THEN 'map' WHEN contains(k, 'soundscapes') THEN 'soundscape' WHEN ends_with(k, '_level_sounds.txt') THEN 'level_sounds' WHEN starts_with(k, 'missions/') THEN 'mission' WHEN ends_with(k, 'gameinfo.txt') THEN 'gameinfo' WHEN ends_with(k, '.nut') THEN 'script' WHEN contains(k, 'manifest') THEN 'manifest' ELSE 'other' END AS source_type FROM f""",
+    "entry_points_found": _entries_sql("false", "false"),
+    "entry_points_of_game": _entries_sql("k IN ('scripts/melee/melee_manifest.txt', 'scripts/bonus_maps_manifest.txt', 'scripts/sprays_manifest.txt') OR k LIKE '%.bsp'", rf"k IN (SELECT lower(replace(to_path, '\', '/')) FROM dependencies WHERE dep_kind = 'script')"),
     "entry_points_live": "SELECT entry_id FROM entry_points WHERE virtual_path IN (SELECT from_path FROM dependencies)",
     "check_extensions": r"SELECT dep_id FROM dependencies WHERE coalesce(lower(regexp_extract(from_path, '([.][^./\\]*)$', 1)) IN ('.wav', '.pcf'), false) OR coalesce(lower(regexp_extract(to_path, '([.][^./\\]*)$', 1)) IN ('.wav', '.pcf'), false)",
     "synthetic": f"""WITH own AS (SELECT *, {_KEY} AS k FROM files), stems AS (SELECT *, {_SCRIPT_STEM} AS stem FROM own WHERE k LIKE '%.bsp'),
