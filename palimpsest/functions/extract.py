@@ -338,14 +338,15 @@ def file_kind(path: Column, game: str = "") -> Column:
 NATIVE = {"vmt": material_links, "nut": script_links, "ani": animation_links, "soundscapes": soundscape_links, "manifest": list_lines, "sound_list": lambda c: list_lines(c, "sound/"), "mixers": mixer_links}
 
 
-def extract_edges(contents: DataFrame, game: str = "") -> DataFrame:
-    """(src, dst), distinct, from ``contents``: virtual_path, content (BINARY). Null contents and unknown kinds name nothing."""
-    rows = contents.select("virtual_path", "content", file_kind(F.col("virtual_path"), game).alias("kind")).filter("kind is not null and content is not null")
+def extract_edges(contents: DataFrame, game: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst), distinct, from ``contents``: virtual_path, content (BINARY); columns to ``keep`` come first. Null contents
+    and unknown kinds name nothing."""
+    rows = contents.select(*keep, "virtual_path", "content", file_kind(F.col("virtual_path"), game).alias("kind")).filter("kind is not null and content is not null")
     native = rows.filter(F.col("kind").isin(list(NATIVE)) & (F.hex(F.substring("content", 1, 2)) != "FAFA"))
     text = native.withColumn("text", _decoded(F.col("content")))
     named = F.coalesce(*[F.when(F.col("kind") == kind, links(F.col("text"))) for kind, links in NATIVE.items()])
-    native = text.select(F.col("virtual_path").alias("src"), F.explode(named).alias("dst"))
-    other = rows.filter(~F.col("kind").isin(list(NATIVE))).select(F.col("virtual_path").alias("src"), F.explode(_other_links(F.col("kind"), F.col("content"))).alias("dst"))
+    native = text.select(*keep, F.col("virtual_path").alias("src"), F.explode(named).alias("dst"))
+    other = rows.filter(~F.col("kind").isin(list(NATIVE))).select(*keep, F.col("virtual_path").alias("src"), F.explode(_other_links(F.col("kind"), F.col("content"))).alias("dst"))
     return native.unionByName(other).filter("dst <> ''").distinct()
 
 

@@ -17,7 +17,7 @@ from .sources.settings import load_report
 class Shell:
     def __init__(self, catalog: Catalog, out=None, ordinal: str = "file_id"):
         self.catalog, self.out, self.ordinal = catalog, out or sys.stdout, ordinal
-        self.mode, self.echo, self.past, self.stores = "table", False, [], {"main": catalog}
+        self.mode, self.echo, self.page, self.past, self.stores = "table", False, 50, [], {"main": catalog}
         self.commands: dict[str, Callable[[list[str]], None]] = {
             n[4:]: getattr(self, n) for n in dir(self) if n.startswith("cmd_")
         }
@@ -51,7 +51,7 @@ class Shell:
                 self.commands[name](args)
             return True
         try:
-            print_result(self.catalog.execute(resolve_spec(line)), self.mode, self.out)
+            print_result(self.catalog.execute(resolve_spec(line)), self.mode, self.out, self.page)
         except QueryParseError as e:
             self.say(f"parse error: {e}")
         except QueryValidationError as e:
@@ -79,6 +79,12 @@ class Shell:
             self.mode = args[0]
         self.say(f"mode: {self.mode}")
 
+    def cmd_pager(self, args):
+        """Lines between pauses; ``off`` for none."""
+        if args:
+            self.page = int(args[0]) if args[0].isdigit() else 0 if args[0] == "off" else 50
+        self.say(f"pager: {self.page or 'off'}")
+
     def cmd_echo(self, args):
         self.echo = args[:1] == ["on"]
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 #: Raise when a parser changes what it finds.
-PARSER_VERSION = 1
+PARSER_VERSION = 2
 
 
 def save(folder: str, files: DataFrame, edges: DataFrame, marks: DataFrame) -> None:
@@ -19,14 +19,15 @@ def save(folder: str, files: DataFrame, edges: DataFrame, marks: DataFrame) -> N
     spark.createDataFrame([(json.dumps({"parser_version": PARSER_VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
 
-def is_valid(spark: SparkSession, folder: str, marks: DataFrame) -> bool:
-    """Whether the archives are the same by path, size and time, and the parsers too."""
+def is_valid(spark: SparkSession, folder: str, marks: DataFrame, strategy: str = "mtime") -> bool:
+    """Whether the archives are the same, by path, size and time, or by path and ``hash`` of their bytes; and the parsers too."""
+    columns = ["path", "sha256"] if strategy == "hash" else ["path", "size", "mtime"]
     try:
         meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
-        old = spark.read.parquet(f"{folder}/marks").select("path", "size", "mtime")
+        old = spark.read.parquet(f"{folder}/marks").select(columns)
     except Exception:  # noqa: BLE001 - no cache, or half of one
         return False
-    new = marks.select("path", "size", "mtime")
+    new = marks.select(columns)
     return meta.get("parser_version") == PARSER_VERSION and old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty()
 
 

@@ -13,7 +13,7 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -162,6 +162,20 @@ def write_report(catalog, folder: str | Path, fmt: str = "json", names: list[str
     return write_parts(path, WRITERS[fmt]((n, rows_of(catalog[n])) for n in names))
 
 
+def external_report(catalog, folder: str | Path, archive: Path, priority: int, presets: list[str], show=lambda name, df: None) -> Path:
+    """What an archive, loaded as external_files, would override, lose and add: each preset shown, all in one JSON file."""
+    from ..plans.presets import PRESETS
+
+    head = {"external_vpk": archive.name, "ref_name": archive.stem, "total_files": catalog["external_files"].count(), "priority": priority}
+    found = {n: catalog.execute(PRESETS[n]) for n in presets}
+    for n, df in found.items():
+        show(n, df)
+    lines = ["{\n"] + [f"  {_json(k)}: {_json(v)},\n" for k, v in head.items()]
+    parts = json_parts((n, rows_of(df)) for n, df in found.items())
+    next(parts)  # the opening brace is there
+    return write_parts(Path(folder) / f"external_{archive.stem}_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}.json", chain(lines, parts))
+
+
 COLOURS = {"bsp": "lightblue", "vmt": "lightgreen", "vtf": "palegreen", "mdl": "orange", "nut": "gold", "wav": "plum", "pcf": "salmon", "txt": "lightgrey"}
 
 

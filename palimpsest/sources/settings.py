@@ -70,7 +70,7 @@ class Config:
     report_format: str = "json"
     report_dir: str = "."
     run_impact: bool = False
-    max_maps: int = -1
+    max_maps: int = 0
     addon_order: str = "descending"
     extra: dict = field(default_factory=dict)
 

@@ -235,7 +235,7 @@ def test_settings(tmp_path, spark):
     assert info.title == "G" and "update" in info.game_dirs and info.addon_roots == ["my_addons"]
     assert cfg.whitelist('whitelist\n{\n // c\n materials\\... "from_steam"\n sound/x.wav # y\n}') == ['materials\\** "from_steam"'.split('"')[0].strip(), "sound/x.wav"]
     (tmp_path / "c.toml").write_text("[a]\nmax_maps = 3\nunknown = 1\n")
-    assert cfg.load_config(tmp_path / "c.toml").max_maps == 3 and cfg.load_config(None).max_maps == -1
+    assert cfg.load_config(tmp_path / "c.toml").max_maps == 3 and cfg.load_config(None).max_maps == 0
 
 
 def test_reports(spark, tmp_path):
