@@ -339,9 +339,29 @@ def addon_needs(spark, sf_dir):
     return A.addon_dependency_conflicts(m.filter("workshop_id is not null").distinct(), table(spark, sf_dir, "files"))
 
 
+def folder_catalogue(spark, sf_dir):
+    """Stock packages as folders of one game, mounted in order of their names: every record, and which are active."""
+    from ..sources import game
+
+    at = folder(spark, "steam").removeprefix("file:").replace("//", "/")
+    key = F.lower(F.translate("virtual_path", "\\", "/"))
+    packages: dict[str, list] = {}
+    x = table(spark, sf_dir, "external_files").filter("virtual_path <> ''").groupBy("ext_source_name", key.alias("k")).agg(F.min("virtual_path").alias("p"))
+    for r in x.orderBy("ext_source_name", "p").collect():  # a table of fixed size
+        packages.setdefault(r.ext_source_name.replace(":", "_"), []).append((r.p, 1, 1))
+    for name, rows in packages.items():
+        put(spark, f"{at}/{name}/{name}_dir.vpk", archive_bytes(rows))
+    paths = "".join(f'\t\t\tGame "{n}"\n' for n in packages)
+    put(spark, f"{at}/game/gameinfo.txt", f'"GameInfo"\n{{\n\tFileSystem\n\t{{\n\t\tSearchPaths\n\t\t{{\n{paths}\t\t}}\n\t}}\n}}\n'.encode())
+    c, engine = game.build_catalog(spark, f"{at}/game", "l4d2")
+    if engine.errors:
+        raise RuntimeError(str(engine.errors))
+    return c["files"].filter("source_type = 'vpk'").select("virtual_path", "source_name", "priority", "is_active")
+
+
 PY = [
     x_vmt_values, x_bsp_pak, x_keyvalues, x_normalisers, x_addoninfo, text_decoding, archive_scan, external_reference, folder_scan, archive_marks, addon_list, addon_priorities, game_settings,
-    config_file, whitelist_file, what_if_overlay, cache_round_trip, report_json, report_csv, report_text, report_html, relation_rows, graph_counts, summary_counts, addon_needs,
+    config_file, whitelist_file, what_if_overlay, cache_round_trip, report_json, report_csv, report_text, report_html, relation_rows, graph_counts, summary_counts, addon_needs, folder_catalogue,
 ]
 
 QUERIES = {**{n: partial(extracted, n) for n in FORMATS}, **{f.__name__: f for f in PY}}
@@ -374,6 +394,9 @@ ORACLE = {
     "graph_counts": "WITH e AS (SELECT DISTINCT from_path AS a, to_path AS b FROM dependencies WHERE from_path IS NOT NULL AND to_path IS NOT NULL) SELECT (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS n_nodes, (SELECT count(*) FROM e) AS n_links",
     "summary_counts": """SELECT 'redundancy' AS name, count(*) FILTER (is_redundant) AS n FROM files UNION ALL SELECT 'dead_files', count(*) FILTER (is_dead) FROM files UNION ALL SELECT unnest(['hash_conflicts', 'dep_conflicts', 'impact']), 0
       UNION ALL SELECT 'isolated', count(*) FROM (SELECT source_name FROM files GROUP BY source_name HAVING count(*) FILTER (is_dead OR is_redundant) > 0)""",
+    "folder_catalogue": rf"""WITH x AS (SELECT replace(ext_source_name, ':', '_') AS n, {_OVER} AS k, min(virtual_path) AS p FROM external_files WHERE virtual_path <> '' GROUP BY 1, 2),
+      o AS (SELECT n, (101 - row_number() OVER (ORDER BY n))::INT AS priority FROM (SELECT DISTINCT n FROM x)), r AS (SELECT regexp_replace(p, '\.$', '') AS virtual_path, n || '_dir.vpk' AS source_name, priority FROM x JOIN o USING (n))
+      SELECT virtual_path, source_name, priority, priority = max(priority) OVER (PARTITION BY {_OVER}) AS is_active FROM r""",
     "addon_needs": """WITH m AS (SELECT DISTINCT 'addons/' || addon_id || '/addoninfo.txt' AS from_path, 'ws' || lpad(priority::VARCHAR, 9, '1') AS to_path, addon_id AS expected_source FROM addon_manifests WHERE priority IS NOT NULL)
       SELECT *, 'MISSING' AS actual_source FROM m WHERE to_path NOT IN (SELECT source_name FROM files WHERE source_name IS NOT NULL)""",
 }
