@@ -2,7 +2,7 @@
 
 Edges have set semantics; (a, b) reads "a depends on b". Null ends are dropped. ``reachable`` joins only the newest frontier
 with the edges, and compares it with the nodes known before; ``reached_by_other`` also merges it into the known nodes. No
-node or edge is ever collected to the driver.
+node or edge is ever collected to the driver. Graphs that fit one task are closed there in a single job, with equal results.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .numbering import numbered
 
 #: Rounds of a closure kept as tables of their own before they are written together.
 LAYERS = 8
-#: Links that one task strips to the core in memory; beyond, every round is a pair of joins.
+#: Links that one task strips to the core, or closes from its seeds, in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
 #: Links that travel to every task, as two numbers of 32 bits each, to count descendants.
 LINKS_BY_ONE = 2_000_000
@@ -37,9 +37,77 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names, link ends and seeds by number, of rows (src, dst) that are links and rows (seed, null)."""
+    number: dict[str, int] = {}
+    ends: list[list[int]] = [[], [], []]
+    for x in batches:
+        for src, dst in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+            i = number.setdefault(src, len(number))
+            if dst is None:
+                ends[2].append(i)
+            else:
+                ends[0].append(i)
+                ends[1].append(number.setdefault(dst, len(number)))
+    return list(number), *(np.array(e, np.int64) for e in ends)
+
+
+def _names(names: list[str], hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(hit)
+    for i in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in at[i : i + 50_000]], pa.string())], ["id"])
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``reachable`` over all links of one task: a breadth-first search in whole frontiers."""
+    names, a, b, seeds = _coded(batches)
+    order = np.argsort(a, kind="stable")
+    first, to = np.searchsorted(a[order], np.arange(len(names) + 1)), b[order]
+    hit = np.zeros(len(names), bool)
+    frontier = np.unique(seeds)
+    while len(frontier):
+        sizes = first[frontier + 1] - first[frontier]
+        at = np.repeat(first[frontier] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        found = np.unique(to[at])
+        frontier = found[~hit[found]]
+        hit[frontier] = True
+    yield from _names(names, hit)
+
+
+def _reach_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``reached_by_other`` over all links of one task: least and greatest seed of each strong component, from the top down."""
+    names, a, b, seeds = _coded(batches)
+    n = len(names)
+    if not len(a):
+        return
+    comp = strong_components(a, b, n)
+    none = n
+    lo, hi = [none] * (comp.max() + 1), [-1] * (comp.max() + 1)
+    seed = np.zeros(n, bool)
+    seed[seeds] = True
+    order = np.lexsort((comp[a] != comp[b], -comp[a]))  # of a component's links, those within it come first
+    for u, cu, cv in zip(a[order].tolist(), comp[a][order].tolist(), comp[b][order].tolist()):
+        low, high = lo[cu], hi[cu]
+        if seed[u]:
+            low, high = min(low, u), max(high, u)
+        if low < lo[cv]:
+            lo[cv] = low
+        if high > hi[cv]:
+            hi[cv] = high
+    lo, hi, own = np.array(lo)[comp], np.array(hi)[comp], np.arange(n)
+    yield from _names(names, (hi >= 0) & ((lo != own) | (hi != own)))
+
+
+def _by_one(run, links: DataFrame, seeds: DataFrame) -> DataFrame:
+    rows = links.unionByName(seeds.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst")).filter("src is not null"))
+    return materialize(rows.coalesce(1).mapInArrow(run, "id string"), "closure")
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id) of every node that some seed (id) reaches over one link or more; a seed only if it is reached again."""
     links = materialize(edge_set(edges), "edges")
+    if links.count() <= STRIPPED_BY_ONE:
+        return _by_one(_reach, links, seeds.select("id").distinct())
     first = seeds.select(F.col("id").alias("src")).distinct().join(links, "src").select(F.col("dst").alias("id")).distinct()
     layers = [materialize(first, "layer")]
     while not layers[-1].isEmpty():
@@ -84,6 +152,8 @@ def reached_by_other(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     spread by min and max alone, so one loop serves all nodes at once.
     """
     links = materialize(edge_set(edges), "edges")
+    if links.count() <= STRIPPED_BY_ONE:
+        return _by_one(_reach_other, links, seeds.select("id").distinct())
     start = seeds.select(F.col("id").alias("src")).distinct().join(links, "src").groupBy(F.col("dst").alias("id"))
     known = materialize(start.agg(F.min("src").alias("lo"), F.max("src").alias("hi")), "known")
     frontier = known

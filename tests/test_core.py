@@ -42,7 +42,9 @@ def below(pairs, n):
     return seen - {n}
 
 
-def test_closures_against_a_plain_search(spark):
+@pytest.mark.parametrize("bound", [G.STRIPPED_BY_ONE, 0])
+def test_closures_against_a_plain_search(spark, monkeypatch, bound):
+    monkeypatch.setattr(G, "STRIPPED_BY_ONE", bound)
     e = edges(spark, GRAPH)
     pairs = [p for p in GRAPH if None not in p]
     g = {x for p in pairs for x in p}
@@ -87,7 +89,16 @@ def below_fast(pairs, n):
     return seen - {n}
 
 
-def test_reached_by_other(spark):
+@pytest.mark.parametrize("bound", [G.STRIPPED_BY_ONE, 0])
+def test_reached_by_other(spark, monkeypatch, bound):
+    monkeypatch.setattr(G, "STRIPPED_BY_ONE", bound)
+    rnd = random.Random(3)
+    pairs = [(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(48)]
+    few = {"n1", "n5", "n9", "n30", "absent"}
+    want = {b for b in {x for p in pairs for x in p} for a in few - {b} if b in below(pairs, a)}
+    assert {r.id for r in G.reached_by_other(edges(spark, pairs), spark.createDataFrame([(x,) for x in few], "id string")).collect()} == want
+    assert {r.id for r in G.reachable(edges(spark, pairs), spark.createDataFrame([("n1",), ("n1",), (None,)], "id string")).collect()} - {"n1"} == below(pairs, "n1")
+    assert G.reached_by_other(edges(spark, pairs).limit(0), edges(spark, pairs).select(F.col("src").alias("id"))).count() == 0
     e = edges(spark, [("s", "a"), ("a", "s"), ("t", "s"), ("u", "u")])
     seeds = spark.createDataFrame([("s",), ("u",), ("t",)], "id string")
     assert {r.id for r in G.reached_by_other(e, seeds).collect()} == {"a", "s"}  # t has no way in, u only reaches itself
