@@ -24,39 +24,55 @@ ON_LOOP, BELOW_LOOP = -1, -2
 def traverse(parent_of: dict[str, str]) -> Iterator[tuple[str, str, int, list[str]]]:
     """(node, root, depth, path) of every node of a forest that may have loops. No recursion.
 
-    A walk upwards colours nodes grey until it meets a known (black) node, a root, or a grey node, which closes a
-    loop: the link into that node is the back edge. Unwinding the walk gives every node its values.
+    Walks upwards colour nodes grey until they meet a known (black) node, a root, or a grey node, which closes a loop:
+    the link into that node is the back edge. From each root and loop a walk downwards then emits its nodes; only the
+    open line is kept, however long the paths are.
     """
     colour: dict[str, int] = {}
-    known: dict[str, tuple[str, int, list[str]]] = {}
+    loops: list[list[str]] = []
+    tops: list[str] = []
+    below: dict[str, list[str]] = {}
+    for child, parent in parent_of.items():
+        below.setdefault(parent, []).append(child)
     for start in [*parent_of, *dict.fromkeys(parent_of.values())]:
-        stack: list[str] = []
+        walk: list[str] = []
         node: str | None = start
         while node is not None and colour.get(node, WHITE) == WHITE:
             colour[node] = GREY
-            stack.append(node)
+            walk.append(node)
             node = parent_of.get(node)
-        if node is not None and colour[node] == GREY:  # back edge
-            at = stack.index(node)
-            loop = stack[at:][::-1]  # from parent to child
-            first = min(loop)
-            i = loop.index(first)
-            loop = loop[i:] + loop[:i]
-            for x in loop:
-                known[x] = (first, ON_LOOP, loop)
-                colour[x] = BLACK
-            del stack[at:]
-        while stack:
-            x = stack.pop()
-            up = parent_of.get(x)
-            if up is None:
-                known[x] = (x, 0, [x])
-            else:
-                root, depth, path = known[up]
-                known[x] = (root, depth + 1 if depth >= 0 else BELOW_LOOP, [*path, x])
+        if node is None:
+            tops.append(walk[-1])
+        elif colour[node] == GREY:  # back edge
+            loop = walk[walk.index(node) :][::-1]  # from parent to child
+            i = loop.index(min(loop))
+            loops.append(loop[i:] + loop[:i])
+        for x in walk:
             colour[x] = BLACK
-    for node, (root, depth, path) in known.items():
-        yield node, root, depth, path
+    for top in tops:
+        yield top, top, 0, [top]
+        yield from _down(below, top, [top], top, 0, frozenset())
+    for loop in loops:
+        on = frozenset(loop)
+        for x in loop:
+            yield x, loop[0], ON_LOOP, loop
+            yield from _down(below, x, loop, loop[0], ON_LOOP, on)
+
+
+def _down(below: dict[str, list[str]], top: str, line: list[str], root: str, depth: int, but: frozenset[str]) -> Iterator[tuple[str, str, int, list[str]]]:
+    """The nodes below ``top``, children in turn, with ``line`` as the path so far; nodes of the loop itself are left out."""
+    line = list(line)
+    todo = [iter(below.get(top, ()))]
+    while todo:
+        x = next(todo[-1], None)
+        if x is None:
+            todo.pop()
+            if todo:
+                line.pop()
+        elif x not in but:
+            line.append(x)
+            yield x, root, depth + len(todo) if depth >= 0 else BELOW_LOOP, line[:]
+            todo.append(iter(below.get(x, ())))
 
 
 def traverse_flat(parent_of: dict[str, str]) -> Iterator[tuple[str, str, int]]:

@@ -10,6 +10,7 @@ from .cli import print_result
 from .operators.analyzers import assemble
 from .plans.dsl import QueryParseError, QueryValidationError
 from .plans.presets import PRESETS, resolve_spec
+from .scratch import scope
 from .sinks.reports import FORMATS, json_parts, rows_of, write_parts
 from .sources.settings import load_report
 
@@ -51,7 +52,8 @@ class Shell:
                 self.commands[name](args)
             return True
         try:
-            print_result(self.catalog.execute(resolve_spec(line)), self.mode, self.out, self.page)
+            with scope():
+                print_result(self.catalog.execute(resolve_spec(line)), self.mode, self.out, self.page)
         except QueryParseError as e:
             self.say(f"parse error: {e}")
         except QueryValidationError as e:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, at its end, all tables and folders that were made within: whatever is to be kept is read or written before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder for files that are no tables; it goes when the process ends."""
     path = f"{scratch_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"

@@ -169,3 +169,42 @@ def test_hierarchy_is_the_same_above_the_bound(spark):
     assert got == want and {n: got[n] for n in WANT} == WANT
     assert sorted(map(tuple, descendants(far).collect())) == sorted(map(tuple, descendants(near).collect()))
     assert {(r.root, r.length) for r in loops(far).collect()} == {("x", 2), ("s", 1), ("k00", 11)}
+
+
+def test_hot_centres_of_components(spark, monkeypatch):
+    """Stars whose centres are joined by themselves give the components that plain joins give."""
+    from palimpsest.operators import components
+
+    pairs = [(1, i) for i in range(2, 120)] + [(200, i) for i in range(201, 260)] + [(259, 400), (400, 401), (500, 501)]
+    e = spark.createDataFrame(pairs, "u int, v int")
+    want = {tuple(r) for r in connected_components(e).collect()}
+    monkeypatch.setattr(components, "HOT", 10)
+    assert {tuple(r) for r in connected_components(e).collect()} == want and {c for _, c in want} == {1, 200, 500}
+
+
+def test_deep_chains_and_bushy_loops():
+    """Walks keep one open line; a loop with trees below each of its nodes."""
+    from palimpsest.operators.hierarchy import traverse, traverse_flat
+
+    chain = {f"n{i + 1}": f"n{i}" for i in range(3000)}
+    got = {n: (d, len(p), p[0]) for n, _, d, p in traverse(chain)}
+    assert got == {f"n{i}": (i, i + 1, "n0") for i in range(3001)}
+    rnd = random.Random(31)
+    loop = {"b": "a", "c": "b", "a": "c"} | {f"x{i}": rnd.choice(["a", "b", "c"] + [f"x{j}" for j in range(i)]) for i in range(60)} | {"s": "s", "t": "s"}
+    rows = list(traverse(loop))
+    assert len(rows) == len({r[0] for r in rows}) == 65
+    assert {(n, r, d) for n, r, d, _ in rows} == set(traverse_flat(loop))
+    for n, r, d, p in rows:
+        assert p[0] == r and (d == -1 or p[-1] == n and (p[-2] == loop[n] or p[-2] == p[len(p) - 2] and loop[n] in p[:3]))
+
+
+def test_scratch_scope(spark):
+    from palimpsest import scratch
+
+    kept = scratch.materialize(spark.range(3).toDF("id"), "kept")
+    with scratch.scope():
+        gone = scratch.materialize(spark.range(3).toDF("id"), "gone")
+        assert gone.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone._scratch_path).count()
