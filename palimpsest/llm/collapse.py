@@ -86,7 +86,9 @@ def sorted_runs(records: DataFrame, partitions: int | None = None) -> tuple[Data
     spark = records.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = F.xxhash64("key").alias("h")
-    placed = records.filter("key is not null").select(h, "key", "id").repartitionByRange(n, "h", "key", "id").sortWithinPartitions("h", "key", "id")
+    # Range partitioning reads its input twice, once for a sample; keys may be costly to compute, so they are written down.
+    records = materialize(records.filter("key is not null").select("key", "id"), "records")
+    placed = records.select(h, "key", "id").repartitionByRange(n, "h", "key", "id").sortWithinPartitions("h", "key", "id")
     rows = placed.select(F.spark_partition_id().alias("pid"), "key", "id").mapInArrow(_scan, "pid int, key string, id long, first long, n long, edge int")
     rows = materialize(rows, "runs")
     # One or two rows per partition: its first run and, if another, its last. A run that goes on from the partition
