@@ -60,10 +60,10 @@ def _group_rows(facts: DataFrame) -> DataFrame:
     place in the order of ranks and flags for a new value (1) and a new field (2); what begins a new rank has flag 4."""
     own = F.transform("claims", lambda c: F.struct(c["rank"].alias("rank"), c["field"].alias("field"), c["value"].alias("value"), F.col("s").alias("s")))
     g = facts.groupBy("grp").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.flatten(F.collect_list(own)).alias("c"))
-    by_rank = F.transform(F.array_sort(F.array_distinct("c")), lambda x, i: F.struct(x["field"].alias("field"), x["value"].alias("value"), x["s"].alias("s"), i.alias("ro"), x["rank"].alias("rank")))
+    by_rank = F.transform(F.sort_array(F.array_distinct("c")), lambda x, i: F.struct(x["field"].alias("field"), x["value"].alias("value"), x["s"].alias("s"), i.alias("ro"), x["rank"].alias("rank")))
     g = g.withColumn("c", by_rank)
     ranked = F.transform("c", lambda x, i: F.struct(x["field"].alias("field"), x["value"].alias("value"), x["s"].alias("s"), x["ro"].alias("ro"), _flags(i == 0, ~x["rank"].eqNullSafe(F.get("c", i - 1)["rank"])).alias("nr")))
-    g = g.withColumn("c", F.array_sort(ranked))
+    g = g.withColumn("c", F.sort_array(ranked))
 
     def shown(x: Column, i: Column) -> Column:
         before = F.get("c", i - 1)
