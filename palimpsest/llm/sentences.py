@@ -39,7 +39,10 @@ STRONG = set("!?。！？｡।॥።፧։؟۔՜՞;;‼⁇⁈⁉")
 OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "(": ")", "[": "]", "{": "}", "【": "】", "‘": "’", "‚": "‘’"}
 CLOSERS = set("”»›」』》〉）)]}】’")
 QUOTES = set("”»›」』》〉’\"'“‘")
-TERM = regex.compile(r"[.!?…。！？｡．।॥።፧։؟۔‼⁇⁈⁉]+|[;;]|(?<=\p{Thai})\s+(?=\p{Thai})")
+TERM = regex.compile(r"[.!?…。！？｡．।॥።፧։؟۔‼⁇⁈⁉]+|[;;]")
+#: Where there is Thai, a space between its letters may end a sentence too.
+THAI = regex.compile(r"[\u0e00-\u0e7f]")
+TERM_THAI = regex.compile(TERM.pattern + r"|(?<=\p{Thai})\s+(?=\p{Thai})")
 BLANK = regex.compile(r"\n[^\S\n]*\n\s*|\r[^\S\r\n]*\r\s*")
 CASED = regex.compile(r"[\p{Lu}\p{Lt}\p{Ll}]")
 SYLLABIC = regex.compile(r"[\p{Hangul}\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -134,7 +137,7 @@ def _candidates(s: str) -> list[tuple[int, int, float]]:
         return UNBALANCED * (bisect_left(opens, at) - bisect_left(closes, at)) if pairs else 0.0
 
     n, out, done = len(s), [], 0
-    for m in TERM.finditer(s):
+    for m in (TERM_THAI if THAI.search(s) else TERM).finditer(s):
         e, mark = m.end(), m.group()
         if m.start() < done:
             continue
@@ -350,6 +353,13 @@ def _traces(reader: str) -> regex.Pattern:
     return regex.compile(f"{cls(0xC2, 0xDF)}{cont}|{cls(0xE0, 0xEF)}{cont}{{2}}|{cls(0xF0, 0xF4)}{cont}{{3}}")
 
 
+@lru_cache(maxsize=None)
+def _sides(reader: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Characters that ``reader`` shows for leads, for continuations, and for any byte beyond ASCII."""
+    own = bytes_of(reader)
+    return frozenset(c for c, b in own.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in own.items() if 0x80 <= b <= 0xBF), frozenset(own)
+
+
 #: One-byte encodings of other alphabets that are often shown in Western letters, with each alphabet's commonest letters.
 ALPHABETS = (("cp1251", "оеаинтсрвлк"), ("koi8_r", "оеаинтсрвлк"), ("cp1253", "αοιετσνηυρκ"), ("iso8859_7", "αοιετσνηυρκ"))
 WESTERN_WORD = regex.compile(r"[À-ÿ¸¨³¢´ºª]{3,}")
@@ -389,7 +399,8 @@ def readable(text: str) -> tuple[str, list[tuple[int, int]] | None]:
     chars = {c for c in set(text) if c > "\x7f"}
     wide = 0
     for r in UTF8_READERS:
-        if 2 * len(chars & bytes_of(r).keys()) < len(chars):
+        leads, conts, own = _sides(r)
+        if chars.isdisjoint(leads) or chars.isdisjoint(conts) or 2 * len(chars & own) < len(chars):
             continue
         hits = sum(m.end() - m.start() for m in _traces(r).finditer(text))
         if hits:
