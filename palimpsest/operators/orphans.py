@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .skew import pack_loads, skew_join
+from .skew import spread_join
 
 #: Months in one 64-bit mask of a dictionary row; the sign bit stays free.
 MASK = 63
@@ -91,9 +91,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, always: DataFrame | N
     suspects = materialize(suspects.join(first, "key", "left"), "suspects")
     held = F.array(*map(F.col, names))
     # A key may hold a third of all references: its rows are spread, and its suspect copied to each of their places.
-    packing = pack_loads(suspects.select(F.col("key").alias("k"), "n"))
-    suspects = suspects.drop("n")
-    asked = skew_join(refs, suspects, "key", packing=packing) if packing.heavy else refs.join(suspects, "key")
+    asked = spread_join(refs, suspects.drop("n"), "key", suspects.select(F.col("key").alias("k"), "n"))
     asked = asked.filter(_bit(held[F.floor(F.col("p") / MASK).cast("int")], (F.col("p") % MASK).cast("int")))
     asked = materialize(asked.select("tab", "ref_id", "key", "t", "timed", "first_at"), "asked")
     period = F.when(F.col("timed"), F.date_format("t", "yyyy-MM")).alias("period")

@@ -195,3 +195,14 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", p
     shards = F.when(bins.isNotNull(), F.sequence(F.lit(0), F.size(bins) - 1)).otherwise(F.array(F.lit(-1)))
     r2 = right.filter(F.col(key).isNotNull()).withColumn("_shard", F.explode(shards)).withColumn("_bin", F.when(F.col("_shard") < 0, light).otherwise(bins[F.col("_shard")]))
     return to_bins(l2, p).join(to_bins(r2, p), ["_bin", "_shard", key], how).drop("_bin", "_shard")
+
+
+#: Rows of one key up to which a plain join is as well: some ten megabytes in one task.
+HOT_ROWS = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, loads: DataFrame, how: str = "inner") -> DataFrame:
+    """``skew_join`` where a key of ``left`` is hot, by its known ``loads`` (k STRING, n); else a plain join. The rows are equal."""
+    if (loads.agg(F.max("n")).first()[0] or 0) <= HOT_ROWS:
+        return left.join(right, key, how)
+    return skew_join(left, right, key, how, packing=pack_loads(loads))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.pathkey import fold_text, is_blank, path_key
+from palimpsest.operators import skew
 from palimpsest.operators.components import connected_components
 from palimpsest.operators.hierarchy import descendants, extra_links, hierarchy, loops
 from palimpsest.operators.orphans import orphan_counts, orphan_references
@@ -119,8 +120,10 @@ def test_orphans_against_brute_force(spark):
     assert {(row.ref_id, row.state) for row in orphan_references(far, alive).collect()} == {(i, "later") for i in range(5)} | {(i, "removed") for i in range(12, 20)}
 
 
-def test_orphans_of_a_key_that_holds_most_rows_of_one_day(spark):
+@pytest.mark.parametrize("hot", [0, 1_000_000])
+def test_orphans_of_a_key_that_holds_most_rows_of_one_day(spark, monkeypatch, hot):
     """A hot key on a single day, with lives that begin and end within it: cut over partitions, judged as by brute force."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rnd = random.Random(21)
     at = lambda: T(2024, 5, 7, 0, 0, 0) + dt.timedelta(seconds=rnd.randrange(0, 3000))
     parents = [("hot", s := at(), s + dt.timedelta(seconds=rnd.randrange(1, 25))) for _ in range(60)] + [("cold", T(2024, 5, 7), None)]
