@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import pack_loads, skew_join
+from ..operators.skew import spread_join
 from ..scratch import discard, materialize
 from .collapse import canonical
 from .encodings import CHAINS, LOST, REPLACED, repairs
@@ -287,12 +287,13 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS, source_names: int = S
     # Where what a chain gives also stands elsewhere in the source. Both sides are distinct, and the key is the pair of
     # source and text: a source with a third of all records is no hot key.
     there = records.select("source", _low(F.col("name")).alias("low")).filter("source is not null and low is not null").groupBy("source", "low").agg(F.count(F.lit(1)).alias("hit"))
-    tried = uses.join(open_, "name").select("field", "source", "name", "n", F.posexplode("cands").alias("k", "c"))
+    loads = uses.groupBy(F.col("name").alias("k")).agg(F.count(F.lit(1)).alias("n"))  # a name may stand in most sources
+    tried = spread_join(uses, open_, "name", loads).select("field", "source", "name", "n", F.posexplode("cands").alias("k", "c"))
     tried = tried.select("field", "source", "name", "n", "k", "c.chain", "c.text", _low(F.col("c.text")).alias("low")).join(there, ["source", "low"], "left")
     cand = F.struct("k", "chain", "text", F.coalesce("hit", F.lit(0)).alias("hit"))
     tried = tried.groupBy("field", "source", "name").agg(F.max("n").cast("double").alias("n"), F.sort_array(F.collect_list(cand)).alias("cands"))
     # Names without an alternative speak for the language, for their field and for their source, in sum.
-    plain = materialize(uses.join(open_.select("name"), "name", "left_anti"), "plain")
+    plain = materialize(spread_join(uses, open_.select("name"), "name", loads, "left_anti"), "plain")
     as_is = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("chain"), F.lit("").alias("text"), F.lit(0).cast("long").alias("hit")))
     sums = plain.groupBy("field", "source").agg(F.sum("n").cast("double").alias("n")).select("field", "source", F.lit("").alias("name"), "n", as_is.alias("cands"))
     tried = tried.unionByName(sums)
@@ -331,6 +332,5 @@ def find_garbled(records: DataFrame, rounds: int = ROUNDS, source_names: int = S
     key = canonical(F.col("field"), F.col("source"), F.col("name"))
     clear = ~F.col("text").contains(LOST)
     found = judged.select(key.alias("key"), "damaged", "chain", F.when(clear, F.col("text")).alias("restored"))
-    packing = pack_loads(uses.select(key.alias("k"), "n"))
-    rows = skew_join(named.select(key.alias("key"), "field", "row_key", "name"), found, "key", packing=packing)
+    rows = spread_join(named.select(key.alias("key"), "field", "row_key", "name"), found, "key", uses.select(key.alias("k"), "n"))
     return rows.select("field", "row_key", "name", "damaged", "chain", "restored")

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import pack_loads, skew_join
+from ..operators.skew import spread_join
 from ..scratch import materialize
 
 #: Where the public vocabularies lie; a parameter of every function that needs one.
@@ -279,9 +279,7 @@ def _distinct_words(rare: DataFrame, v: Vocabulary) -> DataFrame:
 def _with_ids(rare: DataFrame, words: DataFrame) -> DataFrame:
     """Rows of ``rare`` with the ids of their word. A word that the cache lacks may still be in most documents: its rows
     are spread, and its ids copied to each of their places."""
-    p = pack_loads(words.select(F.col("word").alias("k"), "n"))
-    ids = words.select("word", "ids")
-    return skew_join(rare, ids, "word", packing=p) if p.heavy else rare.join(ids, "word")
+    return spread_join(rare, words.select("word", "ids"), "word", words.select(F.col("word").alias("k"), "n"))
 
 
 def decode_ids(ids: Column, vocabulary: str = VOCABULARY) -> Column:

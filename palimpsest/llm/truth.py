@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
-from ..operators.skew import pack_loads, skew_join
+from ..operators.skew import spread_join
 from ..scratch import discard, materialize
 
 #: Bytes of weights that travel to every task (8 a source); with more sources the weights are joined by shuffle.
@@ -175,7 +175,7 @@ def discover(facts: DataFrame, max_rounds: int = 12, tolerance: float = 0.005, g
     if size.b is not None and size.b <= DICTIONARY_BYTES:
         coded = facts.join(F.broadcast(sources.select("src", "s")), "src").drop("src")
     else:
-        coded = skew_join(facts, sources.select("src", "s"), "src", packing=pack_loads(sources.select(F.col("src").alias("k"), F.col("n_facts").alias("n")))).drop("src")
+        coded = spread_join(facts, sources.select("src", "s"), "src", sources.select(F.col("src").alias("k"), F.col("n_facts").alias("n"))).drop("src")
     dense = size.m * 8 <= weight_bytes
     # Groups that are too large for one row, and all of them where the weights are.
     many = coded.groupBy("grp").agg(F.sum(F.size("claims")).alias("m")).filter(F.col("m") > (group_claims if dense else -1)).select("grp")

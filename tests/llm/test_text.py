@@ -339,6 +339,24 @@ def test_a_damaged_run_is_found_among_any_number_of_words(n):
     assert " ".join(good[:n]) in [t for _, t in N.repairs(" ".join(parts), gain)]
 
 
+def test_hot_names_and_words_are_joined_alike(spark, texts, monkeypatch):
+    """Names, words and sources that are spread over many tasks give what plain joins give."""
+    from palimpsest.operators import skew
+
+    names = spark.createDataFrame([("t", i, f"s{i % 90}", damage(CLEAN[i % 3], "utf-8", "cp1252") if i % 7 == 0 else CLEAN[i % 3]) for i in range(400)], "field string, row_key long, source string, name string")
+    docs = spark.createDataFrame(texts[:60], "doc_id long, text string")
+    facts = spark.createDataFrame([(f"g{i % 40}", "hot" if i % 3 else f"s{i}", f"v{i % 5}") for i in range(300)], "g string, s string, v string")
+
+    def all_three():
+        got = garbled.find_garbled(names), tokens.encode_documents(docs, "doc_id", "text", cache=5), truth.merge_groups(facts, "g", "s", ["v"])[0]
+        return [sorted(map(str, d.collect())) for d in got]
+
+    plain = all_three()
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    monkeypatch.setattr(truth, "DICTIONARY_BYTES", 0)
+    assert all_three() == plain and all(plain)
+
+
 def test_cut_sources_are_judged_alike(spark):
     """A source whose names lie in many rows is judged as one whose names lie in one, and names restored are right."""
     rnd = random.Random(11)
