@@ -7,22 +7,25 @@ node or edge is ever collected to the driver. Graphs that fit one task are close
 
 from __future__ import annotations
 
+import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize
-from .numbering import numbered
 
 #: Rounds of a closure kept as tables of their own before they are written together.
 LAYERS = 8
 #: Links that one task strips to the core, or closes from its seeds, in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
-#: Links that travel to every task, as two numbers of 32 bits each, to count descendants.
-LINKS_BY_ONE = 2_000_000
+#: Links, as two numbers each, of which one task counts descendants; beyond, by joins.
+LINKS_BY_ONE = 10_000_000
+#: Pairs of components that this task keeps at a time, and how often it divides a graph that has more.
+MOST_PAIRS, DIVISIONS = 64_000_000, 4
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -192,9 +195,9 @@ def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     Iterative depth-first search (Tarjan) over links a -> b.
     """
     order = np.argsort(a, kind="stable")
-    first = np.searchsorted(a[order], np.arange(n + 1)).tolist()
-    to = b[order].tolist()
-    index, low, comp = [0] * n, [0] * n, [-1] * n
+    first = array("q", np.searchsorted(a[order], np.arange(n + 1)).astype(np.int64).tobytes())
+    to = array("q", b[order].astype(np.int64).tobytes())
+    index, low, comp = array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q", [-1]) * n
     path: list[int] = []
     count = found = 0
     for root in range(n):
@@ -234,29 +237,163 @@ def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 #: Words of 64 bits in one sweep: so many times 64 components are looked for at once.
 SWEEP_WORDS = 8
+#: Pairs of components brought together at once where they are listed.
+PAIRS_AT_ONCE = 4_000_000
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The node of each number, in order, and the ends of all links (a, b) by number."""
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+    if not got:
+        return (np.zeros(0, np.int64),) * 3
+    ids, ends = np.unique(np.concatenate([x[i] for i in (0, 1) for x in got]), return_inverse=True)
+    return ids, *np.split(ends, 2)
+
+
+def _condensed(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strong component of each node; of the components, their sizes, the links (up, down) among them, and their heights."""
+    comp = strong_components(a, b, n)
+    size = np.bincount(comp)
+    m = len(size)
+    up, down = np.divmod(np.unique(comp[a] * m + comp[b]), m)
+    up, down = up[up != down], down[up != down]
+    height = [0] * m  # links on the longest way down
+    for x, y in zip(up.tolist(), down.tolist()):  # in order of x, and y < x
+        if height[y] >= height[x]:
+            height[x] = height[y] + 1
+    return comp, size, up, down, np.array(height)
+
+
+def _counts_out(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(ids), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (ids, counts)], ["h", "n"])
+
+
+def _reached(up: np.ndarray, down: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The ``seeds``, a mask over all components, and what they reach over the links."""
+    order = np.argsort(up, kind="stable")
+    first, to = np.searchsorted(up[order], np.arange(len(seeds) + 1)), down[order]
+    hit = seeds.copy()
+    frontier = np.flatnonzero(seeds)
+    while len(frontier):
+        sizes = first[frontier + 1] - first[frontier]
+        found = np.unique(to[np.repeat(first[frontier] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
+        frontier = found[~hit[found]]
+        hit[frontier] = True
+    return hit
+
+
+def _weak(up: np.ndarray, down: np.ndarray, m: int) -> np.ndarray:
+    """The least component that each is linked with in any direction."""
+    least = np.arange(m)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, up, least[down])
+        np.minimum.at(least, down, least[up])
+        least = least[least]
+        if np.array_equal(least, before):
+            return least
+
+
+def _listed(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarray, most: int) -> np.ndarray | None:
+    """Nodes strictly below each component, by lists that grow from the bottom up; None if these hold over ``most`` pairs."""
+    m = len(size)
+    order = np.lexsort((up, height[up]))
+    up, down = up[order], down[order]
+    lists, used, work = np.empty(most, np.int32), 0, 0
+    start, length, total = (np.zeros(m, np.int64) for _ in range(3))
+    layers = np.searchsorted(height[up], np.arange(1, height.max() + 2))
+    for i, j in zip(layers[:-1], layers[1:]):
+        if i == j:
+            continue
+        nodes, first = np.unique(up[i:j], return_index=True)
+        first = np.append(first, j - i)
+        before = np.concatenate([[0], np.cumsum(1 + length[down[i:j]])])[first]
+        p = 0
+        while p < len(nodes):
+            q = max(p + 1, int(np.searchsorted(before, before[p] + PAIRS_AT_ONCE, "right")) - 1)
+            work += before[q] - before[p]
+            if before[q] - before[p] > 4 * PAIRS_AT_ONCE or work > 8 * most:
+                return None
+            u, d = up[i + first[p] : i + first[q]], down[i + first[p] : i + first[q]]
+            n = length[d]
+            at = np.repeat(start[d] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            u, d = np.divmod(np.unique(np.concatenate([u * m + d, np.repeat(u, n) * m + lists[at]])), m)
+            if used + len(d) > most:
+                return None
+            lists[used : used + len(d)] = d
+            at = np.searchsorted(u, nodes[p:q])
+            start[nodes[p:q]], length[nodes[p:q]] = used + at, np.diff(np.append(at, len(u)))
+            total[nodes[p:q]] = np.add.reduceat(size[d], at)
+            used += len(d)
+            p = q
+    return total
+
+
+def _add_below(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarray, sources: np.ndarray, counts: np.ndarray, most: int = MOST_PAIRS, divisions: int = DIVISIONS) -> bool:
+    """Adds to ``counts`` the nodes strictly below each of the ``sources``; False if there are too many pairs to list.
+
+    All that reaches a hub has all that is below the hub below it, which is counted once. A graph of many pairs is so
+    divided at a hub in each of its parts: those above the hub seek only what is not below it, and the others, which
+    reach nothing above it, seek without what is above. The pairs that are left are listed.
+    """
+    m = len(size)
+    alive = _reached(up, down, sources)[up]
+    up, down = up[alive], down[alive]
+    if not len(up):
+        return True
+    bound = min(most, 8 * len(up) + 1_000_000) if divisions else most
+    part = _weak(up, down, m)
+    ins, outs = np.bincount(down, minlength=m), np.bincount(up, minlength=m)
+    order = np.lexsort(((ins + 1.0) * (outs + 1.0) * size, part))
+    hubs = np.zeros(m, bool)
+    hubs[order[np.append(part[order][1:] != part[order][:-1], True)]] = True
+    hubs &= ins + outs > 0
+    below, above = _reached(up, down, hubs), _reached(down, up, hubs)
+    least = np.bincount(part[above], minlength=m).astype(float) @ np.bincount(part[below], minlength=m)
+    if least <= bound and (total := _listed(up, down, height, size, bound)) is not None:
+        counts[sources] += total[sources]
+        return True
+    if not divisions:
+        return False
+    nodes = np.bincount(part[below], size[below], minlength=m).astype(np.int64)
+    over = sources & above
+    counts[over] += nodes[part[over]]
+    counts[over & hubs] -= size[over & hubs]
+    for out, rest in ((below, over & ~hubs), (above, sources & ~above)):
+        kept = ~(out[up] | out[down])
+        if not _add_below(up[kept], down[kept], height, size, rest, counts, most, divisions - 1):
+            return False
+    return True
+
+
+def _below(most: int):
+    """Counts strict descendants of every node of all links (a, b) of one task; no rows if there are too many pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, a, b = _ends(batches)
+        if not len(ids):
+            return
+        comp, size, up, down, height = _condensed(a, b, len(ids))
+        counts = size - 1
+        if _add_below(up, down, height, size, np.ones(len(size), bool), counts, most):
+            yield from _counts_out(ids, counts[comp])
+
+    return run
 
 
 def _sweep(parts: int):
     """Counts strict descendants of every node among each ``parts``-th block of components, from all links (a, b, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2)[0].as_py()) for x in batches if x.num_rows]
-        if not got:
+        whole = [x for x in batches if x.num_rows]
+        if not whole:
             return
-        a, b, part = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]), got[0][2]
+        part = whole[0].column(2)[0].as_py()
+        ids, a, b = _ends(whole)
         order = np.lexsort((b, a))  # so that all tasks number the components alike
-        a, b = a[order], b[order]
-        n = int(max(a.max(), b.max())) + 1
-        comp = strong_components(a, b, n)
-        size = np.bincount(comp)
+        comp, size, up, down, height = _condensed(a[order], b[order], len(ids))
         m = len(size)
-        links = np.unique(np.stack([comp[a], comp[b]]), axis=1)
-        up, down = links[:, links[0] != links[1]]
-        height = [0] * m  # links on the longest way down
-        for x, y in zip(up.tolist(), down.tolist()):  # in order of x, and y < x
-            if height[y] >= height[x]:
-                height[x] = height[y] + 1
-        height = np.array(height)
         order = np.lexsort((up, height[up]))
         up, down = up[order], down[order]
         ends = np.searchsorted(height[up], np.arange(1, height.max() + 2))
@@ -274,37 +411,55 @@ def _sweep(parts: int):
                 word, bit = divmod(int(c - at[0]), 64)
                 counts += ((bits[:, word] >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) * (size[c] - 1)
         counts -= int(part == 0)  # a node is not below itself
-        out = counts[comp]
-        for i in range(0, n, 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, min(n, i + 50_000)), pa.int32()), pa.array(out[i : i + 50_000])], ["i", "n"])
+        yield from _counts_out(ids, counts[comp])
 
     return run
 
 
-def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, links_by_one: int = LINKS_BY_ONE) -> DataFrame:
+def _hash(column: str, seed: int) -> Column:
+    return F.xxhash64(F.col(column), F.lit(seed))
+
+
+def _hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, h) of every node, h being a number of its own, and the links (a, b) by these numbers, each once."""
+    given = materialize(edges.select("src", "dst").filter("src is not null and dst is not null"), "edges")
+    names = materialize(nodes_of(given), "nodes")
+    n = names.count()
+    # Two nodes of one hash would be one node: another seed then parts them.
+    seed = next(i for i in itertools.count() if names.select(_hash("id", i).alias("h")).distinct().count() == n)
+    links = materialize(given.select(_hash("src", seed).alias("a"), _hash("dst", seed).alias("b")).distinct(), "links")
+    discard(given)
+    return names.select("id", _hash("id", seed).alias("h")), links
+
+
+def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, links_by_one: int = LINKS_BY_ONE, most: int = MOST_PAIRS) -> DataFrame:
     """(id, impact_count): strict descendants of each node, 0 included for ``nodes`` (id) without any.
 
-    Up to ``links_by_one`` links, every task takes all of them as numbers, condenses strong components, and sweeps upwards
-    through the layers of what remains, with the descendants among some blocks of components as bits: the work is links
-    times nodes over 64, in whole arrays, and only counts leave a task. Beyond, all pairs are kept as rows, as an exact
-    count then requires. The counts are the same. ``max_depth`` bounds the distance, for which pairs are kept too.
+    Up to ``links_by_one`` links, one task takes all of them as numbers, condenses strong components, divides what remains
+    at its hubs (``_add_below``) and lists the pairs that are left. Where these are more than ``most``, every task takes all
+    links and sweeps upwards through their layers, with the descendants among some blocks of components as bits: the work
+    is links times nodes over 64, in whole arrays, and only counts leave a task. Beyond, all pairs are kept as rows, as an
+    exact count then requires. The counts are the same. ``max_depth`` bounds the distance, for which pairs are kept too.
     """
-    links = materialize(edge_set(edges), "edges")
-    every = nodes_of(links) if nodes is None else nodes.select("id").distinct()
-    if max_depth is None and links.count() <= links_by_one:
-        ids = numbered(nodes_of(links))
-        coded = links.join(ids.select(F.col("id").alias("src"), F.col("i").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("i").alias("b")), "dst")
-        parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // (64 * SWEEP_WORDS * 4)))
-        copies = coded.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartitionById(parts, F.col("part"))
-        found = copies.mapInArrow(_sweep(parts), "i int, n bigint").groupBy("i").agg(F.sum("n").alias("impact_count"))
-        counts = ids.join(found, "i").select("id", "impact_count")
+    ids, links = _hashed(edges)
+    n = links.count()
+    if max_depth is None and n <= links_by_one:
+        found = materialize(links.repartition(1).mapInArrow(_below(most), "h bigint, n bigint"), "counts")
+        if n and found.isEmpty():
+            parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // (64 * SWEEP_WORDS * 4)))
+            copies = links.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartitionById(parts, F.col("part"))
+            found = copies.mapInArrow(_sweep(parts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     else:
-        counts = _counted_pairs(links, max_depth)
-    return every.join(counts, "id", "left").select("id", F.coalesce("impact_count", F.lit(0)).alias("impact_count"))
+        found = _counted_pairs(links, max_depth)
+    counts = ids.join(found, "h", "left").select("id", F.coalesce("n", F.lit(0)).alias("impact_count"))
+    if nodes is None:
+        return counts
+    return nodes.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("impact_count", F.lit(0)).alias("impact_count"))
 
 
 def _counted_pairs(links: DataFrame, max_depth: int | None) -> DataFrame:
-    layers = [materialize(links.select(F.col("src").alias("id"), F.col("dst").alias("to")), "pairs")]
+    """(h, n): nodes other than h that h reaches over links (a, b)."""
+    layers = [materialize(links.select(F.col("a").alias("id"), F.col("b").alias("to")), "pairs")]
     depth = 1
     while not layers[-1].isEmpty() and (max_depth is None or depth < max_depth):
         if len(layers) > LAYERS:
@@ -312,10 +467,10 @@ def _counted_pairs(links: DataFrame, max_depth: int | None) -> DataFrame:
             for x in layers[:-1]:
                 discard(x)
             layers = [whole, layers[-1]]
-        step = layers[-1].join(links, F.col("to") == F.col("src")).select("id", F.col("dst").alias("to")).distinct()
+        step = layers[-1].join(links, F.col("to") == F.col("a")).select("id", F.col("b").alias("to")).distinct()
         layers.append(materialize(step.join(_union(layers), ["id", "to"], "left_anti"), "pairs"))
         depth += 1
-    return _union(layers).filter("id <> to").groupBy("id").agg(F.count(F.lit(1)).alias("impact_count"))
+    return _union(layers).filter("id <> to").groupBy(F.col("id").alias("h")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import random
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -66,6 +67,42 @@ def test_impact_counts_against_a_plain_search(spark, bound):
     assert G.impact_counts(edges(spark, pairs).limit(0), links_by_one=bound).count() == 0
 
 
+def tiers(n, loops=1):
+    """Nodes above a hub, a loop, and below it, with links past it and some further loops: most pairs run over the hub."""
+    rnd = random.Random(n)
+    hub = [(f"h{i}", f"h{(i + 1) % 5}") for i in range(5)]
+    up = [(f"u{i}", f"u{rnd.randrange(i)}" if i % 3 else f"h{i % 5}") for i in range(n)]
+    down = [(f"h{i % 5}" if i % 3 == 0 else f"d{rnd.randrange(i)}", f"d{i}") for i in range(n)]
+    past = [(f"u{rnd.randrange(n)}", f"x{rnd.randrange(9)}") for _ in range(n // 4)] + [(f"x{rnd.randrange(9)}", f"d{rnd.randrange(n)}") for _ in range(9)]
+    return hub + up + down + past + [(f"u{i}", f"u{i + 3}") for i in range(0, 9 * loops, 3)] + [("x1", "x2"), ("x2", "x1"), ("y", "y")]
+
+
+@pytest.mark.parametrize("most", [0, 400, 3000, G.MOST_PAIRS])
+def test_counts_below_hubs_in_one_task(most):
+    pairs = tiers(60) + [(f"{a}'", f"{b}'") for a, b in tiers(40)]
+    names = sorted({x for p in pairs for x in p})
+    a, b = (np.array([names.index(p[i]) for p in pairs]) for i in (0, 1))
+    comp, size, up, down, height = G._condensed(a, b, len(names))
+    counts = size - 1
+    done = G._add_below(up, down, height, size, np.ones(len(size), bool), counts, most)
+    assert done == (most > 0)
+    if done:
+        assert dict(zip(names, counts[comp].tolist())) == {n: len(below(pairs, n)) for n in names}
+
+
+def test_impact_counts_by_sweeps_where_pairs_are_too_many(spark):
+    pairs = tiers(60)
+    got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs), most=0).collect()}
+    assert got == {n: len(below(pairs, n)) for n in {x for p in pairs for x in p}}
+
+
+def test_impact_counts_part_nodes_of_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(G, "_hash", lambda column, seed: F.xxhash64(F.col(column), F.lit(seed)) if seed > 1 else F.pmod(F.xxhash64(column), F.lit(7)))
+    pairs = tiers(20)
+    got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs)).collect()}
+    assert got == {n: len(below(pairs, n)) for n in {x for p in pairs for x in p}}
+
+
 def test_sweeps_over_many_blocks(spark, monkeypatch):
     """A long chain with side branches, over more components than one sweep holds, on several tasks."""
     n = 5000
