@@ -23,7 +23,7 @@ LAYERS = 8
 #: Links that one task strips to the core, or closes from its seeds, in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
 #: Links, as two numbers each, of which one task counts descendants; beyond, by joins.
-LINKS_BY_ONE = 10_000_000
+LINKS_BY_ONE = 12_000_000
 #: Pairs of components that this task keeps at a time, and how often it divides a graph that has more.
 MOST_PAIRS, DIVISIONS = 64_000_000, 4
 
@@ -195,9 +195,10 @@ def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     Iterative depth-first search (Tarjan) over links a -> b.
     """
     order = np.argsort(a, kind="stable")
-    first = array("q", np.searchsorted(a[order], np.arange(n + 1)).astype(np.int64).tobytes())
-    to = array("q", b[order].astype(np.int64).tobytes())
-    index, low, comp = array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q", [-1]) * n
+    first = array("i", np.searchsorted(a[order], np.arange(n + 1)).astype(np.int32).tobytes())
+    to = array("i", b[order].astype(np.int32).tobytes())
+    del order
+    index, low, comp = array("i", bytes(4 * n)), array("i", bytes(4 * n)), array("i", [-1]) * n
     path: list[int] = []
     count = found = 0
     for root in range(n):
@@ -244,10 +245,14 @@ PAIRS_AT_ONCE = 4_000_000
 def _ends(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The node of each number, in order, and the ends of all links (a, b) by number."""
     got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
-    if not got:
-        return (np.zeros(0, np.int64),) * 3
-    ids, ends = np.unique(np.concatenate([x[i] for i in (0, 1) for x in got]), return_inverse=True)
-    return ids, *np.split(ends, 2)
+    both = np.concatenate([np.zeros(0, np.int64), *(x[i] for i in (0, 1) for x in got)])
+    del got
+    order = np.argsort(both)
+    both = both[order]
+    new = np.append(True, both[1:] != both[:-1])[: len(both)]
+    ends = np.empty(len(both), np.int32)
+    ends[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return both[new], *np.split(ends, 2)
 
 
 def _condensed(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,13 +260,14 @@ def _condensed(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     comp = strong_components(a, b, n)
     size = np.bincount(comp)
     m = len(size)
-    up, down = np.divmod(np.unique(comp[a] * m + comp[b]), m)
+    up, down = (x.astype(np.int32) for x in np.divmod(np.unique(comp[a] * m + comp[b]), m))
     up, down = up[up != down], down[up != down]
     height = [0] * m  # links on the longest way down
-    for x, y in zip(up.tolist(), down.tolist()):  # in order of x, and y < x
-        if height[y] >= height[x]:
-            height[x] = height[y] + 1
-    return comp, size, up, down, np.array(height)
+    for i in range(0, len(up), 100_000):
+        for x, y in zip(up[i : i + 100_000].tolist(), down[i : i + 100_000].tolist()):  # in order of x, and y < x
+            if height[y] >= height[x]:
+                height[x] = height[y] + 1
+    return comp, size, up, down, np.array(height, np.int32)
 
 
 def _counts_out(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -285,11 +291,17 @@ def _reached(up: np.ndarray, down: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def _weak(up: np.ndarray, down: np.ndarray, m: int) -> np.ndarray:
     """The least component that each is linked with in any direction."""
-    least = np.arange(m)
+    least = np.arange(m, dtype=np.int32)
+    sides = []
+    for one, other in ((up, down), (down, up)):
+        order = np.argsort(one, kind="stable")
+        sides.append((other[order], *np.unique(one[order], return_index=True)))
     while True:
         before = least.copy()
-        np.minimum.at(least, up, least[down])
-        np.minimum.at(least, down, least[up])
+        for other, nodes, starts in sides:
+            found = np.minimum(np.minimum.reduceat(least[other], starts), least[nodes])
+            np.minimum.at(least, least[nodes], found)  # so that whole trees are joined
+            least[nodes] = np.minimum(least[nodes], found)
         least = least[least]
         if np.array_equal(least, before):
             return least
@@ -318,7 +330,8 @@ def _listed(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarr
             u, d = up[i + first[p] : i + first[q]], down[i + first[p] : i + first[q]]
             n = length[d]
             at = np.repeat(start[d] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            u, d = np.divmod(np.unique(np.concatenate([u * m + d, np.repeat(u, n) * m + lists[at]])), m)
+            u = u.astype(np.int64) * m
+            u, d = np.divmod(np.unique(np.concatenate([u + d, np.repeat(u, n) + lists[at]])), m)
             if used + len(d) > most:
                 return None
             lists[used : used + len(d)] = d

@@ -103,6 +103,18 @@ def test_impact_counts_part_nodes_of_one_hash(spark, monkeypatch):
     assert got == {n: len(below(pairs, n)) for n in {x for p in pairs for x in p}}
 
 
+def test_top_impact_takes_no_copies_of_the_links(spark, monkeypatch):
+    """The counts of a graph whose pairs run over a hub come from one task, without a copy of the links for every task."""
+    swept = []
+    monkeypatch.setattr(G, "_sweep", lambda parts: swept.append(parts))
+    pairs = tiers(60)
+    files = spark.createDataFrame([(n, "s", True) for n in ("u5", "u1", "d59", "none")], "virtual_path string, source_name string, is_winner boolean")
+    got = [tuple(r) for r in A.impact(files, edges(spark, pairs), 3).collect()]
+    counts = {n: len(below(pairs, n)) for n in ("u5", "u1", "d59", "none")}
+    assert got == [(n, "s", c) for n, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:3]
+    assert not swept
+
+
 def test_sweeps_over_many_blocks(spark, monkeypatch):
     """A long chain with side branches, over more components than one sweep holds, on several tasks."""
     n = 5000
