@@ -22,8 +22,8 @@ from ..scratch import discard, materialize
 LAYERS = 8
 #: Links that one task strips to the core, or closes from its seeds, in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
-#: Links, as two numbers each, of which one task counts descendants; beyond, by joins.
-LINKS_BY_ONE = 12_000_000
+#: Links, as two numbers each, and nodes together, of which one task counts descendants; beyond, by joins.
+LINKS_BY_ONE = 16_000_000
 #: Pairs of components that this task keeps at a time, and how often it divides a graph that has more.
 MOST_PAIRS, DIVISIONS = 64_000_000, 4
 
@@ -433,8 +433,8 @@ def _hash(column: str, seed: int) -> Column:
     return F.xxhash64(F.col(column), F.lit(seed))
 
 
-def _hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, h) of every node, h being a number of its own, and the links (a, b) by these numbers, each once."""
+def _hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(id, h) of every node, h being a number of its own, the links (a, b) by these numbers, each once, and the number of nodes."""
     given = materialize(edges.select("src", "dst").filter("src is not null and dst is not null"), "edges")
     names = materialize(nodes_of(given), "nodes")
     n = names.count()
@@ -442,24 +442,24 @@ def _hashed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     seed = next(i for i in itertools.count() if names.select(_hash("id", i).alias("h")).distinct().count() == n)
     links = materialize(given.select(_hash("src", seed).alias("a"), _hash("dst", seed).alias("b")).distinct(), "links")
     discard(given)
-    return names.select("id", _hash("id", seed).alias("h")), links
+    return names.select("id", _hash("id", seed).alias("h")), links, n
 
 
 def impact_counts(edges: DataFrame, nodes: DataFrame | None = None, max_depth: int | None = None, links_by_one: int = LINKS_BY_ONE, most: int = MOST_PAIRS) -> DataFrame:
     """(id, impact_count): strict descendants of each node, 0 included for ``nodes`` (id) without any.
 
-    Up to ``links_by_one`` links, one task takes all of them as numbers, condenses strong components, divides what remains
+    Up to ``links_by_one`` links and nodes, one task takes all of them as numbers, condenses strong components, divides what remains
     at its hubs (``_add_below``) and lists the pairs that are left. Where these are more than ``most``, every task takes all
     links and sweeps upwards through their layers, with the descendants among some blocks of components as bits: the work
     is links times nodes over 64, in whole arrays, and only counts leave a task. Beyond, all pairs are kept as rows, as an
     exact count then requires. The counts are the same. ``max_depth`` bounds the distance, for which pairs are kept too.
     """
-    ids, links = _hashed(edges)
+    ids, links, known = _hashed(edges)
     n = links.count()
-    if max_depth is None and n <= links_by_one:
+    if max_depth is None and n + known <= links_by_one:
         found = materialize(links.repartition(1).mapInArrow(_below(most), "h bigint, n bigint"), "counts")
         if n and found.isEmpty():
-            parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), ids.count() // (64 * SWEEP_WORDS * 4)))
+            parts = max(1, min(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // (64 * SWEEP_WORDS * 4)))
             copies = links.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartitionById(parts, F.col("part"))
             found = copies.mapInArrow(_sweep(parts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     else:
