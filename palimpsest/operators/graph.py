@@ -24,8 +24,8 @@ LAYERS = 8
 STRIPPED_BY_ONE = 500_000
 #: Links, as two numbers each, and nodes together, of which one task counts descendants; beyond, by joins.
 LINKS_BY_ONE = 16_000_000
-#: Pairs of components that this task keeps at a time, and how often it divides a graph that has more.
-MOST_PAIRS, DIVISIONS = 64_000_000, 4
+#: Pairs of components that this task keeps at a time; a graph that has more is divided.
+MOST_PAIRS = 64_000_000
 
 
 def edge_set(edges: DataFrame) -> DataFrame:
@@ -275,50 +275,43 @@ def _counts_out(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (ids, counts)], ["h", "n"])
 
 
-def _reached(up: np.ndarray, down: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The ``seeds``, a mask over all components, and what they reach over the links."""
-    order = np.argsort(up, kind="stable")
-    first, to = np.searchsorted(up[order], np.arange(len(seeds) + 1)), down[order]
+def _layers(up: np.ndarray, height: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of links whose upper ends are of one height, of links in order of it."""
+    ends = np.flatnonzero(np.diff(height[up])) + 1
+    return list(itertools.pairwise([0, *ends.tolist(), len(up)]))
+
+
+def _reached(up: np.ndarray, down: np.ndarray, seeds: np.ndarray, layers: list[tuple[int, int]], upwards: bool = False) -> np.ndarray:
+    """The ``seeds``, a mask over all components, and what they reach over the links, or what reaches them."""
     hit = seeds.copy()
-    frontier = np.flatnonzero(seeds)
-    while len(frontier):
-        sizes = first[frontier + 1] - first[frontier]
-        found = np.unique(to[np.repeat(first[frontier] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())])
-        frontier = found[~hit[found]]
-        hit[frontier] = True
+    one, other = (down, up) if upwards else (up, down)
+    for i, j in layers if upwards else reversed(layers):
+        hit[other[i:j][hit[one[i:j]]]] = True
     return hit
 
 
 def _weak(up: np.ndarray, down: np.ndarray, m: int) -> np.ndarray:
     """The least component that each is linked with in any direction."""
     least = np.arange(m, dtype=np.int32)
-    sides = []
-    for one, other in ((up, down), (down, up)):
-        order = np.argsort(one, kind="stable")
-        sides.append((other[order], *np.unique(one[order], return_index=True)))
     while True:
-        before = least.copy()
-        for other, nodes, starts in sides:
-            found = np.minimum(np.minimum.reduceat(least[other], starts), least[nodes])
-            np.minimum.at(least, least[nodes], found)  # so that whole trees are joined
-            least[nodes] = np.minimum(least[nodes], found)
-        least = least[least]
-        if np.array_equal(least, before):
+        a, b = least[up], least[down]
+        apart = a != b
+        if not apart.any():
             return least
+        up, down, a, b = up[apart], down[apart], a[apart], b[apart]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(least, further := least[least]):
+            least = further
 
 
-def _listed(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarray, most: int) -> np.ndarray | None:
+def _listed(up: np.ndarray, down: np.ndarray, size: np.ndarray, layers: list[tuple[int, int]], most: int) -> np.ndarray | None:
     """Nodes strictly below each component, by lists that grow from the bottom up; None if these hold over ``most`` pairs."""
     m = len(size)
-    order = np.lexsort((up, height[up]))
-    up, down = up[order], down[order]
     lists, used, work = np.empty(most, np.int32), 0, 0
     start, length, total = (np.zeros(m, np.int64) for _ in range(3))
-    layers = np.searchsorted(height[up], np.arange(1, height.max() + 2))
-    for i, j in zip(layers[:-1], layers[1:]):
-        if i == j:
-            continue
-        nodes, first = np.unique(up[i:j], return_index=True)
+    for i, j in layers:
+        first = np.flatnonzero(np.diff(up[i:j], prepend=-1))
+        nodes = up[i:j][first]
         first = np.append(first, j - i)
         before = np.concatenate([[0], np.cumsum(1 + length[down[i:j]])])[first]
         p = 0
@@ -343,40 +336,88 @@ def _listed(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarr
     return total
 
 
-def _add_below(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarray, sources: np.ndarray, counts: np.ndarray, most: int = MOST_PAIRS, divisions: int = DIVISIONS) -> bool:
+def _compact(ids: np.ndarray, up: np.ndarray, down: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same graph without components that have no link; all stay in order."""
+    there = np.zeros(len(ids), bool)
+    there[up] = there[down] = True
+    number = np.cumsum(there, dtype=np.int32) - np.int32(1)
+    return ids[there], number[up], number[down], sources[there]
+
+
+def _below_sinks(up: np.ndarray, down: np.ndarray, size: np.ndarray, sinks: np.ndarray, layers: list[tuple[int, int]]) -> np.ndarray:
+    """Nodes of at most 64 ``sinks`` below each component, in one sweep with a bit for each of them."""
+    bits = np.zeros(len(size), np.uint64)
+    bits[sinks] = np.uint64(1) << np.arange(len(sinks), dtype=np.uint64)
+    for i, j in layers:
+        first = np.flatnonzero(np.diff(up[i:j], prepend=-1))
+        bits[up[i:j][first]] = np.bitwise_or.reduceat(bits[down[i:j]], first)
+    bits[sinks] = 0
+    total = np.bitwise_count(bits).astype(np.int64)
+    for k in np.flatnonzero(size[sinks] > 1):
+        total += ((bits >> np.uint64(k)) & np.uint64(1)).astype(np.int64) * (size[sinks[k]] - 1)
+    return total
+
+
+def _add_below(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.ndarray, sources: np.ndarray, counts: np.ndarray, most: int = MOST_PAIRS) -> bool:
     """Adds to ``counts`` the nodes strictly below each of the ``sources``; False if there are too many pairs to list.
 
-    All that reaches a hub has all that is below the hub below it, which is counted once. A graph of many pairs is so
-    divided at a hub in each of its parts: those above the hub seek only what is not below it, and the others, which
-    reach nothing above it, seek without what is above. The pairs that are left are listed.
+    The sinks with most links are counted first, by bits, and left out: what is linked by them alone falls apart. All that
+    reaches a hub has all that is below the hub below it, which is counted once. A graph of many pairs is so divided at a
+    hub in each of its parts: those above the hub seek only what is not below it, and the others, which reach nothing above
+    it, seek without what is above. The pairs that are left are listed, from fewer a link on the less a graph is divided.
+    Dividing ends when it has taken about the work of the sweeps that would follow (``_sweep``).
     """
-    m = len(size)
-    alive = _reached(up, down, sources)[up]
-    up, down = up[alive], down[alive]
-    if not len(up):
-        return True
-    bound = min(most, 8 * len(up) + 1_000_000) if divisions else most
-    part = _weak(up, down, m)
-    ins, outs = np.bincount(down, minlength=m), np.bincount(up, minlength=m)
-    order = np.lexsort(((ins + 1.0) * (outs + 1.0) * size, part))
-    hubs = np.zeros(m, bool)
-    hubs[order[np.append(part[order][1:] != part[order][:-1], True)]] = True
-    hubs &= ins + outs > 0
-    below, above = _reached(up, down, hubs), _reached(down, up, hubs)
-    least = np.bincount(part[above], minlength=m).astype(float) @ np.bincount(part[below], minlength=m)
-    if least <= bound and (total := _listed(up, down, height, size, bound)) is not None:
-        counts[sources] += total[sources]
-        return True
-    if not divisions:
+    if not most:
         return False
-    nodes = np.bincount(part[below], size[below], minlength=m).astype(np.int64)
-    over = sources & above
-    counts[over] += nodes[part[over]]
-    counts[over & hubs] -= size[over & hubs]
-    for out, rest in ((below, over & ~hubs), (above, sources & ~above)):
-        kept = ~(out[up] | out[down])
-        if not _add_below(up[kept], down[kept], height, size, rest, counts, most, divisions - 1):
+    order = np.argsort(height[up].astype(np.uint16 if len(height) and height.max() < 1 << 16 else np.int32), kind="stable")
+    left = len(up) * (48 + len(size) // 8000)
+    todo = [(np.arange(len(size), dtype=np.int32), up[order], down[order], sources, 0)]
+    del order, up, down
+    while todo:
+        ids, up, down, sources, depth = todo.pop()
+        left -= len(up)
+        layers = _layers(up, height[ids])
+        kept = _reached(up, down, sources, layers)[up]
+        ids, up, down, sources = _compact(ids, up[kept], down[kept], sources)
+        if not len(up):
+            continue
+        layers = _layers(up, height[ids])
+        ins = np.bincount(down, minlength=len(ids))
+        ins[up] = 0
+        sinks = np.argpartition(ins, -64)[-64:] if len(ids) > 64 else np.arange(len(ids))
+        sinks = sinks[ins[sinks] > 0]
+        found = _below_sinks(up, down, size[ids], sinks, layers)
+        counts[ids[sources]] += found[sources]
+        swept = np.zeros(len(ids), bool)
+        swept[sinks] = True
+        kept = ~swept[down]
+        ids, up, down, sources = _compact(ids, up[kept], down[kept], sources)
+        if not len(up):
+            continue
+        m, own, layers = len(ids), size[ids], _layers(up, height[ids])
+        part = _weak(up, down, m)
+        weight = (np.bincount(down, minlength=m) + 1.0) * (np.bincount(up, minlength=m) + 1.0) * own
+        best = np.zeros(m)
+        np.maximum.at(best, part, weight)
+        hubs = np.zeros(m, bool)
+        best = np.flatnonzero(weight == best[part])
+        hubs[best[np.unique(part[best], return_index=True)[1]]] = True
+        del found, swept, ins, kept, weight, best
+        below, above = _reached(up, down, hubs, layers), _reached(up, down, hubs, layers, upwards=True)
+        least = np.bincount(part[above], minlength=m).astype(float) @ np.bincount(part[below], minlength=m)
+        bound = min(most, 8 * (depth + 1) * len(up) + 1_000_000) if left > 0 else most
+        if least <= bound and (total := _listed(up, down, own, layers, bound)) is not None:
+            counts[ids[sources]] += total[sources]
+            continue
+        if left <= 0:
             return False
+        nodes = np.bincount(part[below], own[below], minlength=m).astype(np.int64)
+        over = sources & above
+        counts[ids[over]] += nodes[part[over]]
+        counts[ids[over & hubs]] -= own[over & hubs]
+        for out, rest in ((above, sources & ~above), (below, over & ~hubs)):
+            kept = ~(out[up] | out[down])
+            todo.append((*_compact(ids, up[kept], down[kept], rest), depth + 1))
     return True
 
 

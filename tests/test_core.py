@@ -90,6 +90,32 @@ def test_counts_below_hubs_in_one_task(most):
         assert dict(zip(names, counts[comp].tolist())) == {n: len(below(pairs, n)) for n in names}
 
 
+def test_counts_below_hubs_of_graphs_that_share_sinks(spark, monkeypatch):
+    """Many graphs, each with a hub, that only a blank reference links with one another: still one task, and no sweeps."""
+    monkeypatch.setattr(G, "_sweep", lambda parts: pytest.fail("swept"))
+    pairs = [(f"{a}.{k}", f"{b}.{k}") for k in range(12) for a, b in tiers(40)] + [(f"u{i}.{k}", to) for k in range(12) for i in range(0, 40, 3) for to in ("", " ")]
+    pairs += [("", "loop"), ("loop", "")]
+    got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs), most=3000).collect()}
+    assert got == {n: len(below(pairs, n)) for n in {x for p in pairs for x in p}}
+
+
+def test_counts_of_random_graphs_divided_to_the_end(monkeypatch):
+    """Small lists and no bound on links: every way through the division, against plain searches."""
+    rnd = random.Random(8)
+    for n, links in ((9, 12), (40, 70), (150, 300), (300, 500)):
+        for most in (1, 30, 2000):
+            pairs = sorted({(rnd.randrange(n), rnd.randrange(n) if rnd.random() < 0.1 else rnd.randrange(max(1, n // 8))) for _ in range(links)} | {(i, i + 1) for i in range(n)})
+            pairs = [(a, b) for a, b in pairs if a < b or rnd.random() < 0.1]
+            names = sorted({x for p in pairs for x in p})
+            a, b = (np.array([names.index(p[i]) for p in pairs]) for i in (0, 1))
+            comp, size, up, down, height = G._condensed(a, b, len(names))
+            counts = size - 1
+            if G._add_below(up, down, height, size, np.ones(len(size), bool), counts, most):
+                assert dict(zip(names, counts[comp].tolist())) == {x: len(below(pairs, x)) for x in names}
+            else:
+                assert most < 2000
+
+
 def test_impact_counts_by_sweeps_where_pairs_are_too_many(spark):
     pairs = tiers(60)
     got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs), most=0).collect()}
