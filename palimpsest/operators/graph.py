@@ -23,7 +23,7 @@ LAYERS = 8
 #: Links that one task strips to the core, or closes from its seeds, in memory; beyond, every round is a pair of joins.
 STRIPPED_BY_ONE = 500_000
 #: Links, as two numbers each, and nodes together, of which one task counts descendants; beyond, by joins.
-LINKS_BY_ONE = 16_000_000
+LINKS_BY_ONE = 24_000_000
 #: Pairs of components that this task keeps at a time; a graph that has more is divided.
 MOST_PAIRS = 64_000_000
 
@@ -192,8 +192,39 @@ def degrees(edges: DataFrame) -> DataFrame:
 def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The strong component of each of ``n`` nodes, numbered so that links between components lead to smaller numbers.
 
-    Iterative depth-first search (Tarjan) over links a -> b.
+    Nodes without a way out or in are components of their own: they are stripped in whole arrays while they are many, those
+    without a way out numbered from below and those without a way in from above. Over the core that is left goes an iterative
+    depth-first search (Tarjan).
     """
+    out, lower, upper = np.full(n, -1, np.int32), 0, []
+    links = 2 * len(a) + 2
+    while len(a) < links - links // 32:
+        links = len(a)
+        alive = out == -1
+        last = np.ones(n, bool)
+        last[a] = False
+        first = np.ones(n, bool)
+        first[b] = False
+        last, first = np.flatnonzero(last & alive), np.flatnonzero(first & ~last & alive)
+        out[last] = np.arange(lower, lower + len(last))
+        lower += len(last)
+        out[first] = -2
+        upper.append(first)
+        kept = (out[a] == -1) & (out[b] == -1)
+        a, b = a[kept], b[kept]
+    core = np.flatnonzero(out == -1)
+    number = np.zeros(n, np.int32)
+    number[core] = np.arange(len(core))
+    out[core] = lower + _searched(number[a], number[b], len(core))
+    lower = out.max(initial=-1) + 1
+    for first in reversed(upper):
+        out[first] = np.arange(lower, lower + len(first))
+        lower += len(first)
+    return out.astype(np.int64)
+
+
+def _searched(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """``strong_components`` by depth-first search alone."""
     order = np.argsort(a, kind="stable")
     first = array("i", np.searchsorted(a[order], np.arange(n + 1)).astype(np.int32).tobytes())
     to = array("i", b[order].astype(np.int32).tobytes())
@@ -233,41 +264,72 @@ def strong_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
                 found += 1
             if work and low[v] < low[work[-1][0]]:
                 low[work[-1][0]] = low[v]
-    return np.array(comp, np.int64)
+    return np.array(comp, np.int32)
 
 
 #: Words of 64 bits in one sweep: so many times 64 components are looked for at once.
 SWEEP_WORDS = 8
+#: Links whose ends are numbered at once.
+ENDS_AT_ONCE = 4_000_000
 #: Pairs of components brought together at once where they are listed.
 PAIRS_AT_ONCE = 4_000_000
 
 
+def _once(x: np.ndarray) -> np.ndarray:
+    """The values of ``x``, which is sorted in place, each once: faster than ``np.unique``, which hashes."""
+    x.sort()
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The node of each number, in order, and the ends of all links (a, b) by number."""
-    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
-    both = np.concatenate([np.zeros(0, np.int64), *(x[i] for i in (0, 1) for x in got)])
-    del got
-    order = np.argsort(both)
-    both = both[order]
-    new = np.append(True, both[1:] != both[:-1])[: len(both)]
-    ends = np.empty(len(both), np.int32)
-    ends[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    return both[new], *np.split(ends, 2)
+    """The node of each number, in order, and the ends of all links (a, b) by number; in groups, to hold little besides them."""
+    ids, groups, some, rows = np.zeros(0, np.int64), [], [], 0
+    for x in itertools.chain(batches, [None]):
+        if x is not None:
+            some.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            rows += x.num_rows
+        if some and (x is None or rows >= ENDS_AT_ONCE):
+            groups.append(np.concatenate([c[i] for i in (0, 1) for c in some]))
+            ids = _once(np.concatenate([ids, groups[-1]]))
+            some, rows = [], 0
+    a, b = (np.empty(sum(map(len, groups)) // 2, np.int32) for _ in range(2))
+    at = len(a)
+    while groups:
+        group = groups.pop()
+        order = np.argsort(group)
+        number = np.empty(len(group), np.int32)
+        number[order] = np.searchsorted(ids, group[order])
+        half = len(group) // 2
+        a[at - half : at], b[at - half : at] = number[:half], number[half:]
+        at -= half
+    return ids, a, b
 
 
 def _condensed(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The strong component of each node; of the components, their sizes, the links (up, down) among them, and their heights."""
+    """The strong component of each node; of the components, their sizes, the links (up, down) among them in order of height and up, and their heights."""
     comp = strong_components(a, b, n)
     size = np.bincount(comp)
     m = len(size)
-    up, down = (x.astype(np.int32) for x in np.divmod(np.unique(comp[a] * m + comp[b]), m))
+    links = comp[a]
+    links *= m
+    links += comp[b]
+    del a, b
+    links = _once(links)
+    up = (links // m).astype(np.int32)
+    down = (links - up * np.int64(m)).astype(np.int32)
+    del links
     up, down = up[up != down], down[up != down]
     height = [0] * m  # links on the longest way down
     for i in range(0, len(up), 100_000):
         for x, y in zip(up[i : i + 100_000].tolist(), down[i : i + 100_000].tolist()):  # in order of x, and y < x
             if height[y] >= height[x]:
                 height[x] = height[y] + 1
-    return comp, size, up, down, np.array(height, np.int32)
+    height = np.array(height, np.int32)
+    order = np.argsort(height[up].astype(np.uint16) if height.max(initial=0) < 1 << 16 else height[up], kind="stable")
+    up = up[order]
+    return comp.astype(np.int32), size, up, down[order], height
 
 
 def _counts_out(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -324,7 +386,7 @@ def _listed(up: np.ndarray, down: np.ndarray, size: np.ndarray, layers: list[tup
             n = length[d]
             at = np.repeat(start[d] - np.cumsum(n) + n, n) + np.arange(n.sum())
             u = u.astype(np.int64) * m
-            u, d = np.divmod(np.unique(np.concatenate([u + d, np.repeat(u, n) + lists[at]])), m)
+            u, d = np.divmod(_once(np.concatenate([u + d, np.repeat(u, n) + lists[at]])), m)
             if used + len(d) > most:
                 return None
             lists[used : used + len(d)] = d
@@ -369,10 +431,9 @@ def _add_below(up: np.ndarray, down: np.ndarray, height: np.ndarray, size: np.nd
     """
     if not most:
         return False
-    order = np.argsort(height[up].astype(np.uint16 if len(height) and height.max() < 1 << 16 else np.int32), kind="stable")
     left = len(up) * (48 + len(size) // 8000)
-    todo = [(np.arange(len(size), dtype=np.int32), up[order], down[order], sources, 0)]
-    del order, up, down
+    todo = [(np.arange(len(size), dtype=np.int32), up, down, sources, 0)]
+    del up, down
     while todo:
         ids, up, down, sources, depth = todo.pop()
         left -= len(up)
@@ -425,12 +486,12 @@ def _below(most: int):
     """Counts strict descendants of every node of all links (a, b) of one task; no rows if there are too many pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, a, b = _ends(batches)
+        ids, *ends = _ends(batches)
         if not len(ids):
             return
-        comp, size, up, down, height = _condensed(a, b, len(ids))
+        comp, size, *links, height = _condensed(ends.pop(0), ends.pop(0), len(ids))  # given away, so that they are freed there
         counts = size - 1
-        if _add_below(up, down, height, size, np.ones(len(size), bool), counts, most):
+        if _add_below(links.pop(0), links.pop(0), height, size, np.ones(len(size), bool), counts, most):
             yield from _counts_out(ids, counts[comp])
 
     return run
@@ -448,10 +509,7 @@ def _sweep(parts: int):
         order = np.lexsort((b, a))  # so that all tasks number the components alike
         comp, size, up, down, height = _condensed(a[order], b[order], len(ids))
         m = len(size)
-        order = np.lexsort((up, height[up]))
-        up, down = up[order], down[order]
-        ends = np.searchsorted(height[up], np.arange(1, height.max() + 2))
-        layers = [(down[i:j], *np.unique(up[i:j], return_index=True)) for i, j in zip(ends[:-1], ends[1:])]
+        layers = [(down[i:j], *np.unique(up[i:j], return_index=True)) for i, j in _layers(up, height)] if len(up) else []
         counts = np.zeros(m, np.int64)
         for block in range(part, -(-m // (64 * SWEEP_WORDS)), parts):
             at = np.arange(block * 64 * SWEEP_WORDS, min(m, (block + 1) * 64 * SWEEP_WORDS))

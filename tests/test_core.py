@@ -4,9 +4,11 @@ import io
 import json
 import random
 import struct
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -116,6 +118,29 @@ def test_counts_of_random_graphs_divided_to_the_end(monkeypatch):
                 assert most < 2000
 
 
+def test_ends_of_links_are_numbered_in_little_memory(monkeypatch):
+    monkeypatch.setattr(G, "ENDS_AT_ONCE", 20_000, raising=False)
+    rnd = np.random.default_rng(4)
+    a, b = rnd.integers(-(1 << 62), 1 << 62, 9_000)[rnd.integers(0, 9_000, (2, 400_000))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 10_000]) for x in (a, b)], ["a", "b"]) for i in range(0, len(a), 10_000)]
+    tracemalloc.start()
+    ids, x, y = G._ends(iter(batches))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ids[1:] > ids[:-1]).all() and (ids[x] == a).all() and (ids[y] == b).all()
+    assert most < 36 * len(a), most / len(a)
+
+
+def test_strong_components_number_links_downwards():
+    rnd = random.Random(6)
+    for n, links in ((1, 1), (30, 25), (60, 80), (200, 260)):
+        pairs = sorted({(rnd.randrange(n), rnd.randrange(n)) for _ in range(links)} | {(i + 1, i) for i in range(0, n - 1, 3)})
+        comp = G.strong_components(*np.array(pairs).T, n)
+        reach = {x: below(pairs, x) for x in range(n)}
+        assert all((comp[x] == comp[y]) == (x == y or (y in reach[x] and x in reach[y])) for x in range(n) for y in range(n))
+        assert all(comp[x] >= comp[y] for x, y in pairs) and set(comp) == set(range(max(comp) + 1))
+
+
 def test_impact_counts_by_sweeps_where_pairs_are_too_many(spark):
     pairs = tiers(60)
     got = {r.id: r.impact_count for r in G.impact_counts(edges(spark, pairs), most=0).collect()}
